@@ -96,19 +96,15 @@ def ring_edges(rings: Column, areal: Column) -> Column:
         F.transform(part, lambda ring, ri: of_ring(pi, ri, ring)))))
 
 
-def box_edges(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
-    """Edges of an axis-parallel box."""
-
-    def edge(seq, xa, ya, xb, yb):
-        return F.struct(
-            F.lit(0).alias("part"), F.lit(0).alias("ring"), F.lit(seq).alias("seq"),
-            F.lit(4).alias("n"), xa.cast("double").alias("x1"), ya.cast("double").alias("y1"),
-            xb.cast("double").alias("x2"), yb.cast("double").alias("y2"),
-            F.lit(True).alias("areal"))
-
-    return F.array(
-        edge(0, x0, y0, x1, y0), edge(1, x1, y0, x1, y1),
-        edge(2, x1, y1, x0, y1), edge(3, x0, y1, x0, y0))
+def box_edges(x0: str, y0: str, x1: str, y1: str) -> Column:
+    """Edges of an axis-parallel box given by four column names."""
+    corners = [(x0, y0), (x1, y0), (x1, y1), (x0, y1)]
+    sides = ", ".join(
+        f"named_struct('part', 0, 'ring', 0, 'seq', {i}, 'n', 4, "
+        f"'x1', double({a[0]}), 'y1', double({a[1]}), 'x2', double({b[0]}), 'y2', double({b[1]}), "
+        "'areal', true)"
+        for i, (a, b) in enumerate(zip(corners, corners[1:] + corners[:1])))
+    return F.expr(f"array({sides})")
 
 
 def bounds(edges: Column) -> Column:

@@ -10,24 +10,29 @@ from groundcheck.fixed_values import SEVERITY_HIGH_RATIO, SEVERITY_MEDIUM_RATIO
 def fixed(value: Column, digits: int) -> Column:
     """Decimal text with ``digits`` places, rounding the stored binary value half to even.
 
-    ``format_string`` rounds the shortest decimal form instead, which differs at ties.  The fraction of
-    a double is an exact multiple of 2^-52, so integer arithmetic decides the rounding.
+    ``format_string`` rounds the shortest decimal form instead, which differs at ties.  The fraction is
+    cut into two exact integers (30 and 40 binary places), so integer arithmetic decides the rounding.
     """
     if not 1 <= digits <= 3:
         raise ValueError("digits must be 1, 2 or 3")
-    unit = 1 << 52
+    ten, high, low = 10**digits, 1 << 30, 1 << 40
     size = F.abs(value)
     whole = F.floor(size)
-    part = F.floor((size - whole) * float(unit)).cast("bigint") * (10**digits)
-    kept = F.shiftright(part, 52)
-    rest = part - F.shiftleft(kept, 52)
-    up = (rest > unit // 2) | ((rest == unit // 2) & (kept % 2 == 1))
+    scaled = (size - whole) * float(high)
+    top = F.floor(scaled)
+    tail = F.floor((scaled - top) * float(low)) * ten
+    units = top * ten + F.shiftright(tail, 40)
+    beyond = tail % low
+    kept = F.shiftright(units, 30)
+    rest = units % high
+    up = (rest > high // 2) | (
+        (rest == high // 2) & ((beyond > 0) | (kept % 2 == 1)))
     kept = kept + up.cast("bigint")
-    carry = (kept >= 10**digits).cast("bigint")
+    carry = (kept >= ten).cast("bigint")
     return F.concat(
         F.when(value < 0, "-").otherwise(""),
         (whole + carry).cast("string"), F.lit("."),
-        F.lpad((kept - carry * (10**digits)).cast("string"), digits, "0"))
+        F.lpad((kept - carry * ten).cast("string"), digits, "0"))
 
 
 def short_number(value: Column) -> Column:

@@ -11,7 +11,7 @@ block pair is still compared, so nothing is dropped.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from groundcheck.lineage import cut_lineage
 
@@ -23,16 +23,10 @@ BLOCK_ROWS = 16384
 _BOX = ("minx", "miny", "maxx", "maxy")
 
 
-def _size(level: Column) -> Column:
-    return F.pow(F.lit(4.0), level)
-
-
 def _home_level(df: DataFrame) -> DataFrame:
-    w, h = F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny")
-    side = F.greatest(F.least(w, h), F.greatest(w, h) / 30.0, F.lit(_FINEST))
-    level = F.ceil(F.log(side) / _LOG4).cast("int")
-    return df.withColumn("home", F.greatest(
-        F.lit(_LEVELS[0]), F.least(F.lit(_LEVELS[-1]), level)))
+    return df.withColumn("home", F.expr(f"""int(greatest({_LEVELS[0]}, least({_LEVELS[-1]}, ceil(log(
+      greatest(least(maxx - minx, maxy - miny), greatest(maxx - minx, maxy - miny) / 30, {_FINEST}D))
+      / {_LOG4}D))))"""))
 
 
 def _stats(df: DataFrame) -> tuple[int, list[int]]:
@@ -41,22 +35,13 @@ def _stats(df: DataFrame) -> tuple[int, list[int]]:
     return row["n"], sorted(row["levels"])
 
 
-def _level_array(levels: list[int]) -> Column:
-    return F.array(*[F.lit(k) for k in levels]) if levels else F.array().cast("array<int>")
-
-
-def _visits(df: DataFrame, visits: Column) -> DataFrame:
+def _visits(df: DataFrame, visits: str) -> DataFrame:
     """One row per (role, level, cell) that a box takes part in."""
-    one = df.withColumn("visit", F.explode(visits)).select(
-        *df.columns, F.col("visit.role").alias("role"), F.col("visit.level").alias("level"))
-    c = _size(F.col("level"))
-    return one.withColumn("cx", F.explode(F.sequence(
-        F.floor(F.col("minx") / c), F.floor(F.col("maxx") / c)))).withColumn(
-        "cy", F.explode(F.sequence(F.floor(F.col("miny") / c), F.floor(F.col("maxy") / c))))
-
-
-def _visit(role: int, level: Column) -> Column:
-    return F.struct(F.lit(role).alias("role"), level.cast("int").alias("level"))
+    return (
+        df.selectExpr("*", f"inline({visits})")
+        .selectExpr("*", "pow(4D, level) as size")
+        .selectExpr("*", "explode(sequence(floor(minx / size), floor(maxx / size))) as cx")
+        .selectExpr("*", "explode(sequence(floor(miny / size), floor(maxy / size))) as cy"))
 
 
 def _split_hot(a: DataFrame, b: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -106,15 +91,17 @@ def grid_pairs(
     na, levels_a = _stats(a)
     nb, levels_b = (na, levels_a) if self_join else _stats(b)
 
-    home = F.col("home")
-    a_visits = F.concat(
-        F.array(_visit(0, home)),
-        F.transform(F.filter(_level_array(levels_b), lambda m: m > home), lambda m: _visit(1, m)))
-    b_visits = F.transform(
-        F.filter(_level_array(levels_a), lambda m: m >= home), lambda m: _visit(0, m))
+    def lookups(levels: list[int], test: str, role: int) -> str:
+        listed = ", ".join(str(k) for k in levels) or "int(null)"
+        return (f"transform(filter(array({listed}), m -> m {test}), "
+                f"m -> named_struct('role', {role}, 'level', m))")
+
+    at_home = "array(named_struct('role', {}, 'level', home))"
+    a_visits = f"concat({at_home.format(0)}, {lookups(levels_b, '> home', 1)})"
+    b_visits = lookups(levels_a, ">= home", 0)
     if levels_a and levels_b and levels_a[0] < levels_b[-1]:
-        b_visits = F.concat(b_visits, F.when(home > levels_a[0], F.array(
-            _visit(1, home))).otherwise(F.array().cast("array<struct<role:int,level:int>>")))
+        b_visits = (f"concat({b_visits}, filter({at_home.format(1)}, "
+                    f"v -> v.level > {levels_a[0]}))")
     a, b = _visits(a, a_visits), _visits(b, b_visits)
 
     keys = ["role", "level", "cx", "cy"]
@@ -122,16 +109,17 @@ def grid_pairs(
         a, b = _split_hot(a, b, keys)
         keys = [*keys, "ba", "bb"]
 
-    a = a.select(*keys, *[F.col(c).alias(f"a_{c}") for c in dict.fromkeys(("ord", *_BOX, *keep_left))])
-    b = b.select(*keys, *[F.col(c).alias(f"b_{c}") for c in dict.fromkeys(("ord", *_BOX, *keep_right))])
-    c = _size(F.col("level"))
-    joined = a.join(b, keys).filter(
-        (F.col("a_minx") <= F.col("b_maxx")) & (F.col("b_minx") <= F.col("a_maxx"))
-        & (F.col("a_miny") <= F.col("b_maxy")) & (F.col("b_miny") <= F.col("a_maxy"))
-        & (F.floor(F.greatest("a_minx", "b_minx") / c) == F.col("cx"))
-        & (F.floor(F.greatest("a_miny", "b_miny") / c) == F.col("cy")))
+    def named(df: DataFrame, side: str, keep: tuple[str, ...]) -> DataFrame:
+        cols = dict.fromkeys(("ord", *_BOX, *keep))
+        size = ["size"] if side == "a" else []
+        return df.selectExpr(*keys, *size, *[f"{c} as {side}_{c}" for c in cols])
+
+    joined = named(a, "a", keep_left).join(named(b, "b", keep_right), keys).filter("""
+      a_minx <= b_maxx and b_minx <= a_maxx and a_miny <= b_maxy and b_miny <= a_maxy
+      and floor(greatest(a_minx, b_minx) / size) = cx
+      and floor(greatest(a_miny, b_miny) / size) = cy""")
     if self_join:
-        joined = joined.filter(F.col("a_ord") < F.col("b_ord"))
+        joined = joined.filter("a_ord < b_ord")
     kept = ["a_ord", "b_ord", *[f"a_{c}" for c in keep_left if c != "ord"],
             *[f"b_{c}" for c in keep_right if c != "ord"]]
     return joined.select(*kept)

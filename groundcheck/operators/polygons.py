@@ -95,38 +95,31 @@ def _with_edges(pairs: DataFrame, left: DataFrame, right: DataFrame, large: bool
     return p.join(_side(edge_strips(right, True), "b", "strip", "edges"), ["b_ord", "b_strip"])
 
 
-def _turn(ax, ay, bx, by, cx, cy) -> Column:
-    return F.signum((bx - ax) * (cy - ay) - (by - ay) * (cx - ax))
-
-
-def segments_meet(e: Column, g: Column) -> Column:
-    """Closed segments share a point."""
-    d1 = _turn(e["x1"], e["y1"], e["x2"], e["y2"], g["x1"], g["y1"])
-    d2 = _turn(e["x1"], e["y1"], e["x2"], e["y2"], g["x2"], g["y2"])
-    d3 = _turn(g["x1"], g["y1"], g["x2"], g["y2"], e["x1"], e["y1"])
-    d4 = _turn(g["x1"], g["y1"], g["x2"], g["y2"], e["x2"], e["y2"])
-    boxes = (
-        (F.least(e["x1"], e["x2"]) <= F.greatest(g["x1"], g["x2"]))
-        & (F.least(g["x1"], g["x2"]) <= F.greatest(e["x1"], e["x2"]))
-        & (F.least(e["y1"], e["y2"]) <= F.greatest(g["y1"], g["y2"]))
-        & (F.least(g["y1"], g["y2"]) <= F.greatest(e["y1"], e["y2"])))
-    return boxes & (d1 * d2 <= 0) & (d3 * d4 <= 0)
-
-
-def _shift(e: Column) -> Column:
-    """Edge relative to the pair's origin, so large map coordinates keep their precision."""
-    return F.struct(
-        e["ring"].alias("ring"), e["seq"].alias("seq"), e["areal"].alias("areal"),
-        (e["x1"] - F.col("ox")).alias("x1"), (e["y1"] - F.col("oy")).alias("y1"),
-        (e["x2"] - F.col("ox")).alias("x2"), (e["y2"] - F.col("oy")).alias("y2"))
-
-
-def _y_at(e: Column, x: Column) -> Column:
-    return e["y1"] + (e["y2"] - e["y1"]) * (x - e["x1"]) / F.nullif(e["x2"] - e["x1"], F.lit(0.0))
-
-
-def _sign(e: Column) -> Column:
-    return F.when(e["x2"] < e["x1"], 1.0).otherwise(-1.0)
+def _turn(a: str, b: str, c: str) -> str:
+    """Sign of the turn a-b-c, for points named ``<name>x, <name>y``."""
+    return f"signum(({b}x - {a}x) * ({c}y - {a}y) - ({b}y - {a}y) * ({c}x - {a}x))"
+
+
+# Edge e runs from p to q, edge g from u to v, both relative to the pair's origin.
+_EDGE_PAIR = (
+    "e.x1 - ox as px", "e.y1 - oy as py", "e.x2 - ox as qx", "e.y2 - oy as qy",
+    "g.x1 - ox as ux", "g.y1 - oy as uy", "g.x2 - ox as vx", "g.y2 - oy as vy",
+    "e.areal and g.areal as solid",
+    "e.seq = 0 and e.ring = 0 and g.areal as p_first",
+    "g.seq = 0 and g.ring = 0 and e.areal as u_first")
+_GEOMETRY = (
+    f"{_turn('p', 'q', 'u')} as d1", f"{_turn('p', 'q', 'v')} as d2",
+    f"{_turn('u', 'v', 'p')} as d3", f"{_turn('u', 'v', 'q')} as d4",
+    "greatest(least(px, qx), least(ux, vx)) as x0", "least(greatest(px, qx), greatest(ux, vx)) as x1",
+    "greatest(least(py, qy), least(uy, vy)) as y0", "least(greatest(py, qy), greatest(uy, vy)) as y1",
+    "if(qx < px, 1D, -1D) as es", "if(vx < ux, 1D, -1D) as gs",
+    "(qy - py) / nullif(qx - px, 0D) as em", "(vy - uy) / nullif(vx - ux, 0D) as gm")
+_MEET = "x0 <= x1 and y0 <= y1 and d1 * d2 <= 0 and d3 * d4 <= 0"
+# the first vertex of a ring counts the edges below it with their sign: 1 inside, 0 outside
+_BELOW_P = """if(p_first and lo <= px and (px < hi or hi = end) and least(ux, vx) <= px
+  and px < greatest(ux, vx) and uy + gm * (px - ux) < py, -gs, 0D)"""
+_BELOW_U = """if(u_first and lo <= ux and (ux < hi or hi = end) and least(px, qx) <= ux
+  and ux < greatest(px, qx) and py + em * (ux - px) < uy, -es, 0D)"""
 
 
 def pair_measures(
@@ -134,113 +127,88 @@ def pair_measures(
 ) -> DataFrame:
     """``a_ord, b_ord, area, cx, cy, meets`` for each pair.
 
-    ``left``/``right`` come from :func:`shape_table`.  ``cx, cy`` is the centroid of the common region
-    (null without area); ``meets`` is true when the closed shapes share a point.
+    ``left``/``right`` come from :func:`shape_table`.  ``meets`` is true when the closed shapes share a
+    point; ``cx, cy`` is the centroid of the common region, or of the contact line or points when the
+    common area is 0.
     """
     if large is None:
         large = not left.select("strips").unionByName(right.select("strips")).filter(
             F.col("strips") > 1).isEmpty()
-    p = _with_edges(pairs, left, right, large)
     keep = ["a_ord", "b_ord", "lo", "hi", "end", "ox", "oy"]
-    edges = p.select(*keep, "b_edges", F.explode("a_edges").alias("e")).filter(
-        (F.greatest("e.x1", "e.x2") >= F.col("lo")) & (F.least("e.x1", "e.x2") <= F.col("hi"))
-    ).select(*keep, "e", F.explode("b_edges").alias("g")).filter(
-        (F.greatest("g.x1", "g.x2") >= F.greatest("lo", F.least("e.x1", "e.x2")))
-        & (F.least("g.x1", "g.x2") <= F.least("hi", F.greatest("e.x1", "e.x2"))))
-    edges = edges.select(
-        "a_ord", "b_ord", "ox", "oy", (F.col("lo") - F.col("ox")).alias("lo"),
-        (F.col("hi") - F.col("ox")).alias("hi"), (F.col("end") - F.col("ox")).alias("end"),
-        _shift(F.col("e")).alias("e"), _shift(F.col("g")).alias("g"))
-
-    e, g = F.col("e"), F.col("g")
-    lo = F.greatest(F.col("lo"), F.least(e["x1"], e["x2"]), F.least(g["x1"], g["x2"]))
-    hi = F.least(F.col("hi"), F.greatest(e["x1"], e["x2"]), F.greatest(g["x1"], g["x2"]))
-    edges = edges.withColumns({"l": lo, "r": hi})
-    flat = e["areal"] & g["areal"] & (F.col("l") < F.col("r"))
-    el, er, gl, gr = (_y_at(s, F.col(x)) for s in (e, g) for x in ("l", "r"))
-    edges = edges.withColumns({
-        "s": F.when(flat, _sign(e) * _sign(g)),
-        "el": F.when(flat, el), "er": F.when(flat, er),
-        "gl": F.when(flat, gl), "gr": F.when(flat, gr)})
-    # min(y_a, y_b) is linear except at a crossing, so the common part splits there
-    w, dl, dr = F.col("r") - F.col("l"), F.col("el") - F.col("gl"), F.col("er") - F.col("gr")
-    cross = dl * dr < 0
-    edges = edges.withColumns({
-        "ml": F.least("el", "gl"), "mr": F.least("er", "gr"),
-        "t": F.when(cross, F.abs(dl) / (F.abs(dl) + F.abs(dr)))})
-    edges = edges.withColumn("mt", F.col("el") + (F.col("er") - F.col("el")) * F.col("t"))
-
-    def pieces(measure) -> Column:
-        mid = F.col("l") + w * F.col("t")
-        return F.col("s") * F.when(
-            F.col("t").isNull(), measure(F.col("l"), F.col("r"), F.col("ml"), F.col("mr"))
-        ).otherwise(measure(F.col("l"), mid, F.col("ml"), F.col("mt"))
-                    + measure(mid, F.col("r"), F.col("mt"), F.col("mr")))
-
-    area = pieces(lambda a, b, u, v: (b - a) * (u + v) / 2)
-    mx = pieces(lambda a, b, u, v: (b - a) * (a * (2 * u + v) + b * (u + 2 * v)) / 6)
-    my = pieces(lambda a, b, u, v: (b - a) * (u * u + u * v + v * v) / 6)
-
-    def inside(point: Column, edge: Column) -> Column:
-        """Signed count of edges below the first vertex of a ring: 1 inside, 0 outside."""
-        x, y = point["x1"], point["y1"]
-        spans = (F.least(edge["x1"], edge["x2"]) <= x) & (x < F.greatest(edge["x1"], edge["x2"]))
-        here = (F.col("lo") <= x) & ((x < F.col("hi")) | (F.col("hi") == F.col("end")))
-        first = (point["seq"] == 0) & (point["ring"] == 0)
-        below = _y_at(edge, x) < y
-        return F.when(first & edge["areal"] & spans & here & below, -_sign(edge)).otherwise(0.0)
-
-    sums = edges.groupBy("a_ord", "b_ord").agg(
-        F.min("ox").alias("ox"), F.min("oy").alias("oy"),
-        F.sum(area).alias("area"), F.sum(mx).alias("mx"), F.sum(my).alias("my"),
-        F.max(segments_meet(e, g)).alias("touch"),
-        F.sum(inside(e, g)).alias("in_b"), F.sum(inside(g, e)).alias("in_a"))
-    meets = F.coalesce(F.col("touch"), F.lit(False)) | (F.abs(F.col("in_b")) > 0.5) | (
-        F.abs(F.col("in_a")) > 0.5)
-    area_ok = F.when(meets, F.greatest(F.coalesce("area", F.lit(0.0)), F.lit(0.0))).otherwise(0.0)
-    sums = sums.withColumn("meets", meets).withColumn("area", area_ok)
-    has_area = F.col("area") > 0
-    return sums.select(
+    edges = (
+        _with_edges(pairs, left, right, large)
+        .selectExpr(*keep, "b_edges", "explode(a_edges) as e")
+        .filter("greatest(e.x1, e.x2) >= lo and least(e.x1, e.x2) <= hi")
+        .selectExpr(*keep, "e", "explode(b_edges) as g")
+        .filter("greatest(g.x1, g.x2) >= greatest(lo, least(e.x1, e.x2)) and "
+                "least(g.x1, g.x2) <= least(hi, greatest(e.x1, e.x2))")
+        .selectExpr("a_ord", "b_ord", "ox", "oy", "lo - ox as lo", "hi - ox as hi",
+                    "end - ox as end", *_EDGE_PAIR)
+        .selectExpr("*", *_GEOMETRY)
+        .selectExpr(
+            "*", f"({_MEET}) as meet", "d1 = 0 and d2 = 0 as along", "greatest(lo, x0) as l",
+            "least(hi, x1) as r")
+        .selectExpr(
+            "*", "if(solid and l < r, es * gs, null) as s",
+            "py + em * (l - px) as el", "py + em * (r - px) as er",
+            "uy + gm * (l - ux) as gl", "uy + gm * (r - ux) as gr",
+            """if(along, 0D, ((ux - px) * (vy - uy) - (uy - py) * (vx - ux))
+              / nullif((qx - px) * (vy - uy) - (qy - py) * (vx - ux), 0D)) as at""")
+        # min of two lines is linear except at a crossing, so the common part splits there
+        .selectExpr(
+            "*", "least(el, gl) as ml", "least(er, gr) as mr",
+            """if((el - gl) * (er - gr) < 0,
+              l + (r - l) * abs(el - gl) / (abs(el - gl) + abs(er - gr)), r) as t""")
+        .selectExpr("*", "if(t < r, el + em * (t - l), mr) as mt")
+        .selectExpr(
+            "a_ord", "b_ord", "ox", "oy", "meet",
+            "s * ((t - l) * (ml + mt) + (r - t) * (mt + mr)) / 2 as area",
+            """s * ((t - l) * (l * (2 * ml + mt) + t * (ml + 2 * mt))
+              + (r - t) * (t * (2 * mt + mr) + r * (mt + 2 * mr))) / 6 as mx""",
+            """s * ((t - l) * (ml * ml + ml * mt + mt * mt)
+              + (r - t) * (mt * mt + mt * mr + mr * mr)) / 6 as my""",
+            f"{_BELOW_P} as in_b", f"{_BELOW_U} as in_a",
+            "if(meet, if(along, sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)), 0D), null) as len",
+            "if(meet, if(along, (x0 + x1) / 2, px + at * (qx - px)), null) as tx",
+            "if(meet, if(along, (y0 + y1) / 2, py + at * (qy - py)), null) as ty"))
+    sums = edges.groupBy("a_ord", "b_ord").agg(*[F.expr(e) for e in (
+        "min(ox) as ox", "min(oy) as oy", "sum(area) as area", "sum(mx) as mx", "sum(my) as my",
+        "coalesce(max(meet), false) or abs(sum(in_b)) > 0.5 or abs(sum(in_a)) > 0.5 as meets",
+        "sum(len) as len", "sum(len * tx) as lx", "sum(len * ty) as ly", "count(len) as n",
+        "sum(tx) as tx", "sum(ty) as ty")])
+    return sums.withColumn(
+        "area", F.expr("if(meets, greatest(coalesce(area, 0D), 0D), 0D)")
+    ).selectExpr(
         "a_ord", "b_ord", "area",
-        F.when(has_area, F.col("ox") + F.col("mx") / F.col("area")).alias("cx"),
-        F.when(has_area, F.col("oy") + F.col("my") / F.col("area")).alias("cy"), "meets")
+        "ox + case when area > 0 then mx / area when len > 0 then lx / len when n > 0 then tx / n end as cx",
+        "oy + case when area > 0 then my / area when len > 0 then ly / len when n > 0 then ty / n end as cy",
+        "meets")
 
 
-def _point_segment(px: Column, py: Column, e: Column) -> Column:
-    dx, dy = e["x2"] - e["x1"], e["y2"] - e["y1"]
-    length2 = F.nullif(dx * dx + dy * dy, F.lit(0.0))
-    t = F.coalesce(((px - e["x1"]) * dx + (py - e["y1"]) * dy) / length2, F.lit(0.0))
-    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
-    return F.hypot(px - (e["x1"] + t * dx), py - (e["y1"] + t * dy))
+def _gap(x: str, y: str, a: str, b: str) -> str:
+    """Distance from a point to segment a-b."""
+    t = (f"greatest(0D, least(1D, coalesce((({x} - {a}x) * ({b}x - {a}x) + ({y} - {a}y) * ({b}y - {a}y)) "
+         f"/ nullif(({b}x - {a}x) * ({b}x - {a}x) + ({b}y - {a}y) * ({b}y - {a}y), 0D), 0D)))")
+    return f"hypot({x} - ({a}x + {t} * ({b}x - {a}x)), {y} - ({a}y + {t} * ({b}y - {a}y)))"
 
 
 def pair_distances(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     """``a_ord, b_ord, distance`` for pairs of shapes; 0 when they share a point."""
-    cols = (*_LAYOUT[:4], "edges")
-    p = pairs.select("a_ord", "b_ord").join(_side(left, "a", *cols), "a_ord").join(
-        _side(right, "b", *cols), "b_ord")
-    p = p.withColumn("ox", F.col("a_minx")).withColumn("oy", F.col("a_miny"))
-    edges = p.select("a_ord", "b_ord", "ox", "oy", "b_edges", F.explode("a_edges").alias("e")).select(
-        "a_ord", "b_ord", "ox", "oy", "e", F.explode("b_edges").alias("g"))
-    edges = edges.select(
-        "a_ord", "b_ord", _shift(F.col("e")).alias("e"), _shift(F.col("g")).alias("g"))
-    e, g = F.col("e"), F.col("g")
-
-    def inside(point: Column, edge: Column) -> Column:
-        x, y = point["x1"], point["y1"]
-        spans = (F.least(edge["x1"], edge["x2"]) <= x) & (x < F.greatest(edge["x1"], edge["x2"]))
-        first = (point["seq"] == 0) & (point["ring"] == 0) & edge["areal"]
-        return F.when(first & spans & (_y_at(edge, x) < y), -_sign(edge)).otherwise(0.0)
-
-    apart = F.least(
-        _point_segment(e["x1"], e["y1"], g), _point_segment(e["x2"], e["y2"], g),
-        _point_segment(g["x1"], g["y1"], e), _point_segment(g["x2"], g["y2"], e))
-    gap = F.when(segments_meet(e, g), 0.0).otherwise(apart)
-    sums = edges.groupBy("a_ord", "b_ord").agg(
-        F.min(gap).alias("gap"), F.sum(inside(e, g)).alias("in_b"), F.sum(inside(g, e)).alias("in_a"))
-    contained = (F.abs(F.col("in_b")) > 0.5) | (F.abs(F.col("in_a")) > 0.5)
-    return sums.select(
-        "a_ord", "b_ord", F.when(contained, 0.0).otherwise(F.col("gap")).alias("distance"))
+    cols = (*_LAYOUT[:2], "edges")
+    keep = ["a_ord", "b_ord", "a_minx as ox", "a_miny as oy"]
+    edges = (
+        pairs.select("a_ord", "b_ord").join(_side(left, "a", *cols), "a_ord").join(
+            _side(right, "b", *cols), "b_ord")
+        .selectExpr(*keep, "b_edges", "explode(a_edges) as e")
+        .selectExpr("a_ord", "b_ord", "ox", "oy", "e", "explode(b_edges) as g")
+        .selectExpr("a_ord", "b_ord", "-1e300D as lo", "1e300D as hi", "1e300D as end", *_EDGE_PAIR)
+        .selectExpr("*", *_GEOMETRY)
+        .selectExpr(
+            "a_ord", "b_ord", f"{_BELOW_P} as in_b", f"{_BELOW_U} as in_a",
+            f"""if({_MEET}, 0D, least({_gap('px', 'py', 'u', 'v')}, {_gap('qx', 'qy', 'u', 'v')},
+              {_gap('ux', 'uy', 'p', 'q')}, {_gap('vx', 'vy', 'p', 'q')})) as gap"""))
+    return edges.groupBy("a_ord", "b_ord").agg(F.expr(
+        "if(abs(sum(in_b)) > 0.5 or abs(sum(in_a)) > 0.5, 0D, min(gap)) as distance"))
 
 
 def validity(shapes: DataFrame, large: bool | None = None) -> DataFrame:
@@ -250,59 +218,41 @@ def validity(shapes: DataFrame, large: bool | None = None) -> DataFrame:
     and parts may not lie in one another.  Edges are compared inside one x-strip only.
     """
     areal = shapes.filter(F.exists("edges", lambda e: e["areal"]))
-    strips = edge_strips(areal, large)
-    pairs = strips.select("ord", "strip", "edges", F.explode("edges").alias("e")).select(
-        "ord", "strip", "e", F.explode("edges").alias("g"))
-    e, g = F.col("e"), F.col("g")
-    same_part = e["part"] == g["part"]
-    same_ring = same_part & (e["ring"] == g["ring"])
-    before = (e["part"] < g["part"]) | (
-        same_part & ((e["ring"] < g["ring"]) | ((e["ring"] == g["ring"]) & (e["seq"] < g["seq"]))))
-
-    d1 = _turn(e["x1"], e["y1"], e["x2"], e["y2"], g["x1"], g["y1"])
-    d2 = _turn(e["x1"], e["y1"], e["x2"], e["y2"], g["x2"], g["y2"])
-    d3 = _turn(g["x1"], g["y1"], g["x2"], g["y2"], e["x1"], e["y1"])
-    d4 = _turn(g["x1"], g["y1"], g["x2"], g["y2"], e["x2"], e["y2"])
-    proper = (d1 * d2 < 0) & (d3 * d4 < 0)
-    common_x = F.least(F.greatest(e["x1"], e["x2"]), F.greatest(g["x1"], g["x2"])) - F.greatest(
-        F.least(e["x1"], e["x2"]), F.least(g["x1"], g["x2"]))
-    common_y = F.least(F.greatest(e["y1"], e["y2"]), F.greatest(g["y1"], g["y2"])) - F.greatest(
-        F.least(e["y1"], e["y2"]), F.least(g["y1"], g["y2"]))
-    along = (d1 == 0) & (d2 == 0) & (common_x >= 0) & (common_y >= 0) & (common_x + common_y > 0)
-    step = g["seq"] - e["seq"]
-    neighbours = same_ring & ((step == 1) | (step == e["n"] - 1))
-    crossing = before & (proper | along)
-    self_touch = before & same_ring & ~neighbours & segments_meet(e, g)
-
-    # first vertex of ring e against the edges of its own outer ring, or of another part
-    x, y = e["x1"], e["y1"]
-    spans = (F.least(g["x1"], g["x2"]) <= x) & (x < F.greatest(g["x1"], g["x2"]))
-    below = F.when((e["seq"] == 0) & spans & (_y_at(g, x) < y), -_sign(g)).otherwise(0.0)
-    on_edge = (e["seq"] == 0) & (_point_segment(x, y, g) == 0)
-    hole_pair = same_part & (e["ring"] > 0) & (g["ring"] == 0)
-    part_pair = (e["part"] != g["part"]) & (e["ring"] == 0)
-
-    # a ring's first vertex may fall in several strips only at a strip border; keep one answer a strip
-    per_strip = pairs.groupBy("ord", "strip").agg(
-        F.max(crossing).alias("crossing"), F.max(self_touch).alias("self_touch"),
-        F.max((e["n"] < 3)).alias("short"))
-    rings = pairs.filter((hole_pair | part_pair) & (e["seq"] == 0)).groupBy(
-        "ord", "strip", F.col("e.part").alias("part"), F.col("e.ring").alias("ring"),
-        F.col("g.part").alias("other"),
-    ).agg(F.sum(below).alias("wind"), F.max(on_edge).alias("on_edge"),
-          F.max(hole_pair).alias("hole"))
-    rings = rings.groupBy("ord", "part", "ring", "other").agg(
-        F.max(F.abs("wind")).alias("wind"), F.max("on_edge").alias("on_edge"),
-        F.max("hole").alias("hole")).groupBy("ord").agg(
-        F.max(F.col("hole") & (F.col("wind") < 0.5) & ~F.col("on_edge")).alias("hole_out"),
-        F.max(~F.col("hole") & (F.col("wind") > 0.5) & ~F.col("on_edge")).alias("nested"))
-    faults = per_strip.groupBy("ord").agg(
-        F.max("crossing").alias("crossing"), F.max("self_touch").alias("self_touch"),
-        F.max("short").alias("short")).join(rings, "ord", "left")
-    reason = (
-        F.when(F.col("short"), "Too few points in geometry component")
-        .when(F.col("crossing"), "Self-intersection")
-        .when(F.col("self_touch"), "Ring Self-intersection")
-        .when(F.col("hole_out"), "Hole lies outside shell")
-        .when(F.col("nested"), "Nested shells"))
-    return faults.select("ord", reason.alias("reason")).filter(F.col("reason").isNotNull())
+    pairs = (
+        edge_strips(areal, large)
+        .selectExpr("ord", "strip", "edges", "explode(edges) as e")
+        .selectExpr("ord", "strip", "e", "explode(edges) as g")
+        .selectExpr(
+            "ord", "strip", "e.part as ep", "e.ring as er", "e.seq as ei", "e.n as n",
+            "g.part as gp", "g.ring as gr", "g.seq as gi",
+            "e.x1 as px", "e.y1 as py", "e.x2 as qx", "e.y2 as qy",
+            "g.x1 as ux", "g.y1 as uy", "g.x2 as vx", "g.y2 as vy")
+        .selectExpr("*", *_GEOMETRY)
+        .selectExpr(
+            "ord", "strip", "n", "ep", "er", "gp", f"({_MEET}) as meet",
+            "struct(ep, er, ei) < struct(gp, gr, gi) as ahead", "ep = gp and er = gr as same_ring",
+            "gi - ei = 1 or gi - ei = n - 1 as next",
+            "d1 * d2 < 0 and d3 * d4 < 0 as proper",
+            "d1 = 0 and d2 = 0 and x0 <= x1 and y0 <= y1 and (x0 < x1 or y0 < y1) as along",
+            # first vertex of a ring against the outer ring of its part, or against another part
+            "ei = 0 and ep = gp and er > 0 and gr = 0 as hole_test",
+            "ei = 0 and ep <> gp and er = 0 as part_test",
+            """if(least(ux, vx) <= px and px < greatest(ux, vx) and uy + gm * (px - ux) < py, -gs, 0D)
+              as below""",
+            f"{_gap('px', 'py', 'u', 'v')} = 0 as on_edge"))
+    crossings = pairs.groupBy("ord").agg(*[F.expr(e) for e in (
+        "max(n < 3) as short", "max(ahead and (proper or along)) as crossing",
+        "max(ahead and same_ring and not next and meet) as self_touch")])
+    rings = pairs.filter("hole_test or part_test").groupBy(
+        "ord", "strip", "ep", "er", "gp", "hole_test").agg(
+        F.expr("abs(sum(below)) as wind"), F.expr("max(on_edge) as on_edge"))
+    # in one strip the count below a vertex is complete; other strips can only add zeros
+    rings = rings.groupBy("ord", "ep", "er", "gp", "hole_test").agg(
+        F.expr("max(wind) as wind"), F.expr("max(on_edge) as on_edge")).groupBy("ord").agg(
+        F.expr("max(hole_test and wind < 0.5 and not on_edge) as hole_out"),
+        F.expr("max(not hole_test and wind > 0.5 and not on_edge) as nested"))
+    reason = F.expr("""case when short then 'Too few points in geometry component'
+      when crossing then 'Self-intersection' when self_touch then 'Ring Self-intersection'
+      when hole_out then 'Hole lies outside shell' when nested then 'Nested shells' end""")
+    return crossings.join(rings, "ord", "left").select("ord", reason.alias("reason")).filter(
+        F.col("reason").isNotNull())
