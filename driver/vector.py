@@ -96,6 +96,16 @@ def _warnings(spark, sf_dir) -> DataFrame:
         unit_length=L.UNIT_LENGTH, **KW)
 
 
+def _scores(spark, sf_dir) -> DataFrame:
+    features = _stacked(spark, sf_dir)
+    _, scores = validation.validate_and_score(
+        features.select("feature_id", "ord", "feature_type", "source", "review_status", "confidence",
+                        "area_sqm"),
+        features, L.boxes(spark, sf_dir, L.ROADS), L.boxes(spark, sf_dir, L.PARCELS),
+        unit_length=L.UNIT_LENGTH, **KW)
+    return scores
+
+
 def overlap_pairs(spark, sf_dir) -> DataFrame:
     """Overlapping reference buildings with area, severity and centroid."""
     w = topology.overlap_warnings(_buildings(spark, sf_dir), 5, **KW)
@@ -172,10 +182,7 @@ def narration(spark, sf_dir) -> DataFrame:
 
 
 def review_scores(spark, sf_dir) -> DataFrame:
-    features = _stacked(spark, sf_dir).select(
-        "feature_id", "ord", "feature_type", "source", "review_status", "confidence", "area_sqm")
-    s = scoring.review_scores(features, _warnings(spark, sf_dir))
-    return s.select(
+    return _scores(spark, sf_dir).select(
         "feature_id", "feature_type", "total_score", "priority",
         F.col("n_warnings").cast("bigint").alias("n_warnings"),
         F.array_join(F.transform("rules", lambda r: r["rule_id"]), ",").alias("rule_ids"))
@@ -183,10 +190,7 @@ def review_scores(spark, sf_dir) -> DataFrame:
 
 def score_rules(spark, sf_dir) -> DataFrame:
     """One row per triggered rule with its wording."""
-    features = _stacked(spark, sf_dir).select(
-        "feature_id", "ord", "feature_type", "source", "review_status", "confidence", "area_sqm")
-    s = scoring.review_scores(features, _warnings(spark, sf_dir))
-    return s.select("feature_id", F.explode("rules").alias("r")).select(
+    return _scores(spark, sf_dir).select("feature_id", F.explode("rules").alias("r")).select(
         "feature_id", "r.rule_id", "r.points", "r.description")
 
 

@@ -100,96 +100,147 @@ def _turn(a: str, b: str, c: str) -> str:
     return f"signum(({b}x - {a}x) * ({c}y - {a}y) - ({b}y - {a}y) * ({c}x - {a}x))"
 
 
-# Edge e runs from p to q, edge g from u to v, both relative to the pair's origin.
+def _solid(expr: str) -> str:
+    """A value known not to be null: keeps null checks out of the generated code downstream."""
+    return f"coalesce({expr}, 0D)"
+
+
+def _divide(a: str, b: str) -> str:
+    return _solid(f"try_divide({a}, {b})")
+
+
+# Edge e runs from p to q, edge g from u to v, both relative to the pair's origin.  The work per edge
+# pair is staged in small projections: the generated method must stay small enough to be compiled.
 _EDGE_PAIR = (
-    "e.x1 - ox as px", "e.y1 - oy as py", "e.x2 - ox as qx", "e.y2 - oy as qy",
-    "g.x1 - ox as ux", "g.y1 - oy as uy", "g.x2 - ox as vx", "g.y2 - oy as vy",
-    "e.areal and g.areal as solid",
-    "e.seq = 0 and e.ring = 0 and g.areal as p_first",
-    "g.seq = 0 and g.ring = 0 and e.areal as u_first")
+    *[f"{_solid(f'{s}.{c}{i} - o{c}')} as {n}{c}"
+      for s, i, n in (("e", 1, "p"), ("e", 2, "q"), ("g", 1, "u"), ("g", 2, "v")) for c in "xy"],
+    "coalesce(e.areal and g.areal, false) as solid",
+    "coalesce(e.seq = 0 and e.ring = 0 and g.areal, false) as p_first",
+    "coalesce(g.seq = 0 and g.ring = 0 and e.areal, false) as u_first")
 _GEOMETRY = (
     f"{_turn('p', 'q', 'u')} as d1", f"{_turn('p', 'q', 'v')} as d2",
     f"{_turn('u', 'v', 'p')} as d3", f"{_turn('u', 'v', 'q')} as d4",
     "greatest(least(px, qx), least(ux, vx)) as x0", "least(greatest(px, qx), greatest(ux, vx)) as x1",
     "greatest(least(py, qy), least(uy, vy)) as y0", "least(greatest(py, qy), greatest(uy, vy)) as y1",
-    "if(qx < px, 1D, -1D) as es", "if(vx < ux, 1D, -1D) as gs",
-    "(qy - py) / nullif(qx - px, 0D) as em", "(vy - uy) / nullif(vx - ux, 0D) as gm")
+    f"{_divide('qy - py', 'qx - px')} as em", f"{_divide('vy - uy', 'vx - ux')} as gm")
 _MEET = "x0 <= x1 and y0 <= y1 and d1 * d2 <= 0 and d3 * d4 <= 0"
 # the first vertex of a ring counts the edges below it with their sign: 1 inside, 0 outside
 _BELOW_P = """if(p_first and lo <= px and (px < hi or hi = end) and least(ux, vx) <= px
-  and px < greatest(ux, vx) and uy + gm * (px - ux) < py, -gs, 0D)"""
+  and px < greatest(ux, vx) and uy + gm * (px - ux) < py, if(vx < ux, -1D, 1D), 0D)"""
 _BELOW_U = """if(u_first and lo <= ux and (ux < hi or hi = end) and least(px, qx) <= ux
-  and ux < greatest(px, qx) and py + em * (ux - px) < uy, -es, 0D)"""
+  and ux < greatest(px, qx) and py + em * (ux - px) < uy, if(qx < px, -1D, 1D), 0D)"""
 
 
-def pair_measures(
-    pairs: DataFrame, left: DataFrame, right: DataFrame, large: bool | None = None,
-) -> DataFrame:
-    """``a_ord, b_ord, area, cx, cy, meets`` for each pair.
-
-    ``left``/``right`` come from :func:`shape_table`.  ``meets`` is true when the closed shapes share a
-    point; ``cx, cy`` is the centroid of the common region, or of the contact line or points when the
-    common area is 0.
-    """
-    if large is None:
-        large = not left.select("strips").unionByName(right.select("strips")).filter(
-            F.col("strips") > 1).isEmpty()
+def _edge_pairs(pairs: DataFrame, left: DataFrame, right: DataFrame, large: bool) -> DataFrame:
+    """One row per pair of edges with a common x-range, relative to the pair's origin."""
     keep = ["a_ord", "b_ord", "lo", "hi", "end", "ox", "oy"]
-    edges = (
+    return (
         _with_edges(pairs, left, right, large)
         .selectExpr(*keep, "b_edges", "explode(a_edges) as e")
         .filter("greatest(e.x1, e.x2) >= lo and least(e.x1, e.x2) <= hi")
         .selectExpr(*keep, "e", "explode(b_edges) as g")
         .filter("greatest(g.x1, g.x2) >= greatest(lo, least(e.x1, e.x2)) and "
                 "least(g.x1, g.x2) <= least(hi, greatest(e.x1, e.x2))")
-        .selectExpr("a_ord", "b_ord", "ox", "oy", "lo - ox as lo", "hi - ox as hi",
-                    "end - ox as end", *_EDGE_PAIR)
-        .selectExpr("*", *_GEOMETRY)
         .selectExpr(
-            "*", f"({_MEET}) as meet", "d1 = 0 and d2 = 0 as along", "greatest(lo, x0) as l",
-            "least(hi, x1) as r")
+            "a_ord", "b_ord", f"{_solid('ox')} as ox", f"{_solid('oy')} as oy",
+            *[f"{_solid(f'{c} - ox')} as {c}" for c in ("lo", "hi", "end")], *_EDGE_PAIR)
+        .selectExpr("*", *_GEOMETRY))
+
+
+def _any_large(left: DataFrame, right: DataFrame) -> bool:
+    return not left.select("strips").unionByName(right.select("strips")).filter(
+        F.col("strips") > 1).isEmpty()
+
+
+# the integration interval, both lines at its ends, and the sign of the term (0 without common area)
+_SPAN = ("greatest(lo, x0) as l", "least(hi, x1) as r")
+_HEIGHTS = (
+    "if(solid and l < r, if((qx < px) = (vx < ux), 1D, -1D), 0D) as s",
+    "py + em * (l - px) as el", "py + em * (r - px) as er",
+    "uy + gm * (l - ux) as gl", "uy + gm * (r - ux) as gr")
+# min of two lines is linear except at a crossing, so the common part splits there
+_CROSSING = (
+    "least(el, gl) as ml", "least(er, gr) as mr",
+    "if((el - gl) * (er - gr) < 0, " + _divide(
+        "(r - l) * abs(el - gl)", "abs(el - gl) + abs(er - gr)") + ", r - l) as w")
+_SPLIT = ("if(w < r - l, el + em * w, mr) as mt",)
+
+
+def pair_measures(
+    pairs: DataFrame, left: DataFrame, right: DataFrame, large: bool | None = None,
+) -> DataFrame:
+    """``a_ord, b_ord, area, meets`` for each pair; ``meets`` when the closed shapes share a point.
+
+    ``left``/``right`` come from :func:`shape_table`.
+    """
+    large = _any_large(left, right) if large is None else large
+    terms = (
+        _edge_pairs(pairs, left, right, large)
         .selectExpr(
-            "*", "if(solid and l < r, es * gs, null) as s",
-            "py + em * (l - px) as el", "py + em * (r - px) as er",
-            "uy + gm * (l - ux) as gl", "uy + gm * (r - ux) as gr",
-            """if(along, 0D, ((ux - px) * (vy - uy) - (uy - py) * (vx - ux))
-              / nullif((qx - px) * (vy - uy) - (qy - py) * (vx - ux), 0D)) as at""")
-        # min of two lines is linear except at a crossing, so the common part splits there
+            "a_ord", "b_ord", "px", "py", "qx", "ux", "uy", "vx", "em", "gm", "lo", "hi", "solid",
+            "x0", "x1", f"({_MEET}) as meet", f"{_BELOW_P} as in_b", f"{_BELOW_U} as in_a")
+        .selectExpr("*", *_SPAN)
+        .selectExpr("a_ord", "b_ord", "meet", "in_b", "in_a", "l", "r", "em", *_HEIGHTS)
+        .selectExpr("*", *_CROSSING).selectExpr("*", *_SPLIT)
+        .selectExpr("a_ord", "b_ord", "meet", "in_b", "in_a",
+                    "s * (w * (ml + mt) + (r - l - w) * (mt + mr)) as area2"))
+    sums = terms.groupBy("a_ord", "b_ord").agg(
+        F.sum("area2").alias("area2"), F.max("meet").alias("meet"),
+        F.sum("in_b").alias("in_b"), F.sum("in_a").alias("in_a"))
+    return sums.selectExpr(
+        "a_ord", "b_ord", "area2", "meet or abs(in_b) > 0.5 or abs(in_a) > 0.5 as meets",
+    ).selectExpr("a_ord", "b_ord", "if(meets, greatest(area2 / 2, 0D), 0D) as area", "meets")
+
+
+def pair_centroids(
+    pairs: DataFrame, left: DataFrame, right: DataFrame, large: bool | None = None,
+) -> DataFrame:
+    """``a_ord, b_ord, cx, cy``: centre of the common region of pairs that meet.
+
+    Without common area it is the centre of the contact line, or the mean contact point.
+    """
+    large = _any_large(left, right) if large is None else large
+    terms = (
+        _edge_pairs(pairs, left, right, large)
+        .selectExpr("*", f"({_MEET}) as meet", "d1 = 0 and d2 = 0 as along", *_SPAN,
+                    _divide("(ux - px) * (vy - uy) - (uy - py) * (vx - ux)",
+                            "(qx - px) * (vy - uy) - (qy - py) * (vx - ux)") + " as at")
         .selectExpr(
-            "*", "least(el, gl) as ml", "least(er, gr) as mr",
-            """if((el - gl) * (er - gr) < 0,
-              l + (r - l) * abs(el - gl) / (abs(el - gl) + abs(er - gr)), r) as t""")
-        .selectExpr("*", "if(t < r, el + em * (t - l), mr) as mt")
+            "a_ord", "b_ord", "ox", "oy", "l", "r", "em", *_HEIGHTS,
+            "if(meet, 1D, 0D) as n", "if(meet and along, x1 - x0 + y1 - y0, 0D) as len",
+            "if(meet, if(along, (x0 + x1) / 2, px + at * (qx - px)), 0D) as tx",
+            "if(meet, if(along, (y0 + y1) / 2, py + at * (qy - py)), 0D) as ty")
+        .selectExpr("*", *_CROSSING).selectExpr("*", *_SPLIT).selectExpr("*", "l + w as t")
         .selectExpr(
-            "a_ord", "b_ord", "ox", "oy", "meet",
-            "s * ((t - l) * (ml + mt) + (r - t) * (mt + mr)) / 2 as area",
-            """s * ((t - l) * (l * (2 * ml + mt) + t * (ml + 2 * mt))
+            "a_ord", "b_ord", "ox", "oy", "n", "len", "tx", "ty",
+            "s * (w * (ml + mt) + (r - t) * (mt + mr)) / 2 as area",
+            """s * (w * (l * (2 * ml + mt) + t * (ml + 2 * mt))
               + (r - t) * (t * (2 * mt + mr) + r * (mt + 2 * mr))) / 6 as mx""",
-            """s * ((t - l) * (ml * ml + ml * mt + mt * mt)
-              + (r - t) * (mt * mt + mt * mr + mr * mr)) / 6 as my""",
-            f"{_BELOW_P} as in_b", f"{_BELOW_U} as in_a",
-            "if(meet, if(along, sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)), 0D), null) as len",
-            "if(meet, if(along, (x0 + x1) / 2, px + at * (qx - px)), null) as tx",
-            "if(meet, if(along, (y0 + y1) / 2, py + at * (qy - py)), null) as ty"))
-    sums = edges.groupBy("a_ord", "b_ord").agg(*[F.expr(e) for e in (
+            """s * (w * (ml * ml + ml * mt + mt * mt)
+              + (r - t) * (mt * mt + mt * mr + mr * mr)) / 6 as my"""))
+    sums = terms.groupBy("a_ord", "b_ord").agg(*[F.expr(e) for e in (
         "min(ox) as ox", "min(oy) as oy", "sum(area) as area", "sum(mx) as mx", "sum(my) as my",
-        "coalesce(max(meet), false) or abs(sum(in_b)) > 0.5 or abs(sum(in_a)) > 0.5 as meets",
-        "sum(len) as len", "sum(len * tx) as lx", "sum(len * ty) as ly", "count(len) as n",
+        "sum(n) as n", "sum(len) as len", "sum(len * tx) as lx", "sum(len * ty) as ly",
         "sum(tx) as tx", "sum(ty) as ty")])
-    return sums.withColumn(
-        "area", F.expr("if(meets, greatest(coalesce(area, 0D), 0D), 0D)")
-    ).selectExpr(
-        "a_ord", "b_ord", "area",
-        "ox + case when area > 0 then mx / area when len > 0 then lx / len when n > 0 then tx / n end as cx",
-        "oy + case when area > 0 then my / area when len > 0 then ly / len when n > 0 then ty / n end as cy",
-        "meets")
 
+    def centre(origin: str, moment: str, line: str, point: str) -> str:
+        return (f"{origin} + case when area > 1e-9 * (1 + abs(ox)) then {moment} / area "
+                f"when len > 0 then {line} / len when n > 0 then {point} / n end")
+
+    return sums.selectExpr(
+        "a_ord", "b_ord", f"{centre('ox', 'mx', 'lx', 'tx')} as cx",
+        f"{centre('oy', 'my', 'ly', 'ty')} as cy")
 
-def _gap(x: str, y: str, a: str, b: str) -> str:
-    """Distance from a point to segment a-b."""
-    t = (f"greatest(0D, least(1D, coalesce((({x} - {a}x) * ({b}x - {a}x) + ({y} - {a}y) * ({b}y - {a}y)) "
-         f"/ nullif(({b}x - {a}x) * ({b}x - {a}x) + ({b}y - {a}y) * ({b}y - {a}y), 0D), 0D)))")
-    return f"hypot({x} - ({a}x + {t} * ({b}x - {a}x)), {y} - ({a}y + {t} * ({b}y - {a}y)))"
+
+def _foot(x: str, y: str, a: str, b: str) -> str:
+    """Where the point projects on segment a-b: 0 at a, 1 at b."""
+    return "greatest(0D, least(1D, " + _divide(
+        f"({x} - {a}x) * ({b}x - {a}x) + ({y} - {a}y) * ({b}y - {a}y)",
+        f"({b}x - {a}x) * ({b}x - {a}x) + ({b}y - {a}y) * ({b}y - {a}y)") + "))"
+
+
+def _gap(x: str, y: str, a: str, b: str, foot: str) -> str:
+    return f"hypot({x} - {a}x - {foot} * ({b}x - {a}x), {y} - {a}y - {foot} * ({b}y - {a}y))"
 
 
 def pair_distances(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
@@ -204,9 +255,15 @@ def pair_distances(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataF
         .selectExpr("a_ord", "b_ord", "-1e300D as lo", "1e300D as hi", "1e300D as end", *_EDGE_PAIR)
         .selectExpr("*", *_GEOMETRY)
         .selectExpr(
-            "a_ord", "b_ord", f"{_BELOW_P} as in_b", f"{_BELOW_U} as in_a",
-            f"""if({_MEET}, 0D, least({_gap('px', 'py', 'u', 'v')}, {_gap('qx', 'qy', 'u', 'v')},
-              {_gap('ux', 'uy', 'p', 'q')}, {_gap('vx', 'vy', 'p', 'q')})) as gap"""))
+            "a_ord", "b_ord", *[f"{p}{c}" for p in "pquv" for c in "xy"],
+            f"({_MEET}) as meet", f"{_BELOW_P} as in_b", f"{_BELOW_U} as in_a",
+            f"{_foot('px', 'py', 'u', 'v')} as fp", f"{_foot('qx', 'qy', 'u', 'v')} as fq",
+            f"{_foot('ux', 'uy', 'p', 'q')} as fu", f"{_foot('vx', 'vy', 'p', 'q')} as fv")
+        .selectExpr(
+            "a_ord", "b_ord", "in_b", "in_a", "meet",
+            f"least({_gap('px', 'py', 'u', 'v', 'fp')}, {_gap('qx', 'qy', 'u', 'v', 'fq')}) as g1",
+            f"least({_gap('ux', 'uy', 'p', 'q', 'fu')}, {_gap('vx', 'vy', 'p', 'q', 'fv')}) as g2")
+        .selectExpr("a_ord", "b_ord", "in_b", "in_a", "if(meet, 0D, least(g1, g2)) as gap"))
     return edges.groupBy("a_ord", "b_ord").agg(F.expr(
         "if(abs(sum(in_b)) > 0.5 or abs(sum(in_a)) > 0.5, 0D, min(gap)) as distance"))
 
@@ -225,8 +282,9 @@ def validity(shapes: DataFrame, large: bool | None = None) -> DataFrame:
         .selectExpr(
             "ord", "strip", "e.part as ep", "e.ring as er", "e.seq as ei", "e.n as n",
             "g.part as gp", "g.ring as gr", "g.seq as gi",
-            "e.x1 as px", "e.y1 as py", "e.x2 as qx", "e.y2 as qy",
-            "g.x1 as ux", "g.y1 as uy", "g.x2 as vx", "g.y2 as vy")
+            *[f"{_solid(f'{s}.{c}{i}')} as {n}{c}"
+              for s, i, n in (("e", 1, "p"), ("e", 2, "q"), ("g", 1, "u"), ("g", 2, "v"))
+              for c in "xy"])
         .selectExpr("*", *_GEOMETRY)
         .selectExpr(
             "ord", "strip", "n", "ep", "er", "gp", f"({_MEET}) as meet",
@@ -237,9 +295,10 @@ def validity(shapes: DataFrame, large: bool | None = None) -> DataFrame:
             # first vertex of a ring against the outer ring of its part, or against another part
             "ei = 0 and ep = gp and er > 0 and gr = 0 as hole_test",
             "ei = 0 and ep <> gp and er = 0 as part_test",
-            """if(least(ux, vx) <= px and px < greatest(ux, vx) and uy + gm * (px - ux) < py, -gs, 0D)
+            """if(least(ux, vx) <= px and px < greatest(ux, vx) and uy + gm * (px - ux) < py, if(vx < ux, -1D, 1D), 0D)
               as below""",
-            f"{_gap('px', 'py', 'u', 'v')} = 0 as on_edge"))
+            """if(ei = 0, x0 <= x1 and y0 <= y1 and d3 = 0 and px between least(ux, vx) and
+              greatest(ux, vx) and py between least(uy, vy) and greatest(uy, vy), false) as on_edge"""))
     crossings = pairs.groupBy("ord").agg(*[F.expr(e) for e in (
         "max(n < 3) as short", "max(ahead and (proper or along)) as crossing",
         "max(ahead and same_ring and not next and meet) as self_touch")])

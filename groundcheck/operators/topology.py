@@ -13,7 +13,7 @@ from groundcheck import fixed_values as V
 from groundcheck.functions import geometry, text
 from groundcheck.operators.gridjoin import grid_pairs
 from groundcheck.operators.nearest import nearest
-from groundcheck.operators.polygons import pair_measures, validity
+from groundcheck.operators.polygons import pair_centroids, pair_measures, validity
 
 EVIDENCE_TYPE = "array<struct<name:string,number:double,text:string>>"
 
@@ -156,10 +156,15 @@ def _pair_source() -> Column:
     return F.when(_synthetic_pair(), F.col("a_source")).otherwise(F.lit(V.REFERENCE_SOURCE))
 
 
-def _pair_point(df: DataFrame, left: DataFrame) -> Column:
+def _pair_point() -> Column:
     return F.when(F.col("cx").isNotNull(), F.struct(F.col("cx").alias("x"), F.col("cy").alias("y")))
 
 
+def _with_centre(pairs: DataFrame, left: DataFrame, right: DataFrame, large) -> DataFrame:
+    """Add the centre of the common region to the pairs that became warnings."""
+    return pairs.join(pair_centroids(pairs, left, right, large), ["a_ord", "b_ord"])
+
+
 def _areas(pairs: DataFrame, left: DataFrame, right: DataFrame, unit_area: float, large) -> DataFrame:
     m = pair_measures(pairs, left, right, large)
     return m if unit_area == 1.0 else m.withColumn("area", F.col("area") / unit_area)
@@ -179,7 +184,7 @@ def overlap_pairs(
 
 
 def overlap_warnings(layer: DataFrame, rank: int, **kw) -> DataFrame:
-    pairs = overlap_pairs(layer, **kw)
+    pairs = _with_centre(overlap_pairs(layer, **kw), layer, layer, kw.get("large"))
     area, kind = F.col("area"), "overlapping_polygons"
     return _warning(
         pairs, rank=rank, kind=kind, ord_a=F.col("a_ord"), ord_b=F.col("b_ord"),
@@ -187,7 +192,7 @@ def overlap_warnings(layer: DataFrame, rank: int, **kw) -> DataFrame:
         feature_ids=F.array("a_id", "b_id"), source=_pair_source(),
         explanation=text.overlap_text(_synthetic_pair(), F.col("a_id"), F.col("b_id"), area),
         evidence=F.array(measured("overlap_area_m2", area), measured("intersection_area_m2", area)),
-        point=_pair_point(pairs, layer), name="overlap_area_m2", **_exceeds(kind, area))
+        point=_pair_point(), name="overlap_area_m2", **_exceeds(kind, area))
 
 
 def road_pairs(
@@ -200,7 +205,7 @@ def road_pairs(
 
 
 def road_warnings(buildings: DataFrame, roads: DataFrame, rank: int, **kw) -> DataFrame:
-    pairs = road_pairs(buildings, roads, **kw)
+    pairs = _with_centre(road_pairs(buildings, roads, **kw), buildings, roads, kw.get("large"))
     area, kind = F.col("area"), "building_road_spatial_overlap"
     return _warning(
         pairs, rank=rank, kind=kind, ord_a=F.col("a_ord"), ord_b=F.col("b_ord"),
@@ -208,7 +213,7 @@ def road_warnings(buildings: DataFrame, roads: DataFrame, rank: int, **kw) -> Da
         feature_ids=F.array("a_id", "b_id"), source=_pair_source(),
         explanation=text.road_text(_synthetic_pair(), F.col("a_id"), F.col("b_id"), area),
         evidence=F.array(measured("overlap_area_m2", area), measured("intersection_area_m2", area)),
-        point=_pair_point(pairs, buildings), name="overlap_area_m2", **_exceeds(kind, area))
+        point=_pair_point(), name="overlap_area_m2", **_exceeds(kind, area))
 
 
 def parcel_contacts(
@@ -230,7 +235,9 @@ def crossing_warnings(
     """Buildings that lie partly in a parcel and partly outside it."""
     kind = "building_crosses_synthetic_parcel" if synthetic else "building_crosses_parcel"
     m = parcel_contacts(buildings, parcels, **kw) if contacts is None else contacts
-    pairs = _named_pairs(m.filter(F.col("outside") > min_area), buildings, parcels)
+    pairs = _with_centre(
+        _named_pairs(m.filter(F.col("outside") > min_area), buildings, parcels), buildings, parcels,
+        kw.get("large"))
     outside = F.col("outside")
     return _warning(
         pairs, rank=rank, kind=kind, plain="building_crosses_parcel",
@@ -239,7 +246,7 @@ def crossing_warnings(
         feature_ids=F.array("a_id", "b_id"), source=F.col("a_source"),
         explanation=text.crossing_text(synthetic, F.col("a_id"), F.col("b_id"), locality),
         evidence=F.array(measured("outside_area_m2", outside)),
-        point=_pair_point(pairs, buildings), name="outside_area_m2", **_exceeds(kind, outside))
+        point=_pair_point(), name="outside_area_m2", **_exceeds(kind, outside))
 
 
 def outside_pairs(
