@@ -3,6 +3,6 @@
 
 def registry() -> dict:
     """``name -> (spark callable, oracle SQL or None)``."""
-    from driver import vector
+    from driver import raster, records, vector
 
-    return {**vector.QUERIES}
+    return {**vector.QUERIES, **raster.QUERIES, **records.QUERIES}

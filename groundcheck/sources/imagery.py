@@ -33,25 +33,25 @@ def _parts(files: DataFrame) -> DataFrame:
         F.regexp_extract(name, r"(\.[^.]*)$", 1).alias("suffix"))
 
 
-def pair_files(files: DataFrame) -> DataFrame:
+def pair_files(files: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """Images with the first mask that exists, and what is wrong with them in ``error``.
 
-    A mask is looked for in ``../gt``, then ``../ground_truth``, then beside the image as
-    ``<stem>_gt``.
+    ``files`` lists the scanned folder; everything outside a ``gt`` folder is an image.  A mask is
+    looked for in ``../gt``, then ``../ground_truth``, then beside the image as ``<stem>_gt``, among
+    ``existing`` (the scanned files when not given), which may reach beyond the scanned folder.
     """
-    f = _parts(files)
-    # a mask beside its image is an image by location; it is left out once an image claims it
-    images = f.filter(~F.exists(F.split(F.lower("folder"), "/"), lambda p: p == "gt"))
+    images = _parts(files).filter(
+        ~F.exists(F.split(F.lower("folder"), "/"), lambda p: p == "gt")).withColumn(
+        "key", F.lower("stem"))
     parent = F.regexp_replace("folder", "/[^/]*$", "")
-    wanted = images.select("path", "name", "stem", F.posexplode(F.array(
+    wanted = images.select("path", F.posexplode(F.array(
         F.concat(parent, F.lit("/gt/"), "name"),
         F.concat(parent, F.lit("/ground_truth/"), "name"),
         F.concat("folder", F.lit("/"), "stem", F.lit("_gt"), "suffix"))).alias("rank", "mask"))
-    found = wanted.join(files.select(F.col("path").alias("mask")), "mask")
-    best = found.groupBy("path").agg(F.min_by("mask", "rank").alias("mask"))
-    repeats = images.groupBy(F.lower("stem").alias("key")).agg(F.count(F.lit(1)).alias("n"))
-    out = images.withColumn("key", F.lower("stem")).join(best, "path", "left").join(repeats, "key")
-    out = out.join(best.select(F.col("mask").alias("path")).distinct(), "path", "left_anti")
+    known = (files if existing is None else existing).select(F.col("path").alias("mask"))
+    best = wanted.join(known, "mask").groupBy("path").agg(F.min_by("mask", "rank").alias("mask"))
+    repeats = images.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    out = images.join(best, "path", "left").join(repeats, "key")
     return out.select(
         "path", "mask", "stem", city(F.col("stem")).alias("city"),
         F.when(city(F.col("stem")).isNull(), "city cannot be identified")

@@ -42,6 +42,7 @@ def run_fold(
     batch id and records it last, so a batch that is run again rewrites the same version and nothing is
     applied twice.  ``after(state, changed_ids, batch_id)`` runs once the version is complete.
     """
+    events = events.withColumn("ts", F.col("ts").cast("timestamp"))
     once = events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
 
     def apply(batch: DataFrame, batch_id: int) -> None:
