@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from groundcheck.functions import geometry
+from groundcheck.lineage import cut_lineage
 from groundcheck.operators.polygons import shape_table
 
 UNIT_AREA = 10000.0  # square centimetres in a square metre
@@ -98,7 +99,7 @@ def duck(sql: str) -> str:
 
 
 def boxes(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """A box layer as a validated shape table (boxes are valid by construction)."""
+    """A box layer as a stored, validated shape table (boxes are valid by construction)."""
     df = run(spark, sf_dir, sql)
     df = df.withColumns({
         "edges": geometry.box_edges("x0", "y0", "x1", "y1"),
@@ -107,4 +108,4 @@ def boxes(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
         "geom_type": F.lit("Polygon"), "empty": F.lit(False), "corrupt": F.lit(False),
         "areal": F.lit(True), "valid": F.lit(True),
         "invalid_reason": F.lit(None).cast("string")})
-    return shape_table(df)
+    return cut_lineage(shape_table(df))

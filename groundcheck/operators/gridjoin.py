@@ -49,14 +49,16 @@ def _split_hot(a: DataFrame, b: DataFrame, keys: list[str]) -> tuple[DataFrame,
     sides = a.select(*keys, F.lit(1).alias("ia"), F.lit(0).alias("ib")).unionByName(
         b.select(*keys, F.lit(0).alias("ia"), F.lit(1).alias("ib")))
     sizes = sides.groupBy(*keys).agg(F.sum("ia").alias("na"), F.sum("ib").alias("nb"))
-    hot = cut_lineage(sizes.filter(
+    hot = sizes.filter(
         F.col("na").cast("double") * F.col("nb") > float(BLOCK_ROWS) ** 2
     ).select(*keys, F.ceil(F.col("na") / BLOCK_ROWS).cast("int").alias("blocks_a"),
-             F.ceil(F.col("nb") / BLOCK_ROWS).cast("int").alias("blocks_b")))
+             F.ceil(F.col("nb") / BLOCK_ROWS).cast("int").alias("blocks_b"))
     if hot.isEmpty():
         return (a.withColumn("ba", F.lit(0)).withColumn("bb", F.lit(0)),
                 b.withColumn("ba", F.lit(0)).withColumn("bb", F.lit(0)))
 
+    hot = cut_lineage(hot)
+
     def blocks(df: DataFrame, own: str, own_count: str, other: str, other_count: str) -> DataFrame:
         mine = F.coalesce(F.col(own_count), F.lit(1))
         theirs = F.coalesce(F.col(other_count), F.lit(1))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from groundcheck import fixed_values as V
 from groundcheck.functions import geometry, text
+from groundcheck.lineage import cut_lineage
 from groundcheck.operators.gridjoin import grid_pairs
 from groundcheck.operators.nearest import nearest
 from groundcheck.operators.polygons import pair_centroids, pair_measures, validity
@@ -162,6 +163,7 @@ def _pair_point() -> Column:
 
 def _with_centre(pairs: DataFrame, left: DataFrame, right: DataFrame, large) -> DataFrame:
     """Add the centre of the common region to the pairs that became warnings."""
+    pairs = cut_lineage(pairs)
     return pairs.join(pair_centroids(pairs, left, right, large), ["a_ord", "b_ord"])
 
 
