@@ -108,4 +108,5 @@ def boxes(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
         "geom_type": F.lit("Polygon"), "empty": F.lit(False), "corrupt": F.lit(False),
         "areal": F.lit(True), "valid": F.lit(True),
         "invalid_reason": F.lit(None).cast("string")})
-    return cut_lineage(shape_table(df))
+    # a layer file is one split here; spread it so that stored layers have even parts
+    return cut_lineage(shape_table(df.repartition(spark.sparkContext.defaultParallelism, "ord")))
