@@ -36,8 +36,8 @@ def unit_value(v: Column, kind: str, maximum: Column | None = None) -> Column:
 
 def global_maximum(pixels: DataFrame, bands=("r", "g", "b")) -> DataFrame:
     """One-row ``maximum`` over all bands, for float rasters (null when there is no pixel)."""
-    return pixels.agg(F.max(F.greatest(*[F.nanvl(F.col(c).cast("double"), F.lit(float("-inf")))
-                                         for c in bands])).alias("maximum"))
+    values = [F.nanvl(F.col(c).cast("double"), F.lit(float("-inf"))) for c in bands]
+    return pixels.agg(F.max(F.array_max(F.array(*values))).alias("maximum"))
 
 
 def normalized_band(v: Column, band: int, scale: str) -> Column:
