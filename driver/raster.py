@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from driver import layers as L
-from groundcheck.functions import geometry
-from groundcheck.operators import components as C, inference, morphology, pixels as P, tiles as T
+from groundcheck.operators import components as C, morphology, pixels as P, tiles as T
 from groundcheck.operators.rasterize import rasterize
 from groundcheck.plans import footprints, greenery
 
@@ -389,4 +388,3 @@ c as (select distinct prow, unnest(range(greatest(0, cast(ceil(x0/100.0-0.5) as
 select cast(prow as integer) as prow, count(*) as n, cast(min(pcol) as integer) as first,
   cast(max(pcol) as integer) as last, cast(sum(pcol) as bigint) as total from c group by prow"""),
 }
-_ = geometry, inference

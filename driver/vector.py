@@ -6,14 +6,17 @@ from pyspark.sql import DataFrame, functions as F
 
 from driver import layers as L
 from groundcheck import fixed_values as V
-from groundcheck.functions import geometry, text
+from groundcheck.functions import geometry
+from groundcheck.lineage import cut_lineage
 from groundcheck.operators import matching, scoring, topology
 from groundcheck.operators.gridjoin import grid_pairs
 from groundcheck.operators.nearest import nearest
-from groundcheck.operators.polygons import pair_measures
+from groundcheck.operators.polygons import pair_measures, shape_table
 from groundcheck.plans import discrepancy as D, validation
+from groundcheck.plans.parcels import parcel_report
 
 KW = {"unit_area": L.UNIT_AREA, "large": False}
+ALL = {**KW, "unit_length": L.UNIT_LENGTH, "stored": True}
 
 # ---- SQL building blocks -----------------------------------------------------------------------
 _B, _A, _P, _R = (L.duck(s) for s in (L.BUILDINGS, L.PREDICTIONS, L.PARCELS, L.ROADS))
@@ -93,7 +96,7 @@ def _stacked(spark, sf_dir) -> DataFrame:
 def _warnings(spark, sf_dir) -> DataFrame:
     return validation.all_warnings(
         _stacked(spark, sf_dir), L.boxes(spark, sf_dir, L.ROADS), L.boxes(spark, sf_dir, L.PARCELS),
-        unit_length=L.UNIT_LENGTH, **KW)
+        **ALL)
 
 
 def _scores(spark, sf_dir) -> DataFrame:
@@ -101,8 +104,7 @@ def _scores(spark, sf_dir) -> DataFrame:
     _, scores = validation.validate_and_score(
         features.select("feature_id", "ord", "feature_type", "source", "review_status", "confidence",
                         "area_sqm"),
-        features, L.boxes(spark, sf_dir, L.ROADS), L.boxes(spark, sf_dir, L.PARCELS),
-        unit_length=L.UNIT_LENGTH, **KW)
+        features, L.boxes(spark, sf_dir, L.ROADS), L.boxes(spark, sf_dir, L.PARCELS), **ALL)
     return scores
 
 
@@ -200,8 +202,6 @@ def score_evidence(spark, sf_dir) -> DataFrame:
 
 
 def parcel_rag(spark, sf_dir) -> DataFrame:
-    from groundcheck.plans.parcels import parcel_report
-
     report = parcel_report(
         L.boxes(spark, sf_dir, L.PARCELS), _buildings(spark, sf_dir),
         L.boxes(spark, sf_dir, L.ROADS), _warnings(spark, sf_dir), large=False)
@@ -255,8 +255,6 @@ def polygon_pair_area(spark, sf_dir) -> DataFrame:
     """Common area of diamonds around buildings and predictions: slanted edges on both sides."""
 
     def diamond(sql: str) -> DataFrame:
-        from groundcheck.operators.polygons import shape_table
-
         df = L.run(spark, sf_dir, sql)
         mx, my = (F.col("x0") + F.col("x1")) / 2.0, (F.col("y0") + F.col("y1")) / 2.0
         corners = F.array(
@@ -266,7 +264,7 @@ def polygon_pair_area(spark, sf_dir) -> DataFrame:
             F.struct(mx.alias("x"), F.col("y0").cast("double").alias("y")))
         rings = geometry.oriented_rings(F.array(F.array(corners)), F.lit(True))
         df = df.withColumn("edges", geometry.ring_edges(rings, F.lit(True)))
-        return shape_table(df.withColumn("box", geometry.bounds(F.col("edges"))))
+        return cut_lineage(shape_table(df.withColumn("box", geometry.bounds(F.col("edges")))))
 
     a, b = diamond(L.PREDICTIONS), diamond(L.BUILDINGS)
     m = pair_measures(grid_pairs(a, b), a, b, large=False).filter(F.col("area") > 1.0)
@@ -393,8 +391,6 @@ select l.feature_id as a_id, q.feature_id as b_id, l.ord as a_ord, q.ord as b_or
   {_AREA}/(l.area_sqm + q.area_sqm - {_AREA}) as iou
 from a l join b q on {_HIT} where {_AREA} > 0)"""
 
-_GREEDY = """, recursive_step as (select 1)"""
-
 # A pair matches when it is the best of both members among pairs not blocked by a better match; the
 # recursion settles one "wave" of mutual first choices at a time.
 _MATCH_ROUNDS = 12
@@ -426,8 +422,6 @@ select round(pr, 4) as precision, round(re, 4) as recall, round(2*pr*re/(pr+re),
   nr as total_ground_truth, np as total_predictions, 0.35e0 as iou_threshold,
   cast(0 as bigint) as invalid_prediction_count, cast(0 as bigint) as invalid_reference_count from u"""
 
-_TOL = " ".join(f"when '{k}' then {{}}" for k in ())
-
 QUERIES = {
     "overlap_pairs": (overlap_pairs, f"""{_CTE}, o as ({_OVB})
 select warning_id, round(v, 6) as overlap_area_m2, {_SEV.format("v")} as severity,
@@ -502,4 +496,3 @@ select feature_id, round(cast((x1-x0)*(y1-y0) as double)/10000.0, 6) as edge_are
   round(area_sqm, 6) as area_sqm, round((x0+x1)/2.0, 3) as cx, round((y0+y1)/2.0, 3) as cy from b"""),
     "polygon_pair_area": (polygon_pair_area, None),
 }
-_ = text

@@ -72,14 +72,13 @@ def polygon_labels(raw: DataFrame) -> DataFrame:
     return kept
 
 
-def feature_json(layer: Column | None = None, extra: dict[str, Column] | None = None) -> Column:
-    """A feature row as GeoJSON text; coordinates are written exactly as they were read."""
+def feature_json(layer: Column | None = None) -> Column:
+    """A feature row as GeoJSON text; coordinate numbers are passed through as text."""
     from groundcheck.sources.normalize import PROPERTIES
 
     props = [F.col(k) for k in PROPERTIES] + [F.col("extra")]
     if layer is not None:
         props.append(layer.alias("layer"))
-    props += [c.alias(k) for k, c in (extra or {}).items()]
     body = F.to_json(F.struct(*props))
     geometry = F.when(F.col("geom_type").isNull(), F.lit("null")).otherwise(F.concat(
         F.lit('{"type":"'), "geom_type", F.lit('","coordinates":'),
