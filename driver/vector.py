@@ -422,6 +422,32 @@ select round(pr, 4) as precision, round(re, 4) as recall, round(2*pr*re/(pr+re),
   nr as total_ground_truth, np as total_predictions, 0.35e0 as iou_threshold,
   cast(0 as bigint) as invalid_prediction_count, cast(0 as bigint) as invalid_reference_count from u"""
 
+
+
+def _diamond_edges(layer: str) -> str:
+    """Edges of the diamond in each box, counter-clockwise, with mid-points mx, my."""
+    c = [("x1", "my"), ("mx", "y1"), ("x0", "my"), ("mx", "y0")]
+    return " union all ".join(
+        f"select ord, {a} as px, {b} as py, {c2} as qx, {d} as qy from "
+        f"(select *, (x0+x1)/2.0e0 as mx, (y0+y1)/2.0e0 as my from {layer}) t"
+        for (a, b), (c2, d) in zip(c, c[1:] + c[:1]))
+
+
+_DIAMOND_SQL = f"""{_CTE}, ea as ({_diamond_edges("a")}), eb as ({_diamond_edges("b")}),
+h as (select l.ord as a_ord, q.ord as b_ord, greatest(l.y0, q.y0) as oy from a l join b q on {_HIT}),
+t as (select h.a_ord, h.b_ord, greatest(least(e.px, e.qx), least(g.px, g.qx)) as l,
+  least(greatest(e.px, e.qx), greatest(g.px, g.qx)) as r,
+  sign(e.px - e.qx)*sign(g.px - g.qx) as s, e.px as ex, e.py - oy as ey, g.px as gx, g.py - oy as gy,
+  (e.qy - e.py)/(e.qx - e.px) as em, (g.qy - g.py)/(g.qx - g.px) as gm
+  from h join ea e on e.ord = h.a_ord join eb g on g.ord = h.b_ord),
+u as (select *, ey + em*(l-ex) as el, ey + em*(r-ex) as er, gy + gm*(l-gx) as gl, gy + gm*(r-gx) as gr
+  from t where l < r),
+v as (select a_ord, b_ord, sum(s*((r-l)*(least(el, gl) + least(er, gr))/2
+  + case when (el-gl)*(er-gr) < 0
+    then (r-l)*abs(el-gl)*abs(er-gr)/(2*(abs(el-gl)+abs(er-gr))) else 0 end)) as area
+  from u group by a_ord, b_ord)
+select a_ord, b_ord, round(area/10000.0, 6) as area_m2 from v where area > 1.0"""
+
 QUERIES = {
     "overlap_pairs": (overlap_pairs, f"""{_CTE}, o as ({_OVB})
 select warning_id, round(v, 6) as overlap_area_m2, {_SEV.format("v")} as severity,
@@ -494,5 +520,5 @@ where feature_id not in (select b_id from matched)""")),
     "footprint_area": (footprint_area, f"""{_CTE}
 select feature_id, round(cast((x1-x0)*(y1-y0) as double)/10000.0, 6) as edge_area_m2,
   round(area_sqm, 6) as area_sqm, round((x0+x1)/2.0, 3) as cx, round((y0+y1)/2.0, 3) as cy from b"""),
-    "polygon_pair_area": (polygon_pair_area, None),
+    "polygon_pair_area": (polygon_pair_area, _DIAMOND_SQL),
 }
