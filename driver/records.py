@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -222,20 +222,13 @@ def review_state_stream(spark, sf_dir) -> DataFrame:
             F.col("event_type") == "purchase", "approved").when(
             F.col("event_type") == "error", "rejected").alias("new_status"),
         F.concat(F.lit("reviewer-"), (F.col("user_id") % 7).cast("string")).alias("reviewer"))
-    base = tempfile.mkdtemp(prefix="fold-", dir=_local(checkpoint_folder(spark)))
-    run_fold = review_log.run_fold(events, f"{base}/state", f"{base}/progress", delay="60 days")
-    run_fold.awaitTermination()
+    base = f"{checkpoint_folder(spark).rstrip('/')}/fold-{uuid.uuid4().hex}"
+    review_log.run_fold(
+        events, f"{base}/state", f"{base}/progress", delay="60 days").awaitTermination()
     state = review_log.read_state(spark, f"{base}/state")
     return state.withColumn("edited_at", F.col("edited_at").cast("timestamp_ntz")).select(*_STATE)
 
 
-def _local(folder: str) -> str | None:
-    import os
-
-    plain = folder.removeprefix("file:")
-    return plain if os.path.isdir(plain) else None
-
-
 def apply_review_state(spark, sf_dir) -> DataFrame:
     f = L.run(spark, sf_dir, L.BUILDINGS).withColumns({
         "coords_json": F.concat(F.lit("["), F.col("x0").cast("string"), F.lit("]")),
@@ -466,7 +459,7 @@ select p_partkey, round(500000 + {crs._SCALE!r}*(eta + {" + ".join(
   round({crs._SCALE!r}*(xi + {" + ".join(
     f"{a!r}*sin({2*j}*xi)*cosh({2*j}*eta)" for j, a in enumerate(_a, 1))}), 3) as northing,
   round(lon, 6) as lon, round(lat, 6) as lat from q"""
-_labels = {k: (v[0], v[1], v[2]) for k, v in V.LAYER_SPECS.items()}
+_labels = V.LAYER_SPECS
 _SPECS_SQL = " union all ".join(
     f"select {i} as position, '{n}' as layer, '{_labels[n][0]}' as label, '{_labels[n][1]}' as kind, "
     f"{str(_labels[n][2]).lower()} as visible_default" for i, n in enumerate(V.LAYER_ORDER))
