@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from groundcheck.lineage import cut_lineage
 
@@ -84,3 +86,30 @@ def components(links: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
         edges = after
 
 
+
+
+def map_text(df: DataFrame, text: str, make, fields: str) -> DataFrame:
+    """Replace the column ``text`` by ``fields``; all other columns pass through unchanged.
+
+    ``make()`` runs once per task and returns a function from a list of texts (or None) to one list or
+    array per field and, where rows multiply or vanish, the places of the texts they come from.
+    """
+    kept = [c for c in df.columns if c != text]
+    added = StructType.fromDDL(fields)
+    schema = StructType([*(df.schema[c] for c in kept), *added.fields])
+
+    def run(batches):
+        work = make()
+        for batch in batches:
+            columns, places = work(batch.column(batch.schema.get_field_index(text)).to_pylist())
+            held = [batch.column(batch.schema.get_field_index(c)) for c in kept]
+            if places is not None:
+                at = pa.array(places, pa.int64())
+                held = [h.take(at) for h in held]
+            new = [c if isinstance(c, pa.Array) else pa.array(c, kinds[i]) for i, c in enumerate(columns)]
+            yield pa.RecordBatch.from_arrays([*held, *new], names=[*kept, *added.names])
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kinds = [to_arrow_type(f.dataType) for f in added.fields]
+    return df.mapInArrow(run, schema)

@@ -7,13 +7,11 @@ import unicodedata
 import zlib
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from groundcheck.llm.common import ranked
+from groundcheck.llm.common import map_text, ranked
 
-_PIECES = "key {key}, start long, length long, ids_crc32 long, doc_tokens long"
 _workers: dict = {}
 
 
@@ -93,21 +91,25 @@ def _encoder(path: str) -> WordEncoder:
     return _workers[path]
 
 
-def _cut(path: str, end_id: int, length: int):
-    def run(frames):
+def _cutter(path: str, end_id: int, length: int):
+    def make():
         encoder, end = _encoder(path), np.array([end_id], "<u4").tobytes()
         step = 4 * length
-        for frame in frames:
-            rows = []
-            for key, text in zip(frame["key"], frame["text"]):
+
+        def run(texts):
+            rows, places = [], []
+            for i, text in enumerate(texts):
                 raw = (encoder.encode(text) if text else b"") + end
                 n = len(raw) // 4
                 for a in range(0, len(raw), step):
                     piece = raw[a:a + step]
-                    rows.append((key, a // 4, len(piece) // 4, zlib.crc32(piece), n))
-            yield pd.DataFrame(rows, columns=["key", "start", "length", "ids_crc32", "doc_tokens"])
+                    rows.append((a // 4, len(piece) // 4, zlib.crc32(piece), n))
+                    places.append(i)
+            return list(zip(*rows)) or [[], [], [], []], places
+
+        return run
 
-    return run
+    return make
 
 
 def _best_pattern(prices: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, float]:
@@ -206,9 +208,9 @@ def pack_notes(events: DataFrame, tokenizer: str, key: str = "event_id", text: s
     """
     if length % unit:
         raise ValueError("length must be a multiple of unit")
-    kind = events.schema[key].dataType.simpleString()
-    pieces = events.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInPandas(
-        _cut(tokenizer, end_id, length), _PIECES.format(key=kind))
+    pieces = map_text(events.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")), "text",
+                      _cutter(tokenizer, end_id, length),
+                      "start long, length long, ids_crc32 long, doc_tokens long")
     pieces = pieces.withColumn("class", F.ceil(F.col("length") / unit).cast("int"))
     pieces, counts = ranked(pieces, ["class"], ["key", "start", "ids_crc32"])
     places, at, sequence = [], {}, 0

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from groundcheck.llm import fingerprints, packing, sharding, topk
+from groundcheck.llm import fingerprints, language, packing, sharding, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +47,33 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.lit(None).cast("int").alias("grown_shard"))
 
 
+def rest(by: int) -> "F.Column":
+    """Remainder of the checksum of the id's digits."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(by))
+
+
+def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str, held_out: bool) -> toxicity.ToxicityModel:
+    labels = table(spark, sf_dir, "labels")
+    if held_out:
+        labels = labels.filter(rest(5) != 0)
+    return toxicity.fit_toxicity(notes(docs), labels.withColumnRenamed("doc_id", "event_id"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity_model(spark, docs, sf_dir, held_out=True)
+    return toxicity.score_notes(notes(docs), model).withColumnRenamed("event_id", "doc_id").select(
+        "doc_id", (rest(5) == 0).alias("held_out"), "score", "predicted")
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    learned = docs.filter(rest(4) != 2).select(F.col("doc_id").alias("event_id"), F.col("text").alias("notes"), "lang")
+    model = language.fit_language(learned)
+    return language.predict_language(notes(docs), model).withColumnRenamed("event_id", "doc_id").select(
+        "doc_id", (rest(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def packed(docs: DataFrame) -> DataFrame:
     return packing.pack_notes(notes(docs), tokenizer_path()).withColumnRenamed("event_id", "doc_id")
 
@@ -66,6 +93,8 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_topk": (op1_topk, OP1_SQL),
     "op2_sharding": (op2_sharding, None),
+    "op4_toxicity": (op4_toxicity, None),
     "op8_packing": (op8_packing, None),
     "op9_fingerprints": (op9_fingerprints, None),
+    "op10_language": (op10_language, None),
 }
