@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from groundcheck.llm import fingerprints, language, packing, sharding, topk, toxicity
+from groundcheck.llm import fingerprints, language, ngram_join, packing, sharding, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,9 +30,9 @@ def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP1_SQL = """
 with v as (
-  select vec_id, list_transform(embedding, x -> floor(64 * x::double)) as e from embeddings
+  select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as e from embeddings
   where vec_id is not null and embedding is not null
-    and len(list_filter(embedding, x -> x is null or not isfinite(x::double))) = 0),
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x::double))) = 0),
 scored as (
   select q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.e, c.e) as bigint) as score
   from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 20 = 0),
@@ -59,6 +59,30 @@ def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str, held_out:
     return toxicity.fit_toxicity(notes(docs), labels.withColumnRenamed("doc_id", "event_id"))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = ngram_join.link_notes(notes(table(spark, sf_dir, "documents")), width=3, percent=90)
+    return linked.select(F.col("event_id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+
+
+OP3_SQL = r"""
+with recursive words as (
+  select doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+sets as (
+  select doc_id, list_distinct(case when w is null or len(w) = 0 then []::varchar[]
+    when len(w) < 3 then [array_to_string(w, ' ')]
+    else list_transform(range(1, len(w) - 1), lambda i: concat(w[i], ' ', w[i + 1], ' ', w[i + 2])) end) as s from words),
+grams as (select doc_id, len(s) as n, unnest(s) as g from sets),
+pairs as (
+  select a.doc_id as a, b.doc_id as b from grams a join grams b on a.g = b.g and a.doc_id < b.doc_id
+    and 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+  group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+edges as (select a, b from pairs union all select b, a from pairs),
+reach(a, b) as (select doc_id, doc_id from sets union select r.a, e.b from reach r join edges e on r.b = e.a)
+select s.doc_id, cast(len(s.s) as bigint) as n_shingles, min(r.b) as component_id
+from sets s join reach r on s.doc_id = r.a group by s.doc_id, len(s.s)"""
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity_model(spark, docs, sf_dir, held_out=True)
@@ -93,6 +117,7 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_topk": (op1_topk, OP1_SQL),
     "op2_sharding": (op2_sharding, None),
+    "op3_ngram_join": (op3_ngram_join, OP3_SQL),
     "op4_toxicity": (op4_toxicity, None),
     "op8_packing": (op8_packing, None),
     "op9_fingerprints": (op9_fingerprints, None),
