@@ -24,6 +24,7 @@ def ranked(df: DataFrame, groups: list[str], order: list[str], rank: str = "rank
     spark = df.sparkSession
     if not df.columns or "_file" in df.columns:
         raise ValueError("a column may not be called _file")
+    df = cut_lineage(df)  # dealing by range reads its input twice
     table = cut_lineage(df.repartitionByRange(*groups, *order).sortWithinPartitions(*groups, *order))
     placed = table.select("*", F.col("_metadata.file_name").alias("_file"),
                           F.col("_metadata.row_index").alias("_row"))
