@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from groundcheck.llm import fingerprints, language, ngram_join, packing, repeats, sharding, topk, toxicity
+from groundcheck.llm import fingerprints, language, ngram_join, packing, passages, repeats, sharding, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -98,6 +98,11 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (rest(4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = passages.drop_repeated_passages(notes(table(spark, sf_dir, "documents")))
+    return cut.select(F.col("event_id").alias("doc_id"), F.col("notes").alias("kept_text"), "words_removed")
+
+
 def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeats.repeated_spans(notes(table(spark, sf_dir, "documents")), length=200)
     size = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
@@ -126,6 +131,7 @@ QUERIES = {
     "op2_sharding": (op2_sharding, None),
     "op3_ngram_join": (op3_ngram_join, OP3_SQL),
     "op4_toxicity": (op4_toxicity, None),
+    "op5_passages": (op5_passages, None),
     "op6_repeats": (op6_repeats, None),
     "op8_packing": (op8_packing, None),
     "op9_fingerprints": (op9_fingerprints, None),
