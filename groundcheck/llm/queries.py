@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from groundcheck.llm import fingerprints, language, ngram_join, packing, passages, repeats, sharding, topk, toxicity
+from groundcheck.llm import fingerprints, language, mixing, ngram_join, packing, passages, repeats, sharding, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -114,6 +114,28 @@ def packed(docs: DataFrame) -> DataFrame:
     return packing.pack_notes(notes(docs), tokenizer_path()).withColumnRenamed("event_id", "doc_id")
 
 
+#: Shares of the tokens by source, language and topic.
+MIX = {"source": {"src0": 0.25, mixing.REST: 0.75},
+       "lang": {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1},
+       "topic": {"prose": 0.85, "licensed": 0.1, "table": 0.05}}
+
+
+def topic() -> "F.Column":
+    """A coarse topic of a document by what stands in its text."""
+    return (F.when(F.col("text").contains(" | "), "table").when(F.lower("text").contains("licen"), "licensed")
+            .otherwise("prose"))
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    rows = docs.select(F.col("doc_id").alias("event_id"), F.col("text").alias("notes"), "source", "lang",
+                       topic().alias("topic"))
+    return mixing.mix_notes(rows, MIX).withColumnRenamed("event_id", "doc_id")
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
 
@@ -133,6 +155,7 @@ QUERIES = {
     "op4_toxicity": (op4_toxicity, None),
     "op5_passages": (op5_passages, None),
     "op6_repeats": (op6_repeats, None),
+    "op7_mixing": (op7_mixing, None),
     "op8_packing": (op8_packing, None),
     "op9_fingerprints": (op9_fingerprints, None),
     "op10_language": (op10_language, None),
