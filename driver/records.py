@@ -179,17 +179,20 @@ def import_replaces_layers(spark, sf_dir) -> DataFrame:
 def find_feature(spark, sf_dir) -> DataFrame:
     """Earliest layer holding each id when ids repeat across layers."""
     f = _layered(spark, sf_dir).withColumn("feature_id", F.col("ord").cast("string"))
-    rank = F.array_position(F.array(*[F.lit(n) for n in V.LAYER_ORDER]), F.col("layer"))
-    return f.groupBy("feature_id").agg(F.min_by("layer", F.struct(rank, "ord")).alias("layer"))
+    return review.find_features(f, f.select("feature_id")).select("feature_id", "layer")
+
+
+_COPIED = f"""select x0, y0, x1, y1 from ({L.PREDICTIONS}) p
+union all select x0, y0, x1, y1 from ({L.BUILDINGS}) b where ord % 10 = 0"""
 
 
 def geometry_fingerprints(spark, sf_dir) -> DataFrame:
-    """Detections whose box also exists among the buildings."""
+    """Detections, some copied from buildings, whose box also exists among the buildings."""
     def key(sql: str) -> DataFrame:
         return L.run(spark, sf_dir, sql).select(imagery.fingerprint(
             F.concat_ws(",", "x0", "y0", "x1", "y1")).alias("fingerprint"))
 
-    return key(L.PREDICTIONS).intersect(key(L.BUILDINGS))
+    return key(_COPIED).intersect(key(L.BUILDINGS))
 
 
 # ---- review log --------------------------------------------------------------------------------
@@ -292,7 +295,7 @@ def run_list(spark, sf_dir) -> DataFrame:
         F.lit("demo").alias("project_id"),
         F.when(F.col("o_orderkey") % 10 > 0, F.col("o_orderkey").cast("string")).alias("run_id"),
         F.col("o_orderdate").alias("created_at"))
-    return catalog.list_runs(o, "demo").limit(50).select("run_id", "created_at")
+    return catalog.list_runs(o, "demo").select("run_id", "created_at")
 
 
 def safe_ids(spark, sf_dir) -> DataFrame:
@@ -338,7 +341,7 @@ def raster_check(spark, sf_dir) -> DataFrame:
     c = catalog.check_rasters(r)
     return c.select("raster_id", F.size("errors").alias("n_errors"),
                     F.array_join(F.col("rgb_band_mapping").cast("array<string>"), ",").alias("mapping"),
-                    "alpha_band", F.round("gsd_x", 6).alias("gsd_x"), F.get("errors", F.lit(0)).alias("first"))
+                    "alpha_band", F.round("gsd_x", 6).alias("gsd_x"), F.array_join("errors", " | ").alias("texts"))
 
 
 def manifest_split(spark, sf_dir) -> DataFrame:
@@ -529,7 +532,7 @@ g as (select cast(ord as varchar) as feature_id, layer, row_number() over (parti
   order by case layer when 'buildings' then 1 when 'roads' then 2 when 'parcels' then 4 else 7 end) as rn from f)
 select feature_id, layer from g where rn = 1"""),
     "geometry_fingerprints": (geometry_fingerprints, f"""
-select sha256(concat_ws(',', x0, y0, x1, y1)) as fingerprint from ({L.duck(L.PREDICTIONS)}) a
+select sha256(concat_ws(',', x0, y0, x1, y1)) as fingerprint from ({L.duck(_COPIED)}) a
 intersect select sha256(concat_ws(',', x0, y0, x1, y1)) from ({L.duck(L.BUILDINGS)}) b"""),
     "review_state": (review_state, _STATE_SQL),
     "review_state_stream": (review_state_stream, _STATE_SQL),
@@ -563,7 +566,7 @@ select warning_id, round(v, 6) as area_m2 from o where v >= 1.0"""),
 r as (select *, row_number() over (partition by provider_id order by no desc) as rn from o)
 select provider_id, run_id, tile_count, round(s/tile_count, 6) as seconds_per_tile from r where rn = 1"""),
     "run_list": (run_list, """select cast(o_orderkey as varchar) as run_id, o_orderdate as created_at from orders
-where o_orderkey % 10 > 0 order by o_orderdate desc, cast(o_orderkey as varchar) desc limit 50"""),
+where o_orderkey % 10 > 0 order by o_orderdate desc, cast(o_orderkey as varchar) desc"""),
     "safe_ids": (safe_ids, """select s_suppkey, regexp_replace(regexp_replace(
   concat('  /', s_name, ' & co/', s_suppkey, '? '), '[^A-Za-z0-9._-]+', '-', 'g'), '^-+|-+$', '', 'g')
   as project_id from supplier"""),
@@ -583,13 +586,13 @@ select k as raster_id, cast(e1::int + e2::int + e3::int + e4::int + e5::int + e6
     as integer) as n_errors, case when k % 2 = 0 then '3,2,1' else '1,2,3' end as mapping,
   case when k % 2 = 0 then 4 end as alpha_band,
   case when k % 13 = 0 then 0.0e0 else 0.3e0 end as gsd_x,
-  case when e1 then 'GeoTIFF has no CRS. Assign a valid CRS before upload.'
-    when e2 then 'This build can display project rasters only in EPSG:3857.'
-    when e3 then 'RGB GeoTIFF required: at least three raster bands must be present.'
-    when e4 then 'Raster dimensions exceed the supported 500-million-pixel limit.'
-    when e5 then 'GeoTIFF has no usable spatial transform.'
-    when e6 then 'GeoTIFF has invalid or empty spatial bounds.'
-    when e7 then 'This build requires uint8 RGB bands; convert other data types before upload.' end as first
+  concat_ws(' | ', case when e1 then 'GeoTIFF has no CRS. Assign a valid CRS before upload.' end,
+    case when e2 then 'This build can display project rasters only in EPSG:3857.' end,
+    case when e3 then 'RGB GeoTIFF required: at least three raster bands must be present.' end,
+    case when e4 then 'Raster dimensions exceed the supported 500-million-pixel limit.' end,
+    case when e5 then 'GeoTIFF has no usable spatial transform.' end,
+    case when e6 then 'GeoTIFF has invalid or empty spatial bounds.' end,
+    case when e7 then 'This build requires uint8 RGB bands; convert other data types before upload.' end) as texts
 from e"""),
     "manifest_split": (manifest_split, f"""with f as (select {_STEM} as stem from part),
 c as (select {_CITY} as city from f)

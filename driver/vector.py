@@ -94,9 +94,10 @@ def _stacked(spark, sf_dir) -> DataFrame:
 
 
 def _warnings(spark, sf_dir) -> DataFrame:
+    """All warnings without their centres, which overlap_pairs and parcel_crossings compare."""
     return validation.all_warnings(
         _stacked(spark, sf_dir), L.boxes(spark, sf_dir, L.ROADS), L.boxes(spark, sf_dir, L.PARCELS),
-        **ALL)
+        centre=False, **ALL)
 
 
 def _scores(spark, sf_dir) -> DataFrame:
@@ -104,7 +105,7 @@ def _scores(spark, sf_dir) -> DataFrame:
     _, scores = validation.validate_and_score(
         features.select("feature_id", "ord", "feature_type", "source", "review_status", "confidence",
                         "area_sqm"),
-        features, L.boxes(spark, sf_dir, L.ROADS), L.boxes(spark, sf_dir, L.PARCELS), **ALL)
+        features, L.boxes(spark, sf_dir, L.ROADS), L.boxes(spark, sf_dir, L.PARCELS), centre=False, **ALL)
     return scores
 
 

@@ -123,7 +123,7 @@ def narrate(
         return F.coalesce(F.concat(F.lit(prefix), body, F.lit(suffix)), F.lit(""))
 
     kind = F.lower(F.regexp_replace(F.coalesce(warning_type, F.lit("review rule")), "_", " "))
-    head = F.concat(F.upper(F.substring(kind, 1, 1)), F.substring(kind, 2, 1000))
+    head = F.concat(F.upper(F.substring(kind, 1, 1)), kind.substr(F.lit(2), F.length(kind)))
     named = F.when(F.size(feature_ids) > 0, F.concat(
         F.lit(" for feature(s) "), F.array_join(feature_ids, ", "))).otherwise("")
     details = F.transform(F.filter(evidence, lambda e: ~e["name"].isin(*_HIDDEN)), shown)

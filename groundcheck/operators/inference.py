@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 
 _loaded: dict[str, Callable] = {}
@@ -23,19 +25,23 @@ def predict_tiles(
     ``valid`` column, tiles without a valid pixel are not predicted.
     """
     types = {f.name: f.dataType.simpleString() for f in tiles.schema}
+    loader = f"{name}-{hashlib.sha256(cloudpickle.dumps(load)).hexdigest()}"
     keys = [*by, "y0", "x0"]
     schema = ", ".join([*[f"`{k}` {types[k]}" for k in keys], "i int", "j int", "p double"])
 
     def one_tile(pdf: pd.DataFrame) -> pd.DataFrame:
         if "valid" in pdf.columns and not pdf["valid"].any():
             return pd.DataFrame({k: [] for k in (*keys, "i", "j", "p")})
-        if name not in _loaded:
-            _loaded[name] = load()
+        # the module's own memory: one that travels with this function would be empty in every task
+        from groundcheck.operators.inference import _loaded
+
+        if loader not in _loaded:
+            _loaded[loader] = load()
         i, j = pdf["i"].to_numpy(), pdf["j"].to_numpy()
         image = np.zeros((3, size, size), dtype=np.uint8)
         for band, column in enumerate(("r", "g", "b")):
             image[band, i, j] = np.clip(pdf[column].to_numpy(), 0, 255)
-        p = np.asarray(_loaded[name](image), dtype=np.float64)
+        p = np.asarray(_loaded[loader](image), dtype=np.float64)
         if p.shape != (size, size):
             raise ValueError(f"the predictor returned shape {p.shape}, expected {(size, size)}")
         out = {k: pdf[k].iloc[0] for k in keys}

@@ -161,8 +161,10 @@ def _pair_point() -> Column:
     return F.when(F.col("cx").isNotNull(), F.struct(F.col("cx").alias("x"), F.col("cy").alias("y")))
 
 
-def _with_centre(pairs: DataFrame, left: DataFrame, right: DataFrame, large) -> DataFrame:
-    """Add the centre of the common region to the pairs that became warnings."""
+def _with_centre(pairs: DataFrame, left: DataFrame, right: DataFrame, large, centre: bool) -> DataFrame:
+    """Add the centre of the common region (null unless asked for) to the pairs that became warnings."""
+    if not centre:
+        return pairs.withColumns({c: F.lit(None).cast("double") for c in ("cx", "cy")})
     pairs = cut_lineage(pairs)
     return pairs.join(pair_centroids(pairs, left, right, large), ["a_ord", "b_ord"])
 
@@ -185,8 +187,8 @@ def overlap_pairs(
     return _named_pairs(m.filter(F.col("area") >= min_area), shapes, shapes)
 
 
-def overlap_warnings(layer: DataFrame, rank: int, **kw) -> DataFrame:
-    pairs = _with_centre(overlap_pairs(layer, **kw), layer, layer, kw.get("large"))
+def overlap_warnings(layer: DataFrame, rank: int, centre: bool = True, **kw) -> DataFrame:
+    pairs = _with_centre(overlap_pairs(layer, **kw), layer, layer, kw.get("large"), centre)
     area, kind = F.col("area"), "overlapping_polygons"
     return _warning(
         pairs, rank=rank, kind=kind, ord_a=F.col("a_ord"), ord_b=F.col("b_ord"),
@@ -206,8 +208,10 @@ def road_pairs(
     return _named_pairs(m.filter("meets"), left, right)
 
 
-def road_warnings(buildings: DataFrame, roads: DataFrame, rank: int, **kw) -> DataFrame:
-    pairs = _with_centre(road_pairs(buildings, roads, **kw), buildings, roads, kw.get("large"))
+def road_warnings(
+    buildings: DataFrame, roads: DataFrame, rank: int, centre: bool = True, **kw,
+) -> DataFrame:
+    pairs = _with_centre(road_pairs(buildings, roads, **kw), buildings, roads, kw.get("large"), centre)
     area, kind = F.col("area"), "building_road_spatial_overlap"
     return _warning(
         pairs, rank=rank, kind=kind, ord_a=F.col("a_ord"), ord_b=F.col("b_ord"),
@@ -232,14 +236,14 @@ def parcel_contacts(
 def crossing_warnings(
     buildings: DataFrame, parcels: DataFrame, rank: int, synthetic: bool = False,
     min_area: float = V.MIN_CROSSING_AREA_M2, locality: str = V.DEFAULT_LOCALITY,
-    contacts: DataFrame | None = None, **kw,
+    contacts: DataFrame | None = None, centre: bool = True, **kw,
 ) -> DataFrame:
     """Buildings that lie partly in a parcel and partly outside it."""
     kind = "building_crosses_synthetic_parcel" if synthetic else "building_crosses_parcel"
     m = parcel_contacts(buildings, parcels, **kw) if contacts is None else contacts
     pairs = _with_centre(
         _named_pairs(m.filter(F.col("outside") > min_area), buildings, parcels), buildings, parcels,
-        kw.get("large"))
+        kw.get("large"), centre)
     outside = F.col("outside")
     return _warning(
         pairs, rank=rank, kind=kind, plain="building_crosses_parcel",

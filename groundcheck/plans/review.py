@@ -152,11 +152,21 @@ def apply_state(features: DataFrame, state: DataFrame) -> DataFrame:
     return out.select(*features.columns)
 
 
+def find_features(features: DataFrame, ids: DataFrame) -> DataFrame:
+    """The features with the given ids (``feature_id``); the earliest layer in the fixed order wins."""
+    wanted = ids.select("feature_id").distinct()
+    return _first_in_layers(features.join(wanted, "feature_id", "left_semi"))
+
+
 def find_feature(features: DataFrame, feature_id: str) -> DataFrame:
     """The feature with an id; the earliest layer in the fixed order wins."""
+    return _first_in_layers(features.filter(F.col("feature_id") == feature_id))
+
+
+def _first_in_layers(features: DataFrame) -> DataFrame:
     rank = F.array_position(F.array(*[F.lit(n) for n in V.LAYER_ORDER]), F.col("layer"))
     rest = [c for c in features.columns if c != "feature_id"]
-    return features.filter(F.col("feature_id") == feature_id).groupBy("feature_id").agg(
+    return features.groupBy("feature_id").agg(
         F.min_by(F.struct(*rest), F.struct(rank, F.col("ord"))).alias("r")).select("feature_id", "r.*")
 
 

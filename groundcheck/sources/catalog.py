@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from groundcheck import fixed_values as V
@@ -81,11 +83,11 @@ def check_rasters(rasters: DataFrame, max_pixels: int = V.MAX_RASTER_PIXELS) ->
 
 
 def write_run(spark: SparkSession, features: DataFrame, mode: str, run_id: str, path: str) -> None:
-    """Prediction artifact of one run, kept apart by mode and run."""
-    if mode != run_id and "/" in f"{mode}{run_id}":
-        raise ValueError("mode and run_id may not contain /")
-    features.withColumns({"mode": F.lit(mode), "run_id": F.lit(run_id)}).write.mode(
-        "append").partitionBy("mode", "run_id").parquet(path)
+    """Prediction artifact of one run, in a partition of its own that a retried run overwrites."""
+    for part in (mode, run_id):
+        if not re.fullmatch(r"[A-Za-z0-9._-]+", part):
+            raise ValueError(f"not a safe identifier: {part!r}")
+    features.drop("mode", "run_id").write.mode("overwrite").parquet(f"{path}/mode={mode}/run_id={run_id}")
 
 
 def list_runs(runs: DataFrame, project_id: str | None = None) -> DataFrame:

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.window import Window
 
 from groundcheck import fixed_values as V
 
 _FEATURE = ("struct<type:string,id:string,geometry:struct<type:string,coordinates:string>,"
             "properties:map<string,string>>")
+_LINE = _FEATURE.replace("struct<type", "struct<ord:bigint,type", 1)
 _COLLECTION = (f"struct<type:string,name:string,features:array<{_FEATURE}>,"
                "crs:struct<properties:struct<name:string>>>")
 
@@ -36,32 +38,67 @@ def collection_errors(texts: DataFrame, expected_crs: str = "4326") -> DataFrame
         F.concat(F.lit("CRS mismatch: Expected EPSG:4326/CRS84, found "), crs))).drop("_head")
 
 
-def parse_collections(texts: DataFrame) -> DataFrame:
-    """Documents (``text``) to raw features with load order ``ord``; broken documents give no rows."""
-    good = collection_errors(texts).filter(F.col("error").isNull())
-    doc = good.select(F.from_json("text", _COLLECTION).alias("d"))
-    return doc.select(F.posexplode("d.features").alias("ord", "f")).select(
-        F.col("ord").cast("bigint").alias("ord"), *_feature_columns(F.col("f")))
+def parse_collections(texts: DataFrame, on_error: str = "fail") -> DataFrame:
+    """Documents (``text``, and ``rank`` where there are several) to raw features with load order ``ord``.
+
+    Features keep their order within a document, and documents that of ``rank`` (below 2**23), so no two
+    features share an ``ord``.  A document that can't be read fails the job with its error; with
+    ``on_error="skip"`` it gives no rows, and ``collection_errors`` lists it.
+    """
+    if on_error not in ("fail", "skip"):
+        raise ValueError("on_error must be fail or skip")
+    checked = collection_errors(texts)
+    if on_error == "skip":
+        checked = checked.filter(F.col("error").isNull())
+    text = F.when(F.col("error").isNull(), F.col("text")).otherwise(F.raise_error(F.col("error")).cast("string"))
+    rank = F.col("rank").cast("bigint") if "rank" in texts.columns else F.lit(0).cast("bigint")
+    doc = checked.select(rank.alias("rank"), F.from_json(text, _COLLECTION).alias("d"))
+    return doc.select("rank", F.posexplode("d.features").alias("place", "f")).select(
+        (F.shiftleft("rank", 40) + F.col("place")).alias("ord"), *_feature_columns(F.col("f")))
+
+
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """``path, text, rank`` of every file: one GeoJSON document each, ranked by path.
+
+    The ranking sees one row per file, never the documents' features.
+    """
+    texts = spark.read.text(path, wholetext=True).select(
+        F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    ranks = texts.select("path").withColumn(
+        "rank", F.row_number().over(Window.orderBy("path")).cast("bigint") - 1)
+    return texts.join(ranks, "path")
 
 
-def read_collection(spark: SparkSession, path: str) -> DataFrame:
-    """One GeoJSON document per file."""
-    texts = spark.read.text(path, wholetext=True).withColumnRenamed("value", "text")
-    return parse_collections(texts)
+def read_collection(spark: SparkSession, path: str, on_error: str = "fail") -> DataFrame:
+    """One GeoJSON document per file; features of all files in the order of the paths."""
+    return parse_collections(read_documents(spark, path), on_error)
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
+def read_lines(spark: SparkSession, path: str, on_error: str = "fail") -> DataFrame:
     """One feature per line: the form to use beyond a few hundred megabytes, as it can be split.
 
     Each line needs a numeric ``ord`` beside the feature members, because a distributed read keeps no
-    order of its own.
+    order of its own.  A line that is no such feature fails the job, or is left out with
+    ``on_error="skip"``; ``line_errors`` lists them.
     """
-    lines = spark.read.text(path)
-    f = F.from_json("value", _FEATURE.replace("struct<type", "struct<ord:bigint,type", 1))
-    return lines.select(f.alias("f")).filter(F.col("f").isNotNull()).select(
+    if on_error not in ("fail", "skip"):
+        raise ValueError("on_error must be fail or skip")
+    lines = line_errors(spark.read.text(path))
+    if on_error == "skip":
+        lines = lines.filter(F.col("error").isNull())
+    value = F.when(F.col("error").isNull(), F.col("value")).otherwise(F.raise_error(F.col("error")).cast("string"))
+    return lines.select(F.from_json(value, _LINE).alias("f")).select(
         F.col("f.ord").alias("ord"), *_feature_columns(F.col("f")))
 
 
+def line_errors(lines: DataFrame) -> DataFrame:
+    """Add ``error`` to feature lines (``value``): null when the line can be read."""
+    f = F.from_json("value", _LINE)
+    return lines.withColumn("error", F.when(
+        ~F.coalesce(F.ltrim("value").startswith("{"), F.lit(False)) | f.isNull(), "Line is no JSON object."
+    ).when(f["ord"].isNull(), "Line has no ord."))
+
+
 def polygon_labels(raw: DataFrame) -> DataFrame:
     """Features usable as labels: polygons with coordinates.  Raises when none is left."""
     kept = raw.filter(
@@ -114,7 +151,7 @@ def bundle_header(bundle: DataFrame, warnings: DataFrame, project_id: str) -> Da
 
 def import_bundle(lines: DataFrame) -> DataFrame:
     """Feature lines (``value``) back to raw rows with the ``layer`` they belong to."""
-    f = F.from_json("value", _FEATURE.replace("struct<type", "struct<ord:bigint,type", 1))
+    f = F.from_json("value", _LINE)
     rows = lines.select(f.alias("f")).select(
         F.col("f.ord").alias("ord"), *_feature_columns(F.col("f")))
     named = F.coalesce(F.col("props")["layer"], F.lit("buildings"))

@@ -62,6 +62,34 @@ def run_fold(
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
+def run_late(
+    events: DataFrame, folder: str, checkpoint: str, delay: str = "7 days", **trigger,
+) -> StreamingQuery:
+    """Keep the events that :func:`run_fold` drops as too late, as a table under ``folder/late``.
+
+    An event is late when it is older than the newest one of all earlier batches by more than ``delay``,
+    which is the stream's own rule.  Run it beside the fold over the same source.  Each batch rewrites its
+    own part and the newest time it has seen, so a batch that is run again adds nothing twice.
+    """
+    events = events.withColumn("ts", F.col("ts").cast("timestamp"))
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        try:
+            seen = spark.read.parquet(f"{folder}/newest").filter(F.col("b") < batch_id).agg(F.max("ts")).first()[0]
+        except Exception as e:  # noqa: BLE001
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            seen = None
+        limit = F.lit(seen).cast("timestamp") - F.expr(f"interval {delay}")
+        batch.filter(F.coalesce(F.col("ts") < limit, F.lit(False))).write.mode("overwrite").parquet(
+            f"{folder}/late/b={batch_id}")
+        batch.agg(F.max("ts").alias("ts")).write.mode("overwrite").parquet(f"{folder}/newest/b={batch_id}")
+
+    writer = events.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
+
+
 def late_events(events: DataFrame, delay_days: float = 7) -> DataFrame:
     """Events older than the newest one by more than the delay: the side table for late data."""
     newest = events.agg(F.max("ts").alias("newest"))

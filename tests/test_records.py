@@ -38,7 +38,7 @@ def test_broken_collections(spark):
     errors = [r.error for r in geojson.collection_errors(
         spark.createDataFrame(docs, "text string")).collect()]
     assert errors[3] is None and all(errors[:3])
-    assert geojson.parse_collections(spark.createDataFrame(docs, "text string")).count() == 2
+    assert geojson.parse_collections(spark.createDataFrame(docs, "text string"), "skip").count() == 2
 
 
 def test_bundle_round_trip(spark, tmp_path):
@@ -98,6 +98,9 @@ def test_stream_fold_equals_batch(spark, tmp_path):
     got = review_log.read_state(spark, str(tmp_path / "state"))
     want = review.review_state(all_events)
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    stream = spark.readStream.schema(all_events.schema).option("maxFilesPerTrigger", 1).parquet(f"{src}/f=*")
+    review_log.run_late(stream, str(tmp_path / "side"), str(tmp_path / "late-ck"), delay="2 hours").awaitTermination()
+    assert {r.event_id for r in spark.read.parquet(str(tmp_path / "side" / "late")).collect()} == {1, 2}
     late = review_log.late_events(all_events, delay_days=0.15)
     assert {r.event_id for r in late.collect()} == {1, 2}
 
@@ -184,3 +187,41 @@ def test_scrub_nested(spark):
                                "i int, d double, a array<double>, s struct<x:double,y:string>")
     r = normalize.scrub(df).first()
     assert r.d is None and r.a == [1.0, None] and r.s.x is None and r.s.y == "k"
+
+
+def _document(name, kind="FeatureCollection"):
+    return ('{"type":"%s","features":[{"type":"Feature","id":"%s","geometry":{"type":"Polygon",'
+            '"coordinates":[[[0,0],[1,0],[1,1],[0,0]]]},"properties":{}}]}') % (kind, name)
+
+
+def test_a_folder_of_documents_has_one_order_and_no_silent_loss(spark, tmp_path):
+    for name in ("b", "a"):
+        (tmp_path / f"{name}.geojson").write_text(_document(name))
+    raw = geojson.read_collection(spark, str(tmp_path))
+    assert [r.id for r in raw.orderBy("ord").collect()] == ["a", "b"]
+    assert raw.select("ord").distinct().count() == 2
+    (tmp_path / "c.geojson").write_text(_document("c", "Topology"))
+    with pytest.raises(Exception, match="received type: Topology"):
+        geojson.read_collection(spark, str(tmp_path)).collect()
+    assert geojson.read_collection(spark, str(tmp_path), "skip").count() == 2
+    rejected = geojson.collection_errors(geojson.read_documents(spark, str(tmp_path))).filter("error is not null")
+    assert [r.path.rsplit("/", 1)[1] for r in rejected.collect()] == ["c.geojson"]
+
+
+def test_broken_feature_lines_are_told(spark, tmp_path):
+    (tmp_path / "x.txt").write_text('{"ord":4,"type":"Feature","id":"a","properties":{}}\nnot json\n{"type":"Feature"}\n')
+    with pytest.raises(Exception, match="Line"):
+        geojson.read_lines(spark, str(tmp_path)).collect()
+    assert [r.ord for r in geojson.read_lines(spark, str(tmp_path), "skip").collect()] == [4]
+    errors = geojson.line_errors(spark.read.text(str(tmp_path))).filter("error is not null")
+    assert sorted(r.error for r in errors.collect()) == ["Line has no ord.", "Line is no JSON object."]
+
+
+def test_a_retried_run_overwrites_its_own_rows(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1)], "feature_id string, ord long")
+    for run in ("r-1", "r-1", "r-2"):
+        catalog.write_run(spark, rows, "whu", run, str(tmp_path / "runs"))
+    got = spark.read.parquet(str(tmp_path / "runs"))
+    assert sorted((r["mode"], r["run_id"]) for r in got.collect()) == [("whu", "r-1"), ("whu", "r-2")]
+    with pytest.raises(ValueError):
+        catalog.write_run(spark, rows, "a/b", "a/b", str(tmp_path / "runs"))
