@@ -35,3 +35,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_folder(spark).rstrip('/')}/groundcheck/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that :func:`cut_lineage` returned, once everything made from them is itself stored."""
+    for table in tables:
+        spark = table.sparkSession
+        for file in table.inputFiles()[:1]:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            if "/groundcheck/" in folder.toString():
+                folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
