@@ -58,23 +58,24 @@ class WordEncoder:
         return all(self._model(w.lower()) == full for w, full in zip(probe, self._whole(probe))) and \
             self._whole(["water.", "water,"]) == [self._model("water") + self.points[c] for c in ".,"]
 
-    def _learn(self, words: set[str]) -> None:
+    def _learn(self, words: set[bytes]) -> None:
         if len(self.known) + len(words) > self.limit:
             self.known.clear()
         rest = []
-        for w in words:
+        for raw in words:
+            w = raw.decode()
             tail = w[-1] if w[-1] in ".," else ""
             core = w[:-1] if tail else w
             if self.by_letter and core.isalpha() and (core.isascii() or (
                     core == core.lower() and unicodedata.is_normalized("NFC", core))):
-                self.known[w] = self._model(core.lower()) + (self.points[tail] if tail else b"")
+                self.known[raw] = self._model(core.lower()) + (self.points[tail] if tail else b"")
             else:
-                rest.append(w)
-        self.known.update(zip(rest, self._whole(rest)))
+                rest.append(raw)
+        self.known.update(zip(rest, self._whole([r.decode() for r in rest])))
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        words = text.split()
+        words = text.encode().split()  # at ASCII white space alone
         try:
             return b"".join(map(self.known.__getitem__, words))
         except KeyError:
