@@ -88,8 +88,8 @@ def fingerprint_notes(events: DataFrame, key: str = "event_id", text: str = "not
     pairs = keys.select("rank", "k", "need").join(after, "rank")
 
     sketched = held.withColumn("s", sketch(F.col("t"), k, width))
-    found = sketched.select(F.col("k").alias("next"), "t", "s").join(
-        pairs.select("next", "head", "need", F.col("k").alias("before")), "next")
+    # both joins read the same columns under the same names, so the texts are dealt once for the two
+    found = sketched.join(pairs.select("next", "head", "need", F.col("k").alias("before")), F.col("k") == F.col("next"))
     found = found.filter(F.xxhash64("t").bitwiseXOR(F.col("head")) == 0).select(
         F.col("before").alias("k"), F.expr("substring(t, 1, need)").alias("front"), F.col("s").alias("next_s"))
     found = found.dropDuplicates(["k"])
