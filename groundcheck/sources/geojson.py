@@ -38,6 +38,14 @@ def collection_errors(texts: DataFrame, expected_crs: str = "4326") -> DataFrame
         F.concat(F.lit("CRS mismatch: Expected EPSG:4326/CRS84, found "), crs))).drop("_head")
 
 
+def _checked(name: str, on_error: str) -> Column:
+    """The text where it has no ``error``; else null or, with ``fail``, a failure with that error."""
+    if on_error not in ("fail", "skip"):
+        raise ValueError("on_error must be fail or skip")
+    good = F.when(F.col("error").isNull(), F.col(name))
+    return good if on_error == "skip" else good.otherwise(F.raise_error(F.col("error")).cast("string"))
+
+
 def parse_collections(texts: DataFrame, on_error: str = "fail") -> DataFrame:
     """Documents (``text``, and ``rank`` where there are several) to raw features with load order ``ord``.
 
@@ -45,12 +53,10 @@ def parse_collections(texts: DataFrame, on_error: str = "fail") -> DataFrame:
     features share an ``ord``.  A document that can't be read fails the job with its error; with
     ``on_error="skip"`` it gives no rows, and ``collection_errors`` lists it.
     """
-    if on_error not in ("fail", "skip"):
-        raise ValueError("on_error must be fail or skip")
     checked = collection_errors(texts)
+    text = _checked("text", on_error)
     if on_error == "skip":
         checked = checked.filter(F.col("error").isNull())
-    text = F.when(F.col("error").isNull(), F.col("text")).otherwise(F.raise_error(F.col("error")).cast("string"))
     rank = F.col("rank").cast("bigint") if "rank" in texts.columns else F.lit(0).cast("bigint")
     doc = checked.select(rank.alias("rank"), F.from_json(text, _COLLECTION).alias("d"))
     return doc.select("rank", F.posexplode("d.features").alias("place", "f")).select(
@@ -81,12 +87,10 @@ def read_lines(spark: SparkSession, path: str, on_error: str = "fail") -> DataFr
     order of its own.  A line that is no such feature fails the job, or is left out with
     ``on_error="skip"``; ``line_errors`` lists them.
     """
-    if on_error not in ("fail", "skip"):
-        raise ValueError("on_error must be fail or skip")
     lines = line_errors(spark.read.text(path))
+    value = _checked("value", on_error)
     if on_error == "skip":
         lines = lines.filter(F.col("error").isNull())
-    value = F.when(F.col("error").isNull(), F.col("value")).otherwise(F.raise_error(F.col("error")).cast("string"))
     return lines.select(F.from_json(value, _LINE).alias("f")).select(
         F.col("f.ord").alias("ord"), *_feature_columns(F.col("f")))
 
