@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StructType
 
-from groundcheck.lineage import cut_lineage
+from groundcheck.lineage import cut_lineage, discard
 
 #: ASCII white space: blank, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -24,8 +24,9 @@ def ranked(df: DataFrame, groups: list[str], order: list[str], rank: str = "rank
     spark = df.sparkSession
     if not df.columns or "_file" in df.columns:
         raise ValueError("a column may not be called _file")
-    df = cut_lineage(df)  # dealing by range reads its input twice
-    table = cut_lineage(df.repartitionByRange(*groups, *order).sortWithinPartitions(*groups, *order))
+    once = cut_lineage(df)  # dealing by range reads its input twice
+    table = cut_lineage(once.repartitionByRange(*groups, *order).sortWithinPartitions(*groups, *order))
+    discard(once)
     placed = table.select("*", F.col("_metadata.file_name").alias("_file"),
                           F.col("_metadata.row_index").alias("_row"))
     parts = (placed.groupBy(*groups, "_file").agg(F.min("_row").alias("_first"), F.count("*").alias("_n"))
@@ -77,6 +78,7 @@ def components(links: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
                               F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e")
         ).select("e.*").filter("u <> v").distinct()
         after = cut_lineage(small)
+        discard(edges, large)
         # every node hangs on exactly one smaller node that itself has no smaller one: done
         open_ = (after.groupBy("u").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
                  or after.alias("a").join(after.alias("b"), F.col("a.v") == F.col("b.u"), "left_semi")
@@ -89,11 +91,19 @@ def components(links: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
 
 
 
-def map_text(df: DataFrame, text: str, make, fields: str) -> DataFrame:
+def slices(batches, rows: int = 500):
+    """The batches in slices of at most ``rows``, so that a task holds little at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def map_text(df: DataFrame, text: str, make, fields: str, rows: int = 500) -> DataFrame:
     """Replace the column ``text`` by ``fields``; all other columns pass through unchanged.
 
     ``make()`` runs once per task and returns a function from a list of texts (or None) to one list or
-    array per field and, where rows multiply or vanish, the places of the texts they come from.
+    array per field and, where rows multiply or vanish, the places of the texts they come from.  It is
+    given at most ``rows`` texts at once.
     """
     kept = [c for c in df.columns if c != text]
     added = StructType.fromDDL(fields)
@@ -101,7 +111,7 @@ def map_text(df: DataFrame, text: str, make, fields: str) -> DataFrame:
 
     def run(batches):
         work = make()
-        for batch in batches:
+        for batch in slices(batches, rows):
             columns, places = work(batch.column(batch.schema.get_field_index(text)).to_pylist())
             held = [batch.column(batch.schema.get_field_index(c)) for c in kept]
             if places is not None:

@@ -9,8 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from groundcheck.lineage import cut_lineage
-from groundcheck.llm.common import components, map_text
+from groundcheck.lineage import cut_lineage, discard
+from groundcheck.llm.common import components, map_text, slices
 from groundcheck.llm.ngram_join import shingle_hashes, word_hashes
 
 #: Kinds of units: a whole paragraph (line) and a piece of one, cut where its words say so.
@@ -23,74 +23,107 @@ def bands_for(similarity: float, rows: int, recall: float) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - similarity**rows))
 
 
-def piece_ends(words: np.ndarray, radius: int = 4) -> np.ndarray:
-    """Ends of the pieces: after each word whose pair hash is the strict minimum of its surroundings.
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(29))
+
+
+def piece_ends(words: np.ndarray, ends: np.ndarray, radius: int = 4) -> np.ndarray:
+    """Ends of the pieces of all lines (which end at ``ends``): after each pair of words whose hash is the strict
+    minimum of its surroundings in the line.
 
     Equal runs of words are cut alike, whatever stands around them (but for ``radius`` words at their ends).
     """
-    n = len(words)
-    pair = (words[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ words[1:]
-    pair = pair ^ (pair >> np.uint64(33))
+    pair = _mix((words[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ words[1:])
     if len(pair) <= 2 * radius:
-        return np.array([n])
+        return ends
     views = np.lib.stride_tricks.sliding_window_view(pair, 2 * radius + 1)
-    least = views.min(axis=1)
-    middle = views[:, radius]
-    cut = np.flatnonzero((middle == least) & ((views == least[:, None]).sum(axis=1) == 1)) + radius + 2
-    return np.concatenate([cut, [n]])
+    middle = np.arange(len(views)) + radius
+    line = np.searchsorted(ends, middle, side="right")
+    starts = np.concatenate([[0], ends[:-1]])
+    inside = (middle - radius >= starts[line]) & (middle + radius <= ends[line] - 2)
+    least = (views[:, radius] == views.min(axis=1)) & ((views == views[:, radius:radius + 1]).sum(axis=1) == 1)
+    return np.union1d(middle[inside & least] + 2, ends)
+
+
+def digests(words: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """One 64-bit hash of the words of every unit, in their order."""
+    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+    sizes = ends - starts
+    place = (np.arange(len(words)) - np.repeat(starts, sizes) + 1).astype(np.uint64)
+    mixed = _mix(words + place * np.uint64(0x9E3779B97F4A7C15))
+    return _mix(np.add.reduceat(mixed, starts) + sizes.astype(np.uint64))
 
 
-def _digest(words: np.ndarray) -> int:
+def _lines(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+    """Word hashes of all texts, the end of every line with words, the text it is of, and the line."""
     from xxhash import xxh3_64_intdigest
 
-    return xxh3_64_intdigest(words.tobytes())
+    words, sizes, places, lines = [], [], [], []
+    for i, t in enumerate(texts):
+        for line in (t or "").split("\n"):
+            own = line.encode().lower().split()
+            if own:
+                words += own
+                sizes.append(len(own))
+                places.append(i)
+                lines.append(line)
+    hashes = np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
+    return hashes, np.cumsum(np.array(sizes, np.int64)), np.array(places, np.int64), lines
 
 
 def _unit_rows(least_words: int, width: int, rows: int, bands: int, seed: int = 5):
     rng = np.random.default_rng(seed)
     factors = rng.integers(1, 2**63, rows * bands, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-    def sketch(words: np.ndarray) -> list[int]:
-        grams = np.unique(shingle_hashes(words, width))
-        least = np.array([(grams * f ^ ((grams * f) >> np.uint64(31))).min() for f in factors])
-        return [_digest(np.append(least[b * rows:(b + 1) * rows], np.uint64(b))) for b in range(bands)]
+    def sketches(words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Per line and band a hash of its minima over the line's shingles."""
+        grams = shingle_hashes(words, width)
+        # from a line's first shingle up to its last, then over those that reach into the next line
+        cuts = np.stack([starts, ends - width + 1], axis=1).ravel()
+        cuts = cuts[:-1] if cuts[-1] >= len(grams) else cuts
+        least = np.empty((len(starts), rows * bands), np.uint64)
+        for j, f in enumerate(factors):
+            x = grams * f
+            least[:, j] = np.minimum.reduceat(x ^ (x >> np.uint64(31)), cuts)[::2]
+        out = np.empty((len(starts), bands), np.uint64)
+        for b in range(bands):
+            x = np.full(len(starts), b + 1, np.uint64)
+            for j in range(b * rows, (b + 1) * rows):
+                x = _mix(x * np.uint64(0x9E3779B97F4A7C15) + least[:, j])
+            out[:, b] = x
+        return out
 
     def make():
         def run(texts):
-            places, kinds, hashes, firsts, sizes, sketches = [], [], [], [], [], []
-
-            def add(place, kind, words, first, more):
-                places.append(place)
-                kinds.append(kind)
-                hashes.append(_digest(words))
-                firsts.append(first)
-                sizes.append(len(words))
-                sketches.append(more)
-
-            for i, t in enumerate(texts):
-                at = 0
-                for line in (t or "").split("\n"):
-                    words = word_hashes(line)
-                    if len(words) >= least_words:
-                        add(i, PARAGRAPH, words, at, sketch(words))
-                    if len(words):
-                        a = 0
-                        for b in piece_ends(words).tolist():
-                            if b > a:
-                                add(i, PIECE, words[a:b], at + a, None)
-                            a = b
-                    at += len(words)
-            return [np.array(kinds, np.int32), np.array(hashes, np.uint64).view(np.int64), np.array(firsts, np.int32),
-                    np.array(sizes, np.int32),
-                    pa.array([None if s is None else np.array(s, np.uint64).view(np.int64) for s in sketches],
-                             pa.list_(pa.int64()))], places
+            words, ends, places, _ = _lines(texts)
+            kinds = pa.list_(pa.int64())
+            if not len(words):
+                return [[], [], [], [], pa.array([], kinds)], []
+            starts = np.concatenate([[0], ends[:-1]])
+            first_line = np.searchsorted(places, places, side="left")  # of the same text
+            origin = starts[first_line]
+            long = np.flatnonzero(ends - starts >= max(least_words, width))
+            lines = digests(words, ends)[long]
+            sketch = sketches(words, starts[long], ends[long]) if len(long) else np.zeros((0, bands), np.uint64)
+            pieces = piece_ends(words, ends)
+            from_ = np.concatenate([[0], pieces[:-1]])
+            line = np.searchsorted(ends, from_, side="right")
+            hashes = np.concatenate([lines, digests(words, pieces)]).view(np.int64)
+            firsts = np.concatenate([(starts - origin)[long], from_ - origin[line]]).astype(np.int32)
+            sizes = np.concatenate([(ends - starts)[long], pieces - from_]).astype(np.int32)
+            which = np.concatenate([np.full(len(long), PARAGRAPH), np.full(len(pieces), PIECE)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(long) + 1) * bands, pa.int32()),
+                                             pa.array(sketch.view(np.int64).ravel()))
+            return [which, hashes, firsts, sizes, pa.concat_arrays([lists, pa.nulls(len(pieces), kinds)])], \
+                np.concatenate([places[long], places[line]])
         return run
     return make
 
 
 def _similar(width: int, percent: int):
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             keep = []
             for i, (x, y) in enumerate(zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())):
                 a, b = (np.unique(shingle_hashes(word_hashes(t), width)) for t in (x, y))
@@ -102,25 +135,19 @@ def _similar(width: int, percent: int):
     return run
 
 
-def _line_texts(wanted_words: int):
+def _line_texts():
     def make():
         def run(texts):
-            places, hashes, lines = [], [], []
-            for i, t in enumerate(texts):
-                for line in (t or "").split("\n"):
-                    words = word_hashes(line)
-                    if len(words) >= wanted_words:
-                        places.append(i)
-                        hashes.append(_digest(words))
-                        lines.append(line)
-            return [np.array(hashes, np.uint64).view(np.int64), lines], places
+            words, ends, places, lines = _lines(texts)
+            found = digests(words, ends).view(np.int64) if len(words) else np.zeros(0, np.int64)
+            return [found, lines], places
         return run
     return make
 
 
 def _cut(least_words: int):
     def make_rows(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts, removed = [], []
             for t, units in zip(batch.column("t").to_pylist(), batch.column("units").to_pylist()):
                 if not units:
@@ -196,7 +223,7 @@ def drop_repeated_passages(events: DataFrame, key: str = "event_id", text: str =
     wanted = met.select("h").distinct().join(lines.select("h", "one"), "h").select("h", "one.k", "one.u")
     texts = notes.join(wanted.select("k", "u").distinct().withColumnRenamed("k", "wk").withColumnRenamed("u", "wu"),
                        F.col("k").eqNullSafe(F.col("wk")) & (F.col("u") == F.col("wu"))).select("t")
-    texts = cut_lineage(map_text(texts, "t", _line_texts(least_words), "h bigint, line string").groupBy("h").agg(
+    texts = cut_lineage(map_text(texts, "t", _line_texts(), "h bigint, line string").groupBy("h").agg(
         F.min("line").alias("line")).join(wanted.select("h"), "h", "left_semi"))
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -213,7 +240,9 @@ def drop_repeated_passages(events: DataFrame, key: str = "event_id", text: str =
     more = left.select("bucket", F.col("h").alias("a"), F.col("c").alias("ca")).join(
         left.select("bucket", F.col("h").alias("b"), F.col("c").alias("cb")), "bucket").filter(
         "a < b and ca <> cb").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
-    found = components(links.unionByName(verified(cut_lineage(more))), "a", "b").withColumnRenamed("node", "h")
+    more = cut_lineage(more)
+    found = components(links.unionByName(verified(more)), "a", "b").withColumnRenamed("node", "h")
+    discard(met, stars, texts, left, more)
 
     # the first place of every class, over all near-equal paragraphs
     grouped = classes.join(found.withColumn("kind", F.lit(PARAGRAPH)), ["kind", "h"], "left").select(
