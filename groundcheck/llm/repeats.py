@@ -8,8 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from groundcheck.lineage import cut_lineage
-from groundcheck.llm.common import map_text
+from groundcheck.lineage import cut_lineage, discard
+from groundcheck.llm.common import map_text, slices
 
 _CHUNK = 1 << 18
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -145,7 +145,7 @@ def common_prefix(a: bytes, b: bytes) -> int:
 
 def _suffixes(length: int):
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             u, n, where, gram, left, suffix = [], [], [], [], [], []
             for i, (t, edges) in enumerate(zip(batch.column("t").to_pylist(), batch.column("edge").to_pylist())):
                 raw = t.encode()
@@ -188,7 +188,7 @@ def _windows(length: int):
     size = length // 2
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             pos = batch.column("pos").to_numpy()
             left, suffix = batch.column("left").to_pylist(), batch.column("suffix").to_pylist()
             match = batch.column("match").to_numpy()
@@ -219,7 +219,7 @@ def _windows(length: int):
 
 def _removed(length: int):
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             spans, digests = [], []
             for t, whole, starts in zip(*(batch.column(c).to_pylist() for c in ("t", "whole", "starts"))):
                 raw = t.encode()
@@ -266,13 +266,14 @@ def repeated_spans(events: DataFrame, key: str = "event_id", text: str = "notes"
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = events.select(F.col(key).alias("k"), F.xxhash64(t).alias("u"), F.octet_length(t).alias("n"), t.alias("t"))
     anchors = map_text(rows.select("u", "n", "t"), "t", _anchor_rows(length), "gram long, context long, pos long")
-    twice = anchors.groupBy("gram").agg(F.count("*").alias("c")).filter("c > 1").select("gram")
+    # the counts are stored apart, so that Spark may split a hot hash when it joins them
+    twice = cut_lineage(anchors.groupBy("gram").agg(F.count("*").alias("c")).filter("c > 1").select("gram"))
     live = cut_lineage(anchors.join(twice, "gram"))
     kinds = cut_lineage(live.groupBy("gram", "context").agg(
         F.count("*").alias("c"), F.min(F.struct("u", "n", "pos")).alias("one")))
     whole = live.join(kinds.filter("c > 1").select("gram", "context"), ["gram", "context"]).groupBy("u", "n").agg(
         F.collect_set("pos").alias("whole"))
-    several = kinds.groupBy("gram").agg(F.count("*").alias("c")).filter("c > 1").select("gram")
+    several = cut_lineage(kinds.groupBy("gram").agg(F.count("*").alias("c")).filter("c > 1").select("gram"))
     edge = kinds.join(several, "gram").groupBy("one.u", "one.n").agg(
         F.collect_set(F.struct("gram", "one.pos")).alias("edge"))
     asked = whole.join(edge, ["u", "n"], "full")
@@ -281,17 +282,20 @@ def repeated_spans(events: DataFrame, key: str = "event_id", text: str = "notes"
     read = cut_lineage(read.select(
         "k", "u", "n", "whole", "edge", F.when(open_, F.col("t")).alias("t"),
         F.when(~open_, F.sha2(F.col("t"), 256)).alias("kept_sha256")))
+    discard(twice, live, kinds, several)
 
     suffixes = cut_lineage(read.filter("edge is not null").select("u", "n", "t", "edge").dropDuplicates(["u", "n"])
                            .mapInArrow(_suffixes(length), "u long, n int, pos long, gram long, left binary, suffix binary"))
     sorted_ = cut_lineage(suffixes.repartitionByRange("suffix", "left").mapInArrow(
         _bucket, "u long, n int, pos long, gram long, left binary, suffix binary, match int, end int"))
+    discard(suffixes)
     ends = sorted_.filter("end > 0").select("u", "n", "pos", "suffix", "left", "match", "end").collect()
     matched = sorted_.join(F.broadcast(_over_ends(sorted_, ends)), ["u", "n", "pos"], "left").withColumn(
         "match", F.greatest("match", F.coalesce("over", F.lit(0))))
     windows = cut_lineage(matched.select("u", "n", "pos", "gram", "left", "suffix", "match").mapInArrow(
         _windows(length), "u long, n int, gram long, before int, string long, start int"))
-    again = windows.groupBy("gram", "before", "string").agg(F.count("*").alias("c")).filter("c > 1").drop("c")
+    discard(sorted_)
+    again = cut_lineage(windows.groupBy("gram", "before", "string").agg(F.count("*").alias("c")).filter("c > 1").drop("c"))
     starts = windows.join(again, ["gram", "before", "string"]).groupBy("u", "n").agg(
         F.collect_set("start").alias("starts"))
 
