@@ -15,7 +15,7 @@ from groundcheck.llm.common import map_text
 EDGES = ".,;:!?\"'()[]{}<>*#%&-_/\\0123456789@=+|~^$"
 LETTER = re.compile(r"[^\W\d_]")
 UNDETERMINED = "und"
-_MEMORY, _WORDS_AT_ONCE = 300_000, 400_000
+_MEMORY, _WORDS_AT_ONCE = 1_000_000, 400_000
 
 
 def word_features(word: str, dims: int) -> list[int]:
@@ -176,7 +176,9 @@ class Tagger:
         alive, begins = _layout(sizes)
         token, get = np.empty(begins[-1], np.int64), self.rows.get
         for j, i in enumerate(order):
-            rows = [self._row(w) if r is None else r for w, r in zip(notes[i], map(get, notes[i]))]
+            rows = list(map(get, notes[i]))
+            if None in rows:
+                rows = [self._row(w) if r is None else r for w, r in zip(notes[i], rows)]
             token[begins[:len(rows)] + j] = rows
         post = forward_backward(self.scores[token], alive, begins, self.model.moves.astype(np.float32),
                                 self.model.start.astype(np.float32))
@@ -247,7 +249,9 @@ def predict_language(events: DataFrame, model: LanguageModel, key: str = "event_
                     best = int(p.argmax())
                     lang[i], score[i] = names[best], min(1.0, float(p[best]))
 
-            for i, t in enumerate(texts):
+            # notes of like length go together, so few steps have few notes
+            for i in sorted(range(len(texts)), key=lambda i: len(texts[i] or "")):
+                t = texts[i]
                 if not t or not names or not LETTER.search(t):
                     continue
                 part.append((i, t.lower().split()))
@@ -262,4 +266,4 @@ def predict_language(events: DataFrame, model: LanguageModel, key: str = "event_
         return run
 
     return map_text(events.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")), "t", predictor,
-                    "lang_pred string, score double").withColumnRenamed("k", key)
+                    "lang_pred string, score double", rows=10_000).withColumnRenamed("k", key)
