@@ -6,8 +6,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from groundcheck.lineage import cut_lineage
-from groundcheck.llm.common import components, map_text, ranked
+from groundcheck.lineage import cut_lineage, discard
+from groundcheck.llm.common import components, map_text, ranked, slices
 
 #: One text in so many is read to rank words and n-grams by how common they are.
 SAMPLE = 16
@@ -121,28 +121,16 @@ def _profiles(rows: DataFrame, ranks, width: int, percent: int) -> DataFrame:
     return map_text(rows, "t", profiler, "n int, node binary, short array<bigint>, parts array<int>")
 
 
-def _sets(rows: DataFrame, width: int) -> DataFrame:
-    def reader():
-        from xxhash import xxh3_128_digest
-
-        def run(texts):
-            sets = [np.unique(shingle_hashes(word_hashes(t), width)).tobytes() for t in texts]
-            return [[xxh3_128_digest(s) for s in sets], sets], None
-
-        return run
-
-    return map_text(rows, "t", reader, "node binary, grams binary")
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs whose sets share enough: one set's n-grams are probed in the other's sorted ones."""
+    def grams(t: str) -> np.ndarray:
+        return np.unique(shingle_hashes(word_hashes(t), width))
+
     def probe(batches):
-        for batch in batches:
+        for batch in slices(batches):
             keep = []
-            for i, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"))):
-                a = np.frombuffer(x.as_buffer(), np.uint64)
-                b = np.frombuffer(y.as_buffer(), np.uint64)
-                a, b = (a, b) if len(a) <= len(b) else (b, a)
+            for i, (x, y) in enumerate(zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())):
+                a, b = sorted((grams(x), grams(y)), key=len)
                 shared = 0
                 if len(a):
                     at = np.minimum(np.searchsorted(b, a), len(b) - 1)
@@ -152,9 +140,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             at = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at)], names=["a", "b"])
 
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("x")), "a").join(
-        sets.select(F.col("id").alias("b"), F.col("grams").alias("y")), "b")
-    return cut_lineage(both.select("a", "b", "x", "y").mapInArrow(probe, "a long, b long"))
+    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("x")), "a").join(
+        texts.select(F.col("id").alias("b"), F.col("t").alias("y")), "b")
+    return cut_lineage(both.select("a", "b", "x", "y").mapInArrow(probe, "a long, b long").distinct())
 
 
 def link_notes(events: DataFrame, key: str = "event_id", text: str = "notes", width: int = 5,
@@ -179,18 +167,21 @@ def link_notes(events: DataFrame, key: str = "event_id", text: str = "notes", wi
     text is one n-gram.  Rows without a key are linked like others, but give no component its name; rows
     that repeat a key are one row each; an empty table gives no rows.
     """
-    rows = events.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
+    note = F.col(text).cast("string")
+    rows = events.select(F.col(key).alias("k"), F.xxhash64(note).alias("u"), note.alias("t"))
     ranks = rows.sparkSession.sparkContext.broadcast(_sampled(rows, width))
     profiles = cut_lineage(_profiles(rows, ranks, width, percent))
     nodes, _ = ranked(profiles.filter("n > 0").groupBy("node").agg(
-        F.min("n").alias("n"), F.min("k").alias("rep")), [], ["n", "node"], "id")
+        F.min("n").alias("n"), F.min("k").alias("rep"), F.min(F.struct("k", "u")).alias("one")), [], ["n", "node"], "id")
     nodes = cut_lineage(nodes)
 
+    def of_node(df: DataFrame, which: DataFrame) -> DataFrame:
+        """The row that stands for each node."""
+        which = which.select("id", F.col("one.k").alias("_k"), F.col("one.u").alias("_u"))
+        return df.join(which, F.col("k").eqNullSafe(F.col("_k")) & (F.col("u") == F.col("_u")))
+
     # inverted lists of the short n-grams, from one row of every node
-    members = profiles.filter("n > 0").join(nodes.select("id", "rep", F.col("node").alias("_node")),
-                                            F.col("node") == F.col("_node"))
-    members = members.filter(F.col("k").eqNullSafe(F.col("rep"))).select(
-        "id", "n", F.explode(F.arrays_zip("short", "parts")).alias("l"))
+    members = of_node(profiles, nodes).select("id", "n", F.explode(F.arrays_zip("short", "parts")).alias("l"))
     lists = members.groupBy(
         F.col("l.short").alias("gram"), F.col("l.parts").alias("parts"),
         F.pmod(F.xxhash64("id"), F.col("l.parts")).cast("int").alias("part")).agg(
@@ -212,13 +203,13 @@ def link_notes(events: DataFrame, key: str = "event_id", text: str = "notes", wi
         low.filter("parts > 1").select("gram", F.col("low").alias("y")), "gram")))
     stars = cut_lineage(stars.distinct())
 
-    # whole sets of the nodes that meet in a list
-    met = lists.select(F.explode("m.id").alias("id")).distinct().join(nodes, "id").select(
-        "id", "rep", F.col("node").alias("_node"))
-    sets = cut_lineage(_sets(rows.join(met, F.col("k").eqNullSafe(F.col("rep"))).select("id", "_node", "t"), width)
-                       .filter(F.col("node") == F.col("_node")).select("id", "grams").groupBy("id").agg(
-        F.min("grams").alias("grams")))
-    links = _verified(stars, sets, percent)
+    # texts of the nodes that meet in a list, one of each
+    met = lists.select(F.explode("m.id").alias("id")).distinct().join(nodes, "id")
+    texts = of_node(rows, met).select("id", "t")
+    if profiles.groupBy("k", "u").agg(F.count("*").alias("c")).filter("c > 1").limit(1).count():
+        texts = texts.dropDuplicates(["id"])
+    texts = cut_lineage(texts)
+    links = _verified(stars, texts, width, percent)
     found = components(links, "a", "b")
 
     # lists whose members are not yet in one component
@@ -230,7 +221,9 @@ def link_notes(events: DataFrame, key: str = "event_id", text: str = "notes", wi
     x = rest.select("gram", F.struct("id", "n").alias("x"), F.col("c").alias("cx"))
     y = rest.select("gram", F.struct("id", "n").alias("y"), F.col("c").alias("cy"))
     more = pairs_of(x.join(y, "gram").filter("x.id < y.id and cx <> cy")).distinct().join(stars, ["a", "b"], "left_anti")
-    links = links.unionByName(_verified(cut_lineage(more), sets, percent))
+    more = cut_lineage(more)
+    links = links.unionByName(_verified(more, texts, width, percent))
+    discard(more, rest, stars, texts, lists)
     found = components(links, "a", "b")
 
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
