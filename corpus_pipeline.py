@@ -33,9 +33,9 @@ def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample whose tokens have the target shares by source, language and topic."""
-    kept = queries.mixed(docs).filter("kept").select(F.col("doc_id").alias("k")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("k")), "left_semi")
+    """A sample, with repeats, whose tokens have the target shares by source, language and topic."""
+    held = queries.mixed(docs.withColumn("doc", F.struct(*docs.columns)), keep=("doc",)).filter("kept")
+    return held.select("doc", F.explode(F.sequence(F.lit(1), "copies"))).select("doc.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

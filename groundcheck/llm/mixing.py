@@ -37,8 +37,8 @@ def rake(tokens: np.ndarray, targets: list[np.ndarray], rounds: int = 200, toler
     return fit
 
 
-def keep_probabilities(tokens: np.ndarray, fit: np.ndarray, share: float) -> np.ndarray:
-    """Probabilities in proportion to fitted over actual weight that keep ``share`` of all tokens, as far as 1 allows."""
+def copy_weights(tokens: np.ndarray, fit: np.ndarray, share: float) -> np.ndarray:
+    """Mean copies in proportion to fitted over actual weight that leave ``share`` of all tokens in at least one copy."""
     ratio = np.divide(fit * tokens.sum(), tokens, out=np.zeros_like(fit), where=tokens > 0)
     low, high = 0.0, 1.0 / max(ratio[ratio > 0].min(initial=np.inf), 1e-12) if (ratio > 0).any() else 0.0
     for _ in range(100):
@@ -47,20 +47,30 @@ def keep_probabilities(tokens: np.ndarray, fit: np.ndarray, share: float) -> np.
             low = scale
         else:
             high = scale
-    return np.minimum(1, high * ratio)
+    return high * ratio
+
+
+def keep_probabilities(tokens: np.ndarray, fit: np.ndarray, share: float) -> np.ndarray:
+    """Probabilities of at least one copy: ``share`` of all tokens has one."""
+    return np.minimum(1, copy_weights(tokens, fit, share))
 
 
 def mix_notes(events: DataFrame, targets: dict[str, dict[str, float]], share: float = 0.8,
-              key: str = "event_id", text: str = "notes", seed: int = 42) -> DataFrame:
-    """Sample notes so that the kept tokens have the target shares by every column of ``targets``.
+              key: str = "event_id", text: str = "notes", seed: int = 42,
+              keep: tuple[str, ...] = ()) -> DataFrame:
+    """Sample notes so that the tokens of all copies have the target shares by every column of ``targets``.
 
     ``targets`` maps columns (the reviewer or source, the language, the topic) to shares per value, with
     :data:`REST` for all values not named, so the cross table is as small as the caller's lists.  Its
-    token counts (words) are summed over all rows, raked on the driver, and turned into one probability
-    per cell; ``share`` of the tokens are kept on average.  A note stays if the hash of its key falls
-    below its cell's probability, so the draw repeats exactly and does not depend on the partitions.
+    token counts (words) are summed over all rows, raked on the driver, and turned into one weight per
+    cell, so that ``share`` of the tokens stay on average.  A note is taken as many times as the whole part
+    of its cell's weight says, and once more if the hash of its key falls below the remainder, so cells
+    that are short of their target are repeated, and the draw repeats exactly and does not depend on the
+    partitions.  Only what is counted ``copies`` times has the target shares; the ``kept`` notes counted once
+    do not where a weight is over 1.
 
-    Returns ``key``, the target columns (as grouped), ``tokens, probability, kept`` for every row.
+    Returns ``key``, the columns ``keep``, the target columns (as grouped), ``tokens, probability`` (of at
+    least one copy), ``kept, copies`` for every row.
 
     A null value counts under :data:`REST` (with share 0 where that is not named); null and empty notes
     have no tokens and their cell's probability, which is 0 where the cell has none at all; rows that
@@ -74,20 +84,24 @@ def mix_notes(events: DataFrame, targets: dict[str, dict[str, float]], share: fl
         value = F.col(names[i]).cast("string")
         return F.when(value.isin([v for v in lists[i] if v != REST]), value).otherwise(F.lit(REST)).alias(f"d{i}")
 
+    if taken := {*keep} & {key, *names, "tokens", "probability", "kept", "copies"}:
+        raise ValueError(f"columns to keep may not be called {sorted(taken)}")
     rows = events.select(
-        F.col(key).alias("k"), *(grouped(i) for i in range(len(names))),
+        F.col(key).alias("k"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(keep)), *(grouped(i) for i in range(len(names))),
         F.coalesce(F.regexp_count(F.col(text).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("tokens"))
     dims = [f"d{i}" for i in range(len(names))]
     table = np.zeros([len(v) for v in lists])
     for r in rows.groupBy(*dims).agg(F.sum("tokens").alias("n")).collect():
         table[tuple(v.index(r[d]) for v, d in zip(lists, dims))] = r["n"]
     goals = [np.array([t.get(v, 0.0) for v in values]) for t, values in zip(targets.values(), lists)]
-    chance = keep_probabilities(table, rake(table, goals), share)
-    cells = [(*values, float(chance[tuple(v.index(x) for v, x in zip(lists, values))])) for values in product(*lists)]
+    weights = copy_weights(table, rake(table, goals), share)
+    cells = [(*values, float(weights[tuple(v.index(x) for v, x in zip(lists, values))])) for values in product(*lists)]
     plan = events.sparkSession.createDataFrame(
-        cells, ", ".join([*(f"{d} string" for d in dims), "probability double"]))
+        cells, ", ".join([*(f"{d} string" for d in dims), "w double"]))
     draw = F.shiftrightunsigned(F.xxhash64("k", F.lit(seed)), 11) / F.lit(float(2**53))
+    copies = F.floor("w") + (draw < F.col("w") - F.floor("w")).cast("long")
     # one row for each cell of the caller's lists
-    return rows.join(F.broadcast(plan), dims).select(
-        F.col("k").alias(key), *(F.col(d).alias(n) for d, n in zip(dims, names)), "tokens", "probability",
-        (draw < F.col("probability")).alias("kept"))
+    return rows.join(F.broadcast(plan), dims).withColumn("copies", copies).select(
+        F.col("k").alias(key), *(F.col(f"c{i}").alias(c) for i, c in enumerate(keep)),
+        *(F.col(d).alias(n) for d, n in zip(dims, names)), "tokens", F.least("w", F.lit(1.0)).alias("probability"),
+        (F.col("copies") > 0).alias("kept"), "copies")

@@ -126,10 +126,10 @@ def topic() -> "F.Column":
             .otherwise("prose"))
 
 
-def mixed(docs: DataFrame) -> DataFrame:
+def mixed(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     rows = docs.select(F.col("doc_id").alias("event_id"), F.col("text").alias("notes"), "source", "lang",
-                       topic().alias("topic"))
-    return mixing.mix_notes(rows, MIX).withColumnRenamed("event_id", "doc_id")
+                       topic().alias("topic"), *keep)
+    return mixing.mix_notes(rows, MIX, keep=keep).withColumnRenamed("event_id", "doc_id")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -149,3 +149,22 @@ def test_mix_of_null_empty_repeated_and_no_rows(spark):
     assert got.collect() == []
     with pytest.raises(ValueError):
         mixing.mix_notes(frame, goals, share=0)
+
+
+def test_mix_query_meets_the_targets_by_every_column(spark):
+    got = queries.op7_mixing(spark, "/root/testdata/sf0.1").toPandas()
+    assert (got["kept"] == (got["copies"] > 0)).all()
+    drawn = got["tokens"] * got["copies"]
+    for column, goal in queries.MIX.items():
+        share = drawn.groupby(got[column]).sum() / drawn.sum()
+        assert all(abs(share.get(value, 0) - want) < 0.02 for value, want in goal.items()), (column, share)
+
+
+def test_mix_stage_repeats_what_is_short(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    copies = {r["doc_id"]: r["copies"] for r in queries.mixed(docs).collect() if r["copies"]}
+    got = corpus_pipeline.mix_sources(spark, docs, SF)
+    assert got.columns == docs.columns and max(copies.values()) > 1
+    assert {r["doc_id"]: r["count"] for r in got.groupBy("doc_id").count().collect()} == copies
