@@ -55,6 +55,16 @@ def keep_probabilities(tokens: np.ndarray, fit: np.ndarray, share: float) -> np.
     return np.minimum(1, copy_weights(tokens, fit, share))
 
 
+def _goal(target: dict[str, float], values: list[str], tokens: np.ndarray) -> np.ndarray:
+    """Shares of the values; an unnamed :data:`REST` has its actual share and the others share what is left."""
+    goal = np.array([target.get(v, 0.0) for v in values])
+    if REST in target:
+        return goal
+    goal, rest = np.where(tokens > 0, goal, 0), np.array([v == REST for v in values])
+    own = tokens[rest].sum() / max(tokens.sum(), 1)
+    return np.where(rest, own, goal * (1 - own) / (goal.sum() or 1))
+
+
 def mix_notes(events: DataFrame, targets: dict[str, dict[str, float]], share: float = 0.8,
               key: str = "event_id", text: str = "notes", seed: int = 42,
               keep: tuple[str, ...] = ()) -> DataFrame:
@@ -72,9 +82,10 @@ def mix_notes(events: DataFrame, targets: dict[str, dict[str, float]], share: fl
     Returns ``key``, the columns ``keep``, the target columns (as grouped), ``tokens, probability`` (of at
     least one copy), ``kept, copies`` for every row.
 
-    A null value counts under :data:`REST` (with share 0 where that is not named); null and empty notes
-    have no tokens and their cell's probability, which is 0 where the cell has none at all; rows that
-    repeat a key share one draw; an empty table gives no rows.
+    A null value counts under :data:`REST`.  Where that is not named it takes its actual share of the tokens,
+    and the named shares are of the others.  Null and empty notes have no tokens and their cell's
+    probability, which is 1 where the cell has none at all (0 if a value of it is named with share 0);
+    rows that repeat a key share one draw; an empty table gives no rows.
     """
     if not 0 < share <= 1 or any(v < 0 for t in targets.values() for v in t.values()):
         raise ValueError("share must be in (0, 1] and target shares not negative")
@@ -93,8 +104,12 @@ def mix_notes(events: DataFrame, targets: dict[str, dict[str, float]], share: fl
     table = np.zeros([len(v) for v in lists])
     for r in rows.groupBy(*dims).agg(F.sum("tokens").alias("n")).collect():
         table[tuple(v.index(r[d]) for v, d in zip(lists, dims))] = r["n"]
-    goals = [np.array([t.get(v, 0.0) for v in values]) for t, values in zip(targets.values(), lists)]
+    goals = [_goal(t, v, table.sum(axis=tuple(a for a in range(table.ndim) if a != i)))
+             for i, (t, v) in enumerate(zip(targets.values(), lists))]
     weights = copy_weights(table, rake(table, goals), share)
+    # rows of a cell without tokens move no share: they stay unless a target of 0 is named
+    barred = [np.array([t.get(v, 1.0) == 0 for v in values]) for t, values in zip(targets.values(), lists)]
+    weights = np.where(table > 0, weights, ~np.any(np.meshgrid(*barred, indexing="ij"), axis=0))
     cells = [(*values, float(weights[tuple(v.index(x) for v, x in zip(lists, values))])) for values in product(*lists)]
     plan = events.sparkSession.createDataFrame(
         cells, ", ".join([*(f"{d} string" for d in dims), "w double"]))

@@ -168,3 +168,17 @@ def test_mix_stage_repeats_what_is_short(spark):
     got = corpus_pipeline.mix_sources(spark, docs, SF)
     assert got.columns == docs.columns and max(copies.values()) > 1
     assert {r["doc_id"]: r["count"] for r in got.groupBy("doc_id").count().collect()} == copies
+
+
+def test_mix_takes_unnamed_values_by_their_actual_share(spark):
+    rows = [(i, "one two three", ["en", "de", "it", None][i % 4], "src0" if i % 3 else None) for i in range(4000)]
+    rows += [(5000, "", "fr", "src0"), (5001, "", None, "never")]
+    docs = spark.createDataFrame(rows, "event_id long, notes string, lang string, source string")
+    got = mixing.mix_notes(docs, {"lang": {"en": 0.6, "de": 0.2, "fr": 0.2}, "source": {"src0": 0.5, "never": 0.5}}).toPandas()
+    drawn = got["tokens"] * got["copies"]
+    lang, source = (drawn.groupby(got[c]).sum() / drawn.sum() for c in ("lang", "source"))
+    assert np.allclose([lang[mixing.REST], lang["en"], lang["de"]], [0.5, 0.375, 0.125], atol=0.03)
+    assert abs(source[mixing.REST] - 1 / 3) < 0.03
+    assert set(got.loc[got["event_id"] >= 5000, "copies"]) == {1}
+    none = mixing.mix_notes(docs, {"lang": {"en": 0.5, "de": 0.5, mixing.REST: 0.0}}).toPandas()
+    assert not none.loc[none["lang"] == mixing.REST, "kept"].any()
