@@ -15,6 +15,8 @@ from groundcheck.llm.ngram_join import shingle_hashes, word_hashes
 
 #: Kinds of units: a whole paragraph (line) and a piece of one, cut where its words say so.
 PARAGRAPH, PIECE = 0, 1
+#: Words on either side that decide where a piece ends (the chunk of :func:`piece_ends` is the most).
+REACH = 12
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
 
 
@@ -28,11 +30,31 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def piece_ends(words: np.ndarray, ends: np.ndarray, radius: int = 4) -> np.ndarray:
+def periodic_runs(words: np.ndarray, ends: np.ndarray, longest: int = 4, least: int = 12) -> list[tuple[int, int, int]]:
+    """``(start, end, period)`` of the runs of ``least`` words or more in a line that repeat up to ``longest`` words."""
+    starts = np.concatenate([[0], ends[:-1]])
+    line = np.repeat(np.arange(len(ends)), ends - starts)
+    held, found = np.zeros(len(words), bool), []
+    for q in range(1, longest + 1):
+        same = (words[:-q] == words[q:]) & (line[:-q] == line[q:])
+        flips = np.flatnonzero(np.diff(np.concatenate([[False], same, [False]]).astype(np.int8)))
+        long = flips[1::2] - flips[::2] + q >= least
+        for a, b in zip(flips[::2][long], flips[1::2][long] + q):
+            free = np.flatnonzero(~held[a:b])
+            if len(free) and free[-1] - free[0] + 1 >= least and not held[a + free[0]:a + free[-1] + 1].any():
+                a, b = a + int(free[0]), a + int(free[-1]) + 1
+                held[a:b] = True
+                found.append((int(a), int(b), q))
+    return found
+
+
+def piece_ends(words: np.ndarray, ends: np.ndarray, radius: int = 4, chunk: int = 12) -> np.ndarray:
     """Ends of the pieces of all lines (which end at ``ends``): after each pair of words whose hash is the strict
     minimum of its surroundings in the line.
 
     Equal runs of words are cut alike, whatever stands around them (but for ``radius`` words at their ends).
+    Words that repeat at once, up to ``radius`` in turn, have no strict minimum: they are cut at both ends and,
+    from the first place where their least rotation begins, every ``chunk`` words (a multiple of all periods).
     """
     pair = _mix((words[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ words[1:])
     if len(pair) <= 2 * radius:
@@ -43,7 +65,17 @@ def piece_ends(words: np.ndarray, ends: np.ndarray, radius: int = 4) -> np.ndarr
     starts = np.concatenate([[0], ends[:-1]])
     inside = (middle - radius >= starts[line]) & (middle + radius <= ends[line] - 2)
     least = (views[:, radius] == views.min(axis=1)) & ((views == views[:, radius:radius + 1]).sum(axis=1) == 1)
-    return np.union1d(middle[inside & least] + 2, ends)
+    cuts, more = middle[inside & least] + 2, [ends]
+    runs = periodic_runs(words, ends, radius)
+    if runs:
+        within = np.zeros(len(words) + 1, bool)
+        for a, b, q in runs:
+            within[a + 1:b] = True
+            turn = min(range(q), key=lambda r: words[a + r:a + r + q].tolist())
+            more += [[a], np.arange(a + turn, b, chunk), [b]]
+        cuts = cuts[~within[cuts]]
+    found = np.union1d(cuts, np.concatenate(more)).astype(np.int64)
+    return found[found > 0]
 
 
 def digests(words: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -145,6 +177,98 @@ def _line_texts():
     return make
 
 
+def _asked():
+    """Per run of repeated pieces and side: the first place it continues at, and the words that stand there here.
+
+    A whole piece and the words that decide its ends would be a repeated piece themselves, so no match
+    reaches farther than that.
+    """
+    def run(batches):
+        for batch in slices(batches):
+            out = [[] for _ in range(5)]
+            at = []
+            for i, (t, units) in enumerate(zip(batch.column("t").to_pylist(), batch.column("units").to_pylist())):
+                words, ends, _, _ = _lines([t])
+                pieces = piece_ends(words, ends)
+                begins = {u["first"] for u in units}
+                stops = {u["first"] + u["size"] for u in units}
+                for u in units:
+                    a, b, best = u["first"], u["first"] + u["size"], u["best"]
+                    line = np.searchsorted(ends, a, side="right")
+                    start, end = (ends[line - 1] if line else 0), ends[line]
+                    if a > start and a not in stops:
+                        far = np.searchsorted(pieces, a) - 1
+                        far = max(start, (pieces[far - 1] if far > 0 else 0) - 2 * REACH)
+                        found = (0, a, best["first"], words[far:a][::-1])
+                    else:
+                        found = None
+                    other = None
+                    if b < end and b not in begins:
+                        far = np.searchsorted(pieces, b, side="right")
+                        other = (1, b, best["first"] + u["size"], words[b:min(end, pieces[far] + 2 * REACH)])
+                    for side in (found, other):
+                        if side is not None:
+                            at.append(i)
+                            for c, v in zip(out, (side[0], side[1], (best["k"], best["u"]), side[2], side[3].view(np.int64))):
+                                c.append(v)
+            at = pa.array(at, pa.int64())
+            held = [batch.column("k").take(at), batch.column("u").take(at)]
+            yield pa.RecordBatch.from_arrays(
+                [*held, pa.array(out[0], pa.int32()), pa.array(out[1], pa.int32()),
+                 pa.array([x[0] for x in out[2]], batch.schema.field("k").type), pa.array([x[1] for x in out[2]], pa.int64()),
+                 pa.array(out[3], pa.int32()), pa.array(out[4], pa.list_(pa.int64()))],
+                names=["k", "u", "side", "at", "bk", "bu", "bat", "words"])
+    return run
+
+
+def _told(batches):
+    """The words at the asked places of every note: those before them, the nearest first, or those behind."""
+    for batch in slices(batches):
+        at, out = [], [[], [], []]
+        for i, (t, asks) in enumerate(zip(batch.column("t").to_pylist(), batch.column("asks").to_pylist())):
+            words, ends, _, _ = _lines([t])
+            starts = np.concatenate([[0], ends[:-1]])
+            for a in asks:
+                p = a["bat"]
+                if a["side"]:
+                    line = np.searchsorted(ends, p - 1, side="right")
+                    found = words[p:min(ends[line], p + a["n"])]
+                else:
+                    line = np.searchsorted(ends, p, side="right")
+                    found = words[max(starts[line], p - a["n"]):p][::-1]
+                at.append(i)
+                for c, v in zip(out, (a["side"], p, found.view(np.int64))):
+                    c.append(v)
+        at = pa.array(at, pa.int64())
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("k").take(at), batch.column("u").take(at), pa.array(out[0], pa.int32()),
+             pa.array(out[1], pa.int32()), pa.array(out[2], pa.list_(pa.int64()))],
+            names=["tk", "tu", "side", "bat", "told"])
+
+
+def _stretched(notes: DataFrame, repeated: DataFrame) -> DataFrame:
+    """Words beside the runs of repeated pieces that the first place has too: ``k, u, first, size``."""
+    def on(key: str, text: str):
+        return F.col("k").eqNullSafe(F.col(key)) & (F.col("u") == F.col(text))
+
+    kind = notes.schema["k"].dataType.simpleString()
+    runs = repeated.filter(F.col("kind") == PIECE).groupBy(F.col("k").alias("mk"), F.col("u").alias("mu")).agg(
+        F.collect_set(F.struct("first", "size", "best")).alias("units"))
+    once = notes.dropDuplicates(["k", "u"])
+    asks = cut_lineage(once.join(runs, on("mk", "mu")).select("k", "u", "t", "units").mapInArrow(
+        _asked(), f"k {kind}, u bigint, side int, at int, bk {kind}, bu bigint, bat int, words array<bigint>"))
+    places = asks.groupBy("bk", "bu", "side", "bat").agg(F.max(F.size("words")).alias("n")).groupBy("bk", "bu").agg(
+        F.collect_list(F.struct("side", "bat", "n")).alias("asks"))
+    told = once.join(places, on("bk", "bu")).select("k", "u", "t", "asks").mapInArrow(
+        _told, f"tk {kind}, tu bigint, side int, bat int, told array<bigint>")
+    both = asks.join(told, F.col("bk").eqNullSafe(F.col("tk")) & (F.col("bu") == F.col("tu"))
+                     & (asks["side"] == told["side"]) & (asks["bat"] == told["bat"]))
+    differ = F.array_position(F.zip_with("words", "told", lambda x, y: F.coalesce(x == y, F.lit(False))), F.lit(False))
+    size = F.when(differ > 0, differ - 1).otherwise(F.size("words")).cast("int")
+    return both.select("k", "u", asks["side"].alias("side"), "at", size.alias("size")).filter("size > 0").select(
+        "k", "u", F.when(F.col("side") == 0, F.col("at") - F.col("size")).otherwise(F.col("at")).alias("first"), "size")
+
+
 def _cut(least_words: int):
     def make_rows(batches):
         for batch in slices(batches):
@@ -188,7 +312,9 @@ def drop_repeated_passages(events: DataFrame, key: str = "event_id", text: str =
     number is tuned to ``recall`` at the similarity) give collisions, which are checked by the exact
     Jaccard similarity of the paragraphs' ``width``-word shingles and clustered by components.  Pieces
     count as repeated where they are equal.  Of each class the first place (smallest key, then place)
-    stays; other paragraphs go, and runs of repeated pieces of ``least_words`` or more.
+    stays; other paragraphs go, and runs of repeated pieces of ``least_words`` or more.  A run also takes
+    the words beside it in the line as far as they are those beside its piece's first place; of words
+    repeated in turn, less than one turn may stay at the beginning.
 
     Within a band's bucket every paragraph is first compared with the smallest and the largest; where
     that leaves several components, the pairs across them are compared too, so a large bucket of near
@@ -250,7 +376,9 @@ def drop_repeated_passages(events: DataFrame, key: str = "event_id", text: str =
     best = grouped.groupBy("kind", "group").agg(F.min("one").alias("best"), F.sum("c").alias("n")).filter("n > 1")
     firsts = grouped.join(best, ["kind", "group"]).select("kind", "h", "best")
     repeated = units.drop("sketch").join(firsts, ["kind", "h"]).filter(place != F.col("best"))
-    marks = repeated.groupBy(F.col("k").alias("mk"), F.col("u").alias("mu")).agg(
+    repeated = cut_lineage(repeated.select("k", "u", "kind", "first", "size", F.col("best").alias("best")))
+    beside = _stretched(notes, repeated).withColumn("kind", F.lit(PIECE))
+    marks = repeated.drop("best").unionByName(beside).groupBy(F.col("k").alias("mk"), F.col("u").alias("mu")).agg(
         F.collect_set(F.struct("kind", "first", "size")).alias("units"))
     marked = rows_.join(marks, F.col("k").eqNullSafe(F.col("mk")) & (F.col("u") == F.col("mu")), "left")
     kept = [f"c{i}" for i in range(len(rest))]

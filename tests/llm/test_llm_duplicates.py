@@ -171,3 +171,26 @@ def test_near_equal_paragraphs_equal_brute_force(spark):
 
 def test_bands_are_tuned():
     assert 1 - (1 - 0.8**3) ** passages.bands_for(0.8, 3, 0.99) >= 0.99
+
+
+def test_passages_go_up_to_their_ends_and_periodic_ones_too(spark):
+    rng = random.Random(12)
+    rows, plain = [], unique(rng, 51)
+    for period in (1, 2, 3, 4):
+        words = unique(rng, period)
+        whole, turned = [words[i % period] for i in range(60)], [words[(i + 1) % period] for i in range(57)]
+        rows += [(period, " ".join(unique(rng, 20) + whole + unique(rng, 20))),
+                 (10 + period, " ".join(unique(rng, 30) + turned + unique(rng, 9)))]
+    rows += [(3000, " ".join(unique(rng, 25) + plain + unique(rng, 25))), (4000, " ".join(unique(rng, 11) + plain + unique(rng, 30)))]
+    got = {r["event_id"]: r for r in passages.drop_repeated_passages(events(spark, rows)).collect()}
+    text = {i: t.split() for i, t in rows}
+    left = {i: r["notes"].split() for i, r in got.items()}
+    for period in (1, 2, 3, 4):
+        assert left[period][:20] + left[period][-20:] == text[period][:20] + text[period][-20:]
+        assert set(left[period]) == set(text[period])
+        # less than one turn may stay before the first chunk
+        want = text[10 + period]
+        assert left[10 + period][:30] + left[10 + period][-9:] == want[:30] + want[87:]
+        assert len(left[10 + period]) < 39 + period
+    assert got[3000]["words_removed"] == 0
+    assert left[4000] == text[4000][:11] + text[4000][62:]
