@@ -131,7 +131,7 @@ def _unit_rows(least_words: int, width: int, rows: int, bands: int, seed: int =
             words, ends, places, _ = _lines(texts)
             kinds = pa.list_(pa.int64())
             if not len(words):
-                return [[], [], [], [], pa.array([], kinds)], []
+                return [[], [], [], [], [], pa.array([], kinds)], []
             starts = np.concatenate([[0], ends[:-1]])
             first_line = np.searchsorted(places, places, side="left")  # of the same text
             origin = starts[first_line]
@@ -143,11 +143,12 @@ def _unit_rows(least_words: int, width: int, rows: int, bands: int, seed: int =
             line = np.searchsorted(ends, from_, side="right")
             hashes = np.concatenate([lines, digests(words, pieces)]).view(np.int64)
             firsts = np.concatenate([(starts - origin)[long], from_ - origin[line]]).astype(np.int32)
+            of_line = np.concatenate([(starts - origin)[long], (starts - origin)[line]]).astype(np.int32)
             sizes = np.concatenate([(ends - starts)[long], pieces - from_]).astype(np.int32)
             which = np.concatenate([np.full(len(long), PARAGRAPH), np.full(len(pieces), PIECE)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(long) + 1) * bands, pa.int32()),
                                              pa.array(sketch.view(np.int64).ravel()))
-            return [which, hashes, firsts, sizes, pa.concat_arrays([lists, pa.nulls(len(pieces), kinds)])], \
+            return [which, hashes, firsts, of_line, sizes, pa.concat_arrays([lists, pa.nulls(len(pieces), kinds)])], \
                 np.concatenate([places[long], places[line]])
         return run
     return make
@@ -312,7 +313,7 @@ def drop_repeated_passages(events: DataFrame, key: str = "event_id", text: str =
     number is tuned to ``recall`` at the similarity) give collisions, which are checked by the exact
     Jaccard similarity of the paragraphs' ``width``-word shingles and clustered by components.  Pieces
     count as repeated where they are equal.  Of each class the first place (smallest key, then place)
-    stays; other paragraphs go, and runs of repeated pieces of ``least_words`` or more.  A run also takes
+    stays, of a piece the first one outside the paragraphs that go; other paragraphs go, and runs of repeated pieces of ``least_words`` or more.  A run also takes
     the words beside it in the line as far as they are those beside its piece's first place; of words
     repeated in turn, less than one turn may stay at the beginning.
 
@@ -332,15 +333,12 @@ def drop_repeated_passages(events: DataFrame, key: str = "event_id", text: str =
                           F.xxhash64(F.col(text)).alias("u"), F.col(text).cast("string").alias("t"))
     bands = bands_for(percent / 100, rows, recall)
     notes = rows_.select("k", "u", "t")
-    units = map_text(notes, "t", _unit_rows(least_words, width, rows, bands),
-                     "kind int, h bigint, first int, size int, sketch array<bigint>")
+    units = cut_lineage(map_text(notes, "t", _unit_rows(least_words, width, rows, bands),
+                     "kind int, h bigint, first int, line int, size int, sketch array<bigint>"))
     place = F.struct(F.col("k").isNull().alias("z"), "k", "u", "first")
-    classes = cut_lineage(units.groupBy("kind", "h").agg(
-        F.count("*").alias("c"), F.min(place).alias("one"), F.max("size").alias("size"), F.min("sketch").alias("sketch")
-    ).filter(f"c > 1 or kind = {PARAGRAPH}"))
-
     # near-equal paragraphs
-    lines = classes.filter(F.col("kind") == PARAGRAPH)
+    lines = cut_lineage(units.filter(F.col("kind") == PARAGRAPH).groupBy("h").agg(
+        F.count("*").alias("c"), F.min(place).alias("one"), F.min("sketch").alias("sketch")))
     buckets = lines.select("h", F.explode("sketch").alias("bucket"))
     crowded = buckets.groupBy("bucket").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo <> hi")
     met = cut_lineage(buckets.join(crowded, "bucket"))
@@ -371,12 +369,20 @@ def drop_repeated_passages(events: DataFrame, key: str = "event_id", text: str =
     discard(met, stars, texts, left, more)
 
     # the first place of every class, over all near-equal paragraphs
-    grouped = classes.join(found.withColumn("kind", F.lit(PARAGRAPH)), ["kind", "h"], "left").select(
-        "kind", "h", "one", "c", F.coalesce("component", "h").alias("group"))
-    best = grouped.groupBy("kind", "group").agg(F.min("one").alias("best"), F.sum("c").alias("n")).filter("n > 1")
-    firsts = grouped.join(best, ["kind", "group"]).select("kind", "h", "best")
-    repeated = units.drop("sketch").join(firsts, ["kind", "h"]).filter(place != F.col("best"))
-    repeated = cut_lineage(repeated.select("k", "u", "kind", "first", "size", F.col("best").alias("best")))
+    grouped = lines.join(found, "h", "left").select("h", "one", "c", F.coalesce("component", "h").alias("group"))
+    best = grouped.groupBy("group").agg(F.min("one").alias("best"), F.sum("c").alias("n")).filter("n > 1")
+    firsts = grouped.join(best, "group").select("h", "best")
+    whole = cut_lineage(units.filter(F.col("kind") == PARAGRAPH).drop("sketch").join(firsts, "h").filter(
+        place != F.col("best")).select("k", "u", "kind", "first", "size", "best"))
+    # and of every piece, over the paragraphs that stay
+    gone = whole.select(F.col("k").alias("gk"), F.col("u").alias("gu"), F.col("first").alias("gone")).distinct()
+    parts = cut_lineage(units.filter(F.col("kind") == PIECE).drop("sketch").join(
+        gone, F.col("k").eqNullSafe(F.col("gk")) & (F.col("u") == F.col("gu")) & (F.col("line") == F.col("gone")),
+        "left_anti"))
+    twice = parts.groupBy("h").agg(F.count("*").alias("c"), F.min(place).alias("best")).filter("c > 1").drop("c")
+    repeated = cut_lineage(parts.join(twice, "h").filter(place != F.col("best")).select(
+        "k", "u", "kind", "first", "size", "best").unionByName(whole))
+    discard(units, parts, whole, lines)
     beside = _stretched(notes, repeated).withColumn("kind", F.lit(PIECE))
     marks = repeated.drop("best").unionByName(beside).groupBy(F.col("k").alias("mk"), F.col("u").alias("mu")).agg(
         F.collect_set(F.struct("kind", "first", "size")).alias("units"))

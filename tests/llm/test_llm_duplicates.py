@@ -194,3 +194,12 @@ def test_passages_go_up_to_their_ends_and_periodic_ones_too(spark):
         assert len(left[10 + period]) < 39 + period
     assert got[3000]["words_removed"] == 0
     assert left[4000] == text[4000][:11] + text[4000][62:]
+
+
+def test_a_passage_of_a_paragraph_that_goes_stays_elsewhere(spark):
+    rng = random.Random(21)
+    line, passage, around = unique(rng, 300), unique(rng, 45), unique(rng, 40)
+    rows = [(1, " ".join(line)), (2, " ".join(line[:150] + passage + line[150:])), (3, " ".join(around + passage + unique(rng, 40))),
+            (4, " ".join(unique(rng, 30) + passage + unique(rng, 30)))]
+    got = {r["event_id"]: r for r in passages.drop_repeated_passages(events(spark, rows)).collect()}
+    assert [got[i]["words_removed"] for i in (1, 2, 3, 4)] == [0, 345, 0, 45]
