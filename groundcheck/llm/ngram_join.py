@@ -15,6 +15,8 @@ SAMPLE = 16
 COMMON = 1 << 17
 #: Members that one part of an inverted list is meant to have.
 PART = 256
+#: Notes that one block of a component is meant to have when links are counted.
+BLOCK = 256
 
 
 def word_hashes(text: str | None) -> np.ndarray:
@@ -145,8 +147,62 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     return cut_lineage(both.select("a", "b", "x", "y").mapInArrow(probe, "a long, b long").distinct())
 
 
+def _block_links(width: int, percent: int):
+    """Per note of two blocks of a component the rows that it links to in the other (or in its own, if they are one)."""
+    def count(group):
+        grams = [np.unique(shingle_hashes(word_hashes(t), width)) for t in group["t"]]
+        sizes, copies = np.array([len(g) for g in grams]), np.array(group["copies"], np.int64)
+        values, at = np.unique(np.concatenate(grams), return_inverse=True)
+        ends = np.cumsum(sizes)
+        block, one = np.array(group["block"]), group["i"][0] == group["j"][0]
+        left = np.flatnonzero(block == group["i"][0])
+        right = left if one else np.flatnonzero(block == group["j"][0])
+        links = np.zeros(len(grams), np.int64)
+        if len(left) and len(right):
+            own = np.concatenate([at[ends[r] - sizes[r]:ends[r]] for r in right])
+            starts, marked = np.cumsum(sizes[right]) - sizes[right], np.zeros(len(values), np.int64)
+            for x in left:
+                mine = at[ends[x] - sizes[x]:ends[x]]
+                marked[mine] = 1
+                shared = np.add.reduceat(marked[own], starts)
+                marked[mine] = 0
+                near = ((100 + percent) * shared >= percent * (sizes[x] + sizes[right])) & (right != x)
+                links[x] += copies[right[near]].sum()
+                if not one:
+                    links[right[near]] += copies[x]
+        return pa.RecordBatch.from_arrays([pa.array(group["id"], pa.int64()), pa.array(links)], names=["id", "links"])
+
+    def run(batches):
+        held, now = None, None
+        for batch in slices(batches):
+            for row in batch.to_pylist():
+                key = (row["component"], row["i"], row["j"])
+                if key != now:
+                    if held:
+                        yield count(held)
+                    held, now = {c: [] for c in row}, key
+                for c, v in row.items():
+                    held[c].append(v)
+        if held:
+            yield count(held)
+    return run
+
+
+def _counted(found: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """``id, links``: all pairs inside every component are compared, block by block, so each text is read once a block."""
+    sizes = found.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    members = found.join(sizes, "component").withColumnRenamed("node", "id").join(
+        nodes.select("id", "copies"), "id").join(texts, "id").withColumn(
+        "block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "copies", "t")
+    keys = ["component", "i", "j"]
+    return cut_lineage(dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(
+        _block_links(width, percent), "id long, links long").groupBy("id").agg(F.sum("links").alias("links")))
+
+
 def link_notes(events: DataFrame, key: str = "event_id", text: str = "notes", width: int = 5,
-               percent: int = 80) -> DataFrame:
+               percent: int = 80, count_links: bool = False) -> DataFrame:
     """Group the review notes that word n-grams of ``width`` link at a Jaccard similarity of ``percent`` or more.
 
     The join is exact.  A note of ``n`` distinct n-grams can only reach the overlap ``T`` with partners
@@ -160,8 +216,9 @@ def link_notes(events: DataFrame, key: str = "event_id", text: str = "notes", wi
       list's members in one component, its other pairs can add nothing and are skipped; of the rest all
       pairs in different components are compared.
 
-    Returns ``key, n_shingles, links (of the note's set, as far as pairs were compared), component``:
-    the smallest key reachable over links.
+    Returns ``key, n_shingles, component``, the smallest key reachable over links, and with ``count_links``
+    also ``links``: how many other rows are linked to the row, equal ones included.  As a link never
+    leaves a component, all pairs of each component are compared for it, whatever they met in before.
 
     A null text or one without words has no n-grams, no links and its own key as component; a shorter
     text is one n-gram.  Rows without a key are linked like others, but give no component its name; rows
@@ -172,7 +229,7 @@ def link_notes(events: DataFrame, key: str = "event_id", text: str = "notes", wi
     ranks = rows.sparkSession.sparkContext.broadcast(_sampled(rows, width))
     profiles = cut_lineage(_profiles(rows, ranks, width, percent))
     nodes, _ = ranked(profiles.filter("n > 0").groupBy("node").agg(
-        F.min("n").alias("n"), F.min("k").alias("rep"), F.min(F.struct("k", "u")).alias("one")), [], ["n", "node"], "id")
+        F.count("*").alias("copies"), F.min("n").alias("n"), F.min("k").alias("rep"), F.min(F.struct("k", "u")).alias("one")), [], ["n", "node"], "id")
     nodes = cut_lineage(nodes)
 
     def of_node(df: DataFrame, which: DataFrame) -> DataFrame:
@@ -223,15 +280,19 @@ def link_notes(events: DataFrame, key: str = "event_id", text: str = "notes", wi
     more = pairs_of(x.join(y, "gram").filter("x.id < y.id and cx <> cy")).distinct().join(stars, ["a", "b"], "left_anti")
     more = cut_lineage(more)
     links = links.unionByName(_verified(more, texts, width, percent))
-    discard(more, rest, stars, texts, lists)
+    discard(more, rest, stars, lists)
     found = components(links, "a", "b")
 
-    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
-    named = nodes.join(found.withColumnRenamed("node", "id"), "id", "left").join(degree, "id", "left").select(
-        "node", "rep", "links", F.coalesce("component", "id").alias("c"))
+    named = nodes.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id"))
+    if count_links:
+        named = named.drop("component").join(_counted(found, nodes, texts, width, percent), "id", "left").withColumn(
+            "links", F.coalesce("links", F.lit(0)) + F.col("copies") - 1)
+    discard(texts)
+    out = ["links"] if count_links else []
+    named = named.select("node", "rep", "c", *out)
     first = named.groupBy("c").agg(F.min("rep").alias("component"))
-    named = named.join(first, "c").select(F.col("node").alias("_node"), "component", "links")
+    named = named.join(first, "c").select(F.col("node").alias("_node"), "component", *out)
     return profiles.select("k", "n", "node").join(named, F.col("node") == F.col("_node"), "left").select(
         F.col("k").alias(key), F.col("n").cast("long").alias("n_shingles"),
-        F.coalesce("links", F.lit(0)).alias("links"),
+        *(F.coalesce(c, F.lit(0)).alias(c) for c in out),
         F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("k")).alias("component"))

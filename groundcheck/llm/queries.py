@@ -83,6 +83,16 @@ select s.doc_id, cast(len(s.s) as bigint) as n_shingles, min(r.b) as component_i
 from sets s join reach r on s.doc_id = r.a group by s.doc_id, len(s.s)"""
 
 
+def op3_link_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's number of links."""
+    linked = ngram_join.link_notes(notes(table(spark, sf_dir, "documents")), width=3, percent=90, count_links=True)
+    return linked.select(F.col("event_id").alias("doc_id"), F.col("links").alias("n_links"))
+
+
+OP3_LINKS_SQL = OP3_SQL[:OP3_SQL.index(",\nreach(")] + """
+select s.doc_id, count(e.b) as n_links from sets s left join edges e on s.doc_id = e.a group by s.doc_id"""
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity_model(spark, docs, sf_dir, held_out=True)
@@ -152,6 +162,7 @@ QUERIES = {
     "op1_topk": (op1_topk, OP1_SQL),
     "op2_sharding": (op2_sharding, None),
     "op3_ngram_join": (op3_ngram_join, OP3_SQL),
+    "op3_link_counts": (op3_link_counts, OP3_LINKS_SQL),
     "op4_toxicity": (op4_toxicity, None),
     "op5_passages": (op5_passages, None),
     "op6_repeats": (op6_repeats, None),

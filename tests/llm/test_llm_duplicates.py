@@ -203,3 +203,14 @@ def test_a_passage_of_a_paragraph_that_goes_stays_elsewhere(spark):
             (4, " ".join(unique(rng, 30) + passage + unique(rng, 30)))]
     got = {r["event_id"]: r for r in passages.drop_repeated_passages(events(spark, rows)).collect()}
     assert [got[i]["words_removed"] for i in (1, 2, 3, 4)] == [0, 345, 0, 45]
+
+
+def test_link_counts_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    rows = list(enumerate(varied(15, 50, [f"word{i}" for i in range(90)])))
+    rows += [(60, rows[3][1]), (61, rows[3][1]), (62, "one"), (63, "ONE"), (64, None), (65, "alone here")]
+    sets = [grams(t, 3) for _, t in rows]
+    want = {i: sum(bool(a and b) and 100 * len(a & b) >= 80 * len(a | b) for y, b in enumerate(sets) if y != x)
+            for x, ((i, _), a) in enumerate(zip(rows, sets))}
+    got = ngram_join.link_notes(events(spark, rows), width=3, percent=80, count_links=True).collect()
+    assert {r["event_id"]: r["links"] for r in got} == want
