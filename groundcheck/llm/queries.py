@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from groundcheck.llm import fingerprints, language, mixing, ngram_join, packing, passages, repeats, sharding, topk, toxicity
+from groundcheck.lineage import cut_lineage
+from groundcheck.llm import (fingerprints, language, mixing, ngram_join, packing, passages, phrase_index, prefix_trie, repeats,
+                             sharding, spelling, topk, toxicity)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -158,6 +160,151 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         fingerprints.as_text(F.col("edited_fingerprint")).alias("edited_fingerprint"), "near_edited", "near_next")
 
 
+def rebuilt(turns: DataFrame, threads: DataFrame) -> DataFrame:
+    """Threads whose first turns are those of the first thread of their hundred, as the contract deals them."""
+    head = F.pmod(F.crc32(F.col("thread").cast("string")), F.lit(6))
+    base = (F.col("thread") - F.col("thread") % 100).alias("base")
+    own = turns.filter(F.col("at") > head)
+    wanted = threads.select("thread", base, head.alias("head"))
+    firsts = turns.filter("thread % 100 = 0 and at <= 5").withColumnRenamed("thread", "base")  # a head has at most 5 turns
+    given = wanted.join(firsts, "base").filter("at <= head")
+    held = given.groupBy("thread").agg(F.max("at").alias("n_head"))
+    moved = own.join(held, "thread", "left").select(
+        "thread", (F.col("at") - head + F.coalesce("n_head", F.lit(0))).alias("at"), "role", "text")
+    return given.select("thread", "at", "role", "text").unionByName(moved)
+
+
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talks = table(spark, sf_dir, "conversations")
+    threads = talks.select(F.col("conv_id").alias("thread")).filter("thread is not null").distinct()
+    turns = cut_lineage(prefix_trie.number_turns(talks, thread="conv_id", order="turn", role="role", text="text"))
+    tree = prefix_trie.prefix_trie(rebuilt(turns, threads), threads)
+    return tree.select(
+        F.col("first_thread").alias("conv_id"), "depth", F.col("parent_thread").alias("parent_conv_id"),
+        F.col("n_threads").alias("n_convs"), "n_children", "n_leaves", F.col("saved_chars").alias("saved_tokens"), "ends_sha256")
+
+
+#: The 256 steps of CRC-32.
+CRC_SQL = """crc_table as (
+  select list(c order by b) as t from (
+    select b, list_reduce([b] || [0, 0, 0, 0, 0, 0, 0, 0], lambda c, x:
+      case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end) as c
+    from (select unnest(range(256)) as b)))"""
+
+
+def crc_sql(data: str) -> str:
+    """The unsigned CRC-32 of an expression that is a list of bytes."""
+    return (f"xor(list_reduce([4294967295::bigint] || {data}, lambda c, x: "
+            f"xor(c // 256, t[xor(c % 256, x) + 1])), 4294967295)")
+
+
+OP11_SQL = f"""
+with {CRC_SQL},
+turns as (
+  select conv_id as c, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as pos,
+    coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null),
+threads as (
+  select c, c - c % 100 as base, {crc_sql("list_transform(string_split(c::varchar, ''), lambda s: unicode(s)::bigint)")} % 6 as h
+  from (select distinct conv_id as c from conversations where conv_id is not null), crc_table),
+given as (select r.c, t.pos, t.role, t.text from threads r join turns t on t.c = r.base and t.pos <= r.h),
+held as (select c, max(pos) as n from given group by c),
+moved as (
+  select t.c, t.pos - r.h + coalesce(n, 0) as pos, role, text from turns t join threads r using (c) left join held using (c) where t.pos > r.h),
+paths as (
+  select c, pos, length(text) as chars, list(struct_pack(r := role, t := text)) over (
+    partition by c order by pos rows between unbounded preceding and current row) as p
+  from (select * from given union all select * from moved)),
+places as (
+  select c, 0 as d, 0 as chars, []::struct(r varchar, t varchar)[] as p from threads
+  union all select c, pos as d, chars, p from paths),
+nodes as (select p, d, min(c) as conv_id, count(*) as n_convs, max(chars) as chars from places group by p, d),
+parents as (select n.p, n.d, m.conv_id as up from nodes n join nodes m on n.d > 0 and m.d = n.d - 1 and m.p = n.p[1:n.d - 1]),
+kids as (select conv_id, d, count(*) as n from (select up as conv_id, d - 1 as d from parents) group by conv_id, d),
+tree as (
+  select n.conv_id, n.d, up, n_convs, coalesce(k.n, 0) as n_children, chars, n.p from nodes n
+  left join parents using (p, d) left join kids k on k.conv_id = n.conv_id and k.d = n.d),
+below as (
+  select t.conv_id, t.d, count(*) filter (where s.n_children = 0) as n_leaves, sum((s.n_convs - 1) * s.chars) as saved
+  from (select *, unnest(range(d + 1)) as e from tree) s join tree t on t.d = s.e and t.p = s.p[1:s.e] group by t.conv_id, t.d),
+ends as (
+  select p, d, string_agg(c::varchar, ',' order by c) as ids from (
+    select c, p, d, row_number() over (partition by c order by d desc) as r from places) where r = 1 group by p, d)
+select t.conv_id, cast(t.d as bigint) as depth, up as parent_conv_id, n_convs, n_children, n_leaves,
+  cast(saved as bigint) as saved_tokens, sha256(coalesce(ids, '')) as ends_sha256
+from tree t join below using (conv_id, d) left join ends using (p, d)"""
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = spelling.count_words(notes(table(spark, sf_dir, "documents")), slips=199)
+    return spelling.group_spellings(counted, ratio=5).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+OP12_SQL = rf"""
+with recursive {CRC_SQL},
+runs as (
+  select doc_id, w, count(*) as n from (
+    select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+      'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) as w from documents)
+  where length(w) >= 6 group by doc_id, w),
+hashed as (
+  select *, {crc_sql("""flatten(list_transform(string_split(concat(doc_id::varchar, ':', w), ''), lambda s:
+      case when unicode(s) < 128 then [unicode(s)::bigint] else [192 + unicode(s) // 64, 128 + unicode(s) % 64] end))""")} as h
+  from runs, crc_table),
+words as (
+  select word, cast(sum(n) as bigint) as n from (
+    select case when h % 199 = 0 and doc_id is not null then concat(w[1:h % length(w)], w[h % length(w) + 2:]) else w end as word, n
+    from hashed) where length(word) >= 6 group by word having sum(n) >= 5),
+cuts as (
+  select word, n, word as cut from words
+  union select word, n, concat(word[1:i], word[i + 2:]) from (select *, unnest(range(length(word))) as i from words)),
+near as (
+  select distinct a.word as a, a.n, b.word as b, b.n as m from cuts a join cuts b on a.cut = b.cut and a.word <> b.word
+    and abs(length(a.word) - length(b.word)) <= 1
+  where length(a.word) <> length(b.word)
+    or len(list_filter(range(1, length(a.word) + 1), lambda i: a.word[i] <> b.word[i])) = 1),
+best as (select a, count(*) as n_near, max(m) as m, min(b) filter (where m = top) as b
+  from (select *, max(m) over (partition by a) as top from near) group by a),
+forms as (
+  select word, n, coalesce(n_near, 0) as n_near, case when m >= 5 * n then b end as form, case when m >= 5 * n then m end as form_n
+  from words left join best on word = a),
+walk(word, goal) as (
+  select word, word from forms
+  union all select walk.word, f.form from walk join forms f on f.word = walk.goal where f.form is not null),
+roots as (select k.word, k.goal as root from walk k join forms f on f.word = k.goal where f.form is null)
+select word, form, root, n, n_near, form_n from forms join roots using (word)"""
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("warning_id"), F.col("text").alias("explanation"))
+    found = phrase_index.contaminated_notes(notes(table(spark, sf_dir, "documents")), items, width=10)
+    return found.select(
+        F.col("event_id").alias("doc_id"), "n_words", "n_hit", F.size("found").cast("long").alias("n_items"),
+        F.sha2(F.array_join("found", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+OP13_SQL = r"""
+with d as (
+  select doc_id, row_number() over () as r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+b as (
+  select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+bw as (
+  select distinct item_id, least(len(w), 10) as k, array_to_string(w[i:i + 9], ' ') as g
+  from (select *, unnest(range(1, greatest(len(w) - 9, 1) + 1)) as i from b where len(w) > 0)),
+dw as (
+  select r, i, k, array_to_string(w[i:i + k - 1], ' ') as g
+  from (select *, unnest(range(1, len(w) - k + 2)) as i from d, (select distinct k from bw) where len(w) >= k)),
+hits as (select dw.r, dw.i, dw.k, bw.item_id from dw join bw on dw.g = bw.g and dw.k = bw.k),
+covered as (select r, count(distinct p) as n from (select r, i + unnest(range(k)) as p from hits) group by r),
+items as (
+  select r, count(*) as n, string_agg(s, ',' order by s) as names
+  from (select distinct r, cast(item_id as varchar) as s from hits) group by r)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(c.n, 0) as n_hit, coalesce(t.n, 0) as n_items,
+  sha256(coalesce(names, '')) as items_sha256, coalesce(c.n, 0) > 0 as contaminated
+from d left join covered c using (r) left join items t using (r)"""
+
+
 QUERIES = {
     "op1_topk": (op1_topk, OP1_SQL),
     "op2_sharding": (op2_sharding, None),
@@ -170,4 +317,7 @@ QUERIES = {
     "op8_packing": (op8_packing, None),
     "op9_fingerprints": (op9_fingerprints, None),
     "op10_language": (op10_language, None),
+    "op11_prefix_trie": (op11_prefix_trie, OP11_SQL),
+    "op12_spelling": (op12_spelling, OP12_SQL),
+    "op13_decontamination": (op13_decontamination, OP13_SQL),
 }
