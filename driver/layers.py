@@ -49,6 +49,10 @@ select concat('P-', cast(p_partkey as string)) as feature_id, p_partkey as ord,
   cast(null as double) as confidence, 'unverified' as review_status
 from {part} where p_partkey % 10 <> 9"""
 
+FAR_PARCELS = f"""
+select feature_id, ord, x0 + 10000000 as x0, y0 + 3000000 as y0, x1 + 10000000 as x1, y1 + 3000000 as y1,
+  area_sqm, feature_type, source, confidence, review_status from ({PARCELS}) p"""
+
 ROADS = """
 select concat('R-', cast(s_suppkey as string)) as feature_id, s_suppkey as ord,
   (s_suppkey % 5)*10000 as x0, s_suppkey*1200 + 2700 as y0,

@@ -46,6 +46,8 @@ select concat('W-PARCEL-CROSS-', l.feature_id, '-', q.feature_id) as warning_id,
 from ba l join p q on {_HIT} where l.area_sqm - {_AREA} > 0.5"""
 _GAP = """sqrt(pow(greatest(0, q.x0 - l.x1, l.x0 - q.x1), 2)
   + pow(greatest(0, q.y0 - l.y1, l.y0 - q.y1), 2))/100.0"""
+_SQUARE = """cast(pow(greatest(0, q.x0 - l.x1, l.x0 - q.x1), 2)
+  + pow(greatest(0, q.y0 - l.y1, l.y0 - q.y1), 2) as bigint)"""
 _OUTSIDE = f"""
 select concat('W-OUTSIDE-PARCEL-', id_a) as warning_id, id_a, id_b, v, source, oa, 0e0 as ob from (
   select l.feature_id as id_a, q.feature_id as id_b, l.source, l.rank*1e9 + l.ord as oa, {_GAP} as v,
@@ -151,6 +153,16 @@ def nearest_road(spark, sf_dir) -> DataFrame:
     ).select("feature_id", "road_id", F.round(F.col("distance") / 100.0, 6).alias("distance_m"))
 
 
+def nearest_far_clusters(spark, sf_dir) -> DataFrame:
+    """Nearest parcel of every building when the parcels lie a hundred kilometres away."""
+    parcels = L.boxes(spark, sf_dir, L.FAR_PARCELS)
+    buildings = _buildings(spark, sf_dir)
+    near = nearest(buildings, parcels)
+    return near.join(buildings.select(F.col("ord").alias("a_ord"), "feature_id"), "a_ord").join(
+        parcels.select(F.col("ord").alias("b_ord"), F.col("feature_id").alias("parcel_id")), "b_ord",
+    ).select("feature_id", "parcel_id", F.round(F.col("distance") / 100.0, 4).alias("distance_m"))
+
+
 def warnings_all(spark, sf_dir) -> DataFrame:
     return _warnings(spark, sf_dir).select(
         "warning_id", "warning_type", "severity", "source", "explanation",
@@ -467,6 +479,10 @@ select feature_id, road_id, round(v, 6) as distance_m from (
   select l.feature_id, q.feature_id as road_id, {_GAP} as v,
     row_number() over (partition by l.feature_id order by {_GAP}, q.ord) as rn
   from p l cross join r q) t where rn = 1"""),
+    "nearest_far_clusters": (nearest_far_clusters, f"""with b as ({_B}), p as ({L.duck(L.FAR_PARCELS)}),
+best as (select l.feature_id, min(struct_pack(d := {_SQUARE}, ord := q.ord, id := q.feature_id)) as m
+  from b l cross join p q group by l.feature_id)
+select feature_id, m.id as parcel_id, round(sqrt(m.d)/100.0, 4) as distance_m from best"""),
     "warnings_all": (warnings_all, f"""{_ALL}
 select warning_id, warning_type, {_SEV.format("ratio")} as severity, source, explanation,
   concat_ws(',', id_a, id_b) as feature_ids, round(v, 6) as measured_value,

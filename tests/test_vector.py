@@ -161,6 +161,33 @@ def test_nearest_equals_brute_force(spark):
     assert nearest(a, b.limit(0)).count() == 0
 
 
+def test_nearest_of_far_clusters_measures_few_pairs(spark):
+    """Two dense fields far apart: the pairs that are measured grow far slower than all pairs."""
+    from groundcheck.operators import nearest as N
+
+    def field(n, x, y):
+        return [box(x + 10 * (i % n), y + 10 * (i // n), x + 10 * (i % n) + 6, y + 10 * (i // n) + 4) for i in range(n * n)]
+
+    kept = {}
+    for n in (8, 16):
+        left, right = field(n, 0, 0) + [box(4e5, 1e5, 4e5 + 1, 1e5 + 1)], field(n, 1e6, 3e5) + [box(-7e5, 2e5, -7e5 + 3, 2e5 + 3)]
+        a, b = shapes(spark, left), shapes(spark, right)
+        found = N.far_candidates(a, b, 6.0).collect()
+        kept[n] = len(found)
+        gap = {}
+        for i, p in enumerate(left):
+            (x0, y0), (x1, y1) = p[1][0][0], p[1][0][2]
+            for j, q in enumerate(right):
+                (u0, v0), (u1, v1) = q[1][0][0], q[1][0][2]
+                gap[i, j] = (max(0, u0 - x1, x0 - u1) ** 2 + max(0, v0 - y1, y0 - v1) ** 2) ** 0.5
+        for r in found:
+            assert r.low <= gap[r.a_ord, r.b_ord] * (1 + 1e-9)
+            assert min(gap[r.a_ord, j] for j in range(len(right))) <= r.high * (1 + 1e-9)
+        want = {i: min((gap[i, j], j) for j in range(len(right))) for i in range(len(left))}
+        assert {i: j for i, (_, j) in want.items()}.items() <= {**{r.a_ord: r.b_ord for r in nearest(a, b).collect()}}.items()
+    assert kept[8] <= 16 * 65 and kept[16] <= 8 * kept[8] and kept[16] < 257 * 257 / 8
+
+
 def test_matching_rounds_equal_greedy(spark):
     for seed in (1, 2):
         r = random.Random(seed)
