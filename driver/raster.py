@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, functions as F
 
 from driver import layers as L
+from groundcheck import fixed_values as V
+from groundcheck.lineage import checkpoint_folder
 from groundcheck.operators import components as C, morphology, pixels as P, tiles as T
 from groundcheck.operators.rasterize import rasterize
 from groundcheck.plans import footprints, greenery
+from groundcheck.sources import raster_tables
 
 WIDTH = 100
 PIXEL = 0.5  # metres
@@ -90,6 +95,22 @@ def _stub():
     return predict
 
 
+def _unit_stub():
+    def predict(image):
+        return image[1]
+
+    return predict
+
+
+def _failing_stub():
+    def predict(image):
+        if int(image[0].sum()) % 3 == 0:
+            raise RuntimeError("out of memory")
+        return image[1] / 255.0
+
+    return predict
+
+
 def predict_tiles_stub(spark, sf_dir) -> DataFrame:
     """Tile predictions blended back; the stand-in model returns green as a probability."""
     px = _pixels(spark, sf_dir)
@@ -120,6 +141,77 @@ def footprint_summary(spark, sf_dir) -> DataFrame:
     return s
 
 
+def _area(px: DataFrame) -> DataFrame:
+    """Edges of a slanted area of interest in metres, over the middle of the raster."""
+    h = px.agg((F.max("prow") + 1).alias("h"))
+    corners = [("6.3", "h * 0.1"), ("38.2", "h * 0.17"), ("33.9", "h * 0.4"), ("4.1", "h * 0.33")]
+    return h.selectExpr("inline(array(" + ", ".join(
+        f"struct({a[0]}D as x1, double({a[1]}) as y1, {b[0]}D as x2, double({b[1]}) as y2)"
+        for a, b in zip(corners, corners[1:] + corners[:1])) + "))")
+
+
+def _metres_to_pixel(x, y):
+    return F.struct((x / PIXEL).alias("col"), (y / PIXEL).alias("row"))
+
+
+def tile_table_pruned(spark, sf_dir) -> DataFrame:
+    """Pixels of an area of interest, read from a table stored in blocks."""
+    px = _pixels(spark, sf_dir)
+    path = f"{checkpoint_folder(spark)}/raster-{uuid.uuid4().hex}"
+    raster_tables.write_raster(px.drop("valid"), path, "07", block=16)
+    window = T.window_of_area(_area(px), WIDTH, _height(px), _metres_to_pixel).withColumn("raster_id", F.lit("07"))
+    return raster_tables.read_raster(spark, path, window, block=16).select("raster_id", "id", "prow", "pcol", "g")
+
+
+def raster_outputs(spark, sf_dir) -> DataFrame:
+    """Probability and mask of a run, stored in blocks and read again."""
+    px = _pixels(spark, sf_dir)
+    folder = f"{checkpoint_folder(spark)}/run-{uuid.uuid4().hex}"
+    raster_tables.write_probability(px.filter("valid").select("prow", "pcol", (F.col("g") / 255.0).alias("p")), f"{folder}/p", "r", 32)
+    raster_tables.write_mask(_green(spark, sf_dir), f"{folder}/v", "r", 32)
+    p, v = raster_tables.read_raster(spark, f"{folder}/p"), raster_tables.read_raster(spark, f"{folder}/v")
+    both = px.select("prow", "pcol").join(p, ["prow", "pcol"], "left").join(v, ["prow", "pcol"], "left")
+    return both.select("prow", "pcol", F.round(F.coalesce(F.col("p").cast("double"), F.lit(0.0)), 4).alias("p"),
+                       F.coalesce(F.col("v").cast("int"), F.lit(0)).alias("v"))
+
+
+def footprints_aoi(spark, sf_dir) -> DataFrame:
+    """Footprints inside an area of interest; tiles are laid out in its window."""
+    px = _pixels(spark, sf_dir)
+    run = footprints.extract_project(
+        px, WIDTH, _height(px), _stub, _place, (0.0, 0.0), area=_area(px), to_pixel=_metres_to_pixel,
+        threshold=0.6, min_area=2.0, size=32, stride=16)
+    return run.features.select("feature_id", "area_sqm", F.col("mean").alias("confidence"), "pixels")
+
+
+def footprints_resampled(spark, sf_dir) -> DataFrame:
+    """Regions found on a coarser grid, with unit floats given to the predictor."""
+    px = _pixels(spark, sf_dir)
+    h = _height(px)
+    run = footprints.extract_project(
+        px, WIDTH, h, _unit_stub, lambda x, y: F.struct(x.alias("x"), (-y).alias("y")), (0.0, 0.0),
+        target=(40, h * 3 // 10), threshold=0.5, min_area=1.5, size=16, stride=8, scale="unit", weighting="uniform")
+    return run.features.select("feature_id", "area_sqm", "pixels")
+
+
+def failed_tiles(spark, sf_dir) -> DataFrame:
+    """Figures of a run whose predictor fails on some tiles, and what their pixels are left with."""
+    px = _pixels(spark, sf_dir)
+    run = footprints.extract_project(
+        px, WIDTH, _height(px), _failing_stub, _place, (0.0, 0.0), threshold=0.6, min_area=2.0, size=20, stride=20)
+    return run.summary.select("tile_count", "failed_tiles", "raw_polygon_count", "filtered_polygon_count")
+
+
+def saved_vegetation(spark, sf_dir) -> DataFrame:
+    """The saved vegetation result before and after a run."""
+    path = f"{checkpoint_folder(spark)}/vegetation-{uuid.uuid4().hex}"
+    _, before = raster_tables.saved_vegetation(spark, path)
+    before = before.collect()
+    raster_tables.save_vegetation(greenery.vegetation(_pixels(spark, sf_dir), _place, (0.0, 0.0), min_area=5.0, opening=3)[0], path)
+    _, after = raster_tables.saved_vegetation(spark, path)
+    return spark.createDataFrame(before, after.schema).unionByName(after)
+
+
 def tile_plan(spark, sf_dir) -> DataFrame:
     """Tile grid of one raster per part."""
     r = _rasters(spark, sf_dir)
@@ -250,6 +342,28 @@ _FOOT = f"""with recursive px as materialized ({_PX}),
 m0 as materialized (select *, case when g = 200 and alpha > 0 then 1 else 0 end as v from px),
 {_regions('m0')}, k as (select label, count(*) as n from lab group by label)"""
 _VALID_SQL = f"select * from ({_PX}) t where alpha > 0"
+_AREA_WINDOW = """h as (select max(prow)+1 as h from px),
+area as (select least(6.3, 4.1)/0.5e0 as c0, 38.2e0/0.5 as c1, h*0.1e0/0.5 as r0, h*0.4e0/0.5 as r1 from h),
+win as (select greatest(0, floor(c0+0.001)) as c0, least(100, floor(c0+0.001) + ceil(c1-c0-0.001)) as c1,
+  greatest(0, floor(r0+0.001)) as r0, least(h, floor(r0+0.001) + ceil(r1-r0-0.001)) as r1 from area, h)"""
+_RESAMPLED = f"""with px as materialized ({_PX}),
+h as (select max(prow)+1 as h, cast(floor((max(prow)+1)*3/10) as bigint) as th from px),
+cx as (select c, t, least((c+1)*0.4e0, t+1) - greatest(c*0.4e0, t) as w from
+  (select unnest(range(0, 100)) as c) a cross join (select unnest(range(0, 40)) as t) b
+  where c*0.4e0 < t+1 - 1e-9 and (c+1)*0.4e0 > t + 1e-9),
+ry as (select r, t, least((r+1)*th/cast(h as double), t+1) - greatest(r*th/cast(h as double), t) as w
+  from (select unnest(range(0, h)) as r, h, th from h) a
+  cross join (select unnest(range(0, th)) as t from h) b
+  where r*th/cast(h as double) < t+1 - 1e-9 and (r+1)*th/cast(h as double) > t + 1e-9),
+near as (select b.t as tr, a.t as tc, alpha from (select unnest(range(0, 40)) as t) a
+  cross join (select unnest(range(0, th)) as t, h, th from h) b
+  join px on px.pcol = floor((a.t+0.5e0)/0.4e0)
+    and px.prow = floor((b.t+0.5e0)/(th/cast(h as double))))
+select ry.t as prow, cx.t as pcol, round(sum(px.r*cx.w*ry.w)/sum(cx.w*ry.w), 6) as r,
+  round(sum(px.g*cx.w*ry.w)/sum(cx.w*ry.w), 6) as g, round(sum(px.b*cx.w*ry.w)/sum(cx.w*ry.w), 6) as b,
+  cast(max(near.alpha) as integer) as alpha
+from px join cx on cx.c = px.pcol join ry on ry.r = px.prow
+left join near on near.tr = ry.t and near.tc = cx.t group by ry.t, cx.t"""
 
 QUERIES = {
     "valid_mask": (valid_mask, f"select id, (r+g+b > 0 and alpha > 0) as valid from ({_PX}) t"),
@@ -287,6 +401,41 @@ from k where n*0.25 >= 2.0"""),
     "footprint_summary": (footprint_summary, f"""{_FOOT}
 select count(*) as raw_polygon_count, count(*) filter (n*0.25 >= 2.0) as filtered_polygon_count
 from k"""),
+    "tile_table_pruned": (tile_table_pruned, f"""with px as ({_PX}), {_AREA_WINDOW}
+select '07' as raster_id, id, prow, pcol, g from px, win where prow >= r0 and prow < r1 and pcol >= c0 and pcol < c1"""),
+    "raster_outputs": (raster_outputs, f"""with {_EXG}
+select prow, pcol, case when r+g+b > 0 and alpha > 0 then round(g/255.0e0, 4) else 0.0e0 end as p, v from m0"""),
+    "footprints_aoi": (footprints_aoi, f"""with recursive px as materialized ({_PX}), {_AREA_WINDOW},
+m0 as materialized (select px.*, case when g = 200 and alpha > 0 then 1 else 0 end as v from px, win
+  where prow >= r0 and prow < r1 and pcol >= c0 and pcol < c1),
+{_regions('m0')}, k as (select label, count(*) as n from lab group by label)
+select printf('AI-WHU-%03d', row_number() over (order by label)) as feature_id,
+  round_even(n*0.25e0, 1) as area_sqm, round(200/255.0e0, 3) as confidence, n as pixels
+from k where n*0.25 >= 2.0"""),
+    "footprints_resampled": (footprints_resampled, f"""with recursive small as ({_RESAMPLED}),
+m0 as materialized (select prow, pcol, case when floor(g + 0.5) >= 127.5 and alpha > 0 then 1 else 0 end as v from small),
+{_regions('m0')}, k as (select label, count(*) as n from lab group by label)
+select printf('AI-WHU-%03d', row_number() over (order by label)) as feature_id, n*1.0e0 as area_sqm, n as pixels
+from k where n >= 1.5"""),
+    "failed_tiles": (failed_tiles, f"""with recursive px as materialized ({_PX}), h as (select max(prow)+1 as h from px),
+ys as (select y0, row_number() over (order by y0) as n, coalesce(lag(y0) over (order by y0), -20) as before from (
+  select unnest(list_distinct(list_concat(range(0, greatest(0, h-20)+1, 20), [greatest(0, h-20)]))) as y0 from h)),
+xs as (select unnest(range(0, 81, 20)) as x0),
+bad as (select y0, x0 from px join ys on y0 <= prow and prow < y0+20 join xs on x0 <= pcol and pcol < x0+20
+  group by y0, x0 having sum(r) % 3 = 0 and count(*) filter (r+g+b > 0 and alpha > 0) > 0),
+tiles as (select y0, x0, case when n = 1 then 0 else floor((before + 20 + y0)/2) end as top,
+  coalesce(lead(floor((before + 20 + y0)/2)) over (partition by x0 order by y0), (select h from h)) as bottom from ys, xs),
+m0 as materialized (select px.*, case when g = 200 and alpha > 0 and b.y0 is null then 1 else 0 end as v from px
+  join tiles t on top <= prow and prow < bottom and t.x0 <= pcol and pcol < t.x0+20
+  left join bad b on b.y0 = t.y0 and b.x0 = t.x0),
+{_regions('m0')}, k as (select label, count(*) as n from lab group by label)
+select (select count(*) from tiles) as tile_count, (select count(*) from bad) as failed_tiles,
+  count(*) as raw_polygon_count, count(*) filter (n*0.25 >= 2.0) as filtered_polygon_count from k"""),
+    "saved_vegetation": (saved_vegetation, f"""with recursive {_EXG}, {_morphology(
+        "m0", [("min", 3), ("max", 3)], "op")}, {_regions('op')},
+k as (select label, count(*) as n from lab group by label having count(*)*0.25 >= 5.0)
+select '{V.VEGETATION_NAME}' as name, '{V.VEGETATION_NOT_RUN}' as status, 0 as candidate_count
+union all select '{V.VEGETATION_NAME}', '{V.VEGETATION_DONE}', count(*) from k"""),
     "tile_plan": (tile_plan, f"""with r as ({L.duck(_RASTERS)}), s as (select *,
   list_sort(list_distinct(list_concat(range(0, greatest(0, width-512)+1, 256),
     [cast(greatest(0, width-512) as bigint)]))) as st from r)
@@ -313,24 +462,7 @@ t as (select prow, pcol, ((prow*13 + pcol*7 + (y0*1000 + x0)*3) % 100)/100.0e0 a
   (0.5-0.5*cos(2*pi()*(prow-y0)/31))*(0.5-0.5*cos(2*pi()*(pcol-x0)/31)) + 1e-5 as w
   from px join ys on y0 <= prow and prow < y0+32 join xs on x0 <= pcol and pcol < x0+32)
 select prow, pcol, round(sum(p*w)/sum(w), 6) as p from t group by prow, pcol"""),
-    "resample_avg": (resample_avg, f"""with px as materialized ({_PX}),
-h as (select max(prow)+1 as h, cast(floor((max(prow)+1)*3/10) as bigint) as th from px),
-cx as (select c, t, least((c+1)*0.4e0, t+1) - greatest(c*0.4e0, t) as w from
-  (select unnest(range(0, 100)) as c) a cross join (select unnest(range(0, 40)) as t) b
-  where c*0.4e0 < t+1 - 1e-9 and (c+1)*0.4e0 > t + 1e-9),
-ry as (select r, t, least((r+1)*th/cast(h as double), t+1) - greatest(r*th/cast(h as double), t) as w
-  from (select unnest(range(0, h)) as r, h, th from h) a
-  cross join (select unnest(range(0, th)) as t from h) b
-  where r*th/cast(h as double) < t+1 - 1e-9 and (r+1)*th/cast(h as double) > t + 1e-9),
-near as (select b.t as tr, a.t as tc, alpha from (select unnest(range(0, 40)) as t) a
-  cross join (select unnest(range(0, th)) as t, h, th from h) b
-  join px on px.pcol = floor((a.t+0.5e0)/0.4e0)
-    and px.prow = floor((b.t+0.5e0)/(th/cast(h as double))))
-select ry.t as prow, cx.t as pcol, round(sum(px.r*cx.w*ry.w)/sum(cx.w*ry.w), 6) as r,
-  round(sum(px.g*cx.w*ry.w)/sum(cx.w*ry.w), 6) as g, round(sum(px.b*cx.w*ry.w)/sum(cx.w*ry.w), 6) as b,
-  cast(max(near.alpha) as integer) as alpha
-from px join cx on cx.c = px.pcol join ry on ry.r = px.prow
-left join near on near.tr = ry.t and near.tc = cx.t group by ry.t, cx.t"""),
+    "resample_avg": (resample_avg, _RESAMPLED),
     "threshold_sweep": (threshold_sweep, f"""with {_EXG},
 s as (select *, ((id*7919) % 1000)/1000.0e0 as p from m0 where r+g+b > 0 and alpha > 0),
 k as (select t as threshold, count(*) filter (p >= t and v = 1) as tp,

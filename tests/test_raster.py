@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from groundcheck.operators import components as C, inference, morphology, pixels as P, tiles as T
 from groundcheck.operators.rasterize import rasterize
 from groundcheck.plans import footprints, greenery
+from groundcheck.sources import raster_tables
 
 
 def table(spark, a, name="v"):
@@ -174,3 +175,81 @@ def test_unit_values(spark):
     assert [r[0] for r in df.select(P.unit_value(F.col("v"), "int")).collect()] == [1.0, 0.0, 100 / 255]
     f = df.join(P.global_maximum(df, ("v",))).select(P.unit_value(F.col("v"), "float", F.col("maximum")))
     assert [r[0] for r in f.collect()] == [1.0, 0.0, 100 / 300]
+
+
+def test_raster_table_opens_only_the_blocks_of_a_window(spark, tmp_path):
+    path = str(tmp_path / "raster")
+    cells = spark.range(40 * 40).selectExpr("int(id / 40) as prow", "int(id % 40) as pcol", "id as v")
+    raster_tables.write_raster(cells, path, "007", block=10)
+    raster_tables.write_raster(cells.withColumn("v", F.lit(-1).cast("long")), path, "8", block=10)
+    windows = spark.createDataFrame([("007", 5, 12, 8, 9), ("007", 5, 7, 8, 11), ("007", -4, 1, -9, 1), ("8", 3, 3, 0, 9)],
+                                    "raster_id string, row0 int, row1 int, col0 int, col1 int")
+    read = raster_tables.read_raster(spark, path, windows, block=10)
+    want = {(r, c) for r in range(5, 12) for c in (8,)} | {(r, c) for r in (5, 6) for c in (8, 9, 10)} | {(0, 0)}
+    got = read.collect()
+    assert len(got) == len(want) and {(r.prow, r.pcol) for r in got} == want
+    assert {r.raster_id for r in got} == {"007"} and all(r.v == r.prow * 40 + r.pcol for r in got)
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan and "PartitionFilters: [" in plan
+    # without a name a window is looked up in every raster; without windows all cells come back
+    both = raster_tables.read_raster(spark, path, windows.drop("raster_id").limit(1), block=10)
+    assert both.count() == 14 and raster_tables.read_raster(spark, path).count() == 3200
+    # a rerun replaces the blocks it touches and leaves the others
+    raster_tables.write_raster(cells.filter("prow = 0 and pcol = 0").withColumn("v", F.lit(5).cast("long")), path, "007", block=10)
+    again = raster_tables.read_raster(spark, path).filter("raster_id = '007'")
+    assert again.count() == 1500 + 1 and again.filter("v = 5").count() == 1
+
+
+def test_probability_and_mask_tables(spark, tmp_path):
+    p = spark.createDataFrame([(0, 0, 0.25), (0, 1, 1.0)], "prow int, pcol int, p double")
+    raster_tables.write_probability(p, str(tmp_path / "p"), "r")
+    assert raster_tables.read_raster(spark, str(tmp_path / "p")).select("p").dtypes == [("p", "float")]
+    for bad in (1.5, float("nan"), None, -0.1):
+        with pytest.raises(Exception, match="not between 0 and 1"):
+            raster_tables.write_probability(
+                spark.createDataFrame([(0, 0, bad)], "prow int, pcol int, p double"), str(tmp_path / "q"), "r")
+    raster_tables.write_mask(spark.createDataFrame([(0, 0, 1), (0, 1, 0)], "prow int, pcol int, v int"), str(tmp_path / "v"), "r")
+    assert [tuple(r) for r in raster_tables.read_raster(spark, str(tmp_path / "v")).select("prow", "pcol", "v").collect()] == [(0, 0, 1)]
+    with pytest.raises(ValueError):
+        raster_tables.write_raster(p.withColumn("block_r", F.lit(1)), str(tmp_path / "x"), "r")
+    empty, state = raster_tables.saved_vegetation(spark, str(tmp_path / "none"))
+    assert empty.count() == 0 and empty.columns[0] == "feature_id" and state.first()["status"] == "not_run"
+
+
+def test_project_run_counts_failed_tiles_and_keeps_to_its_area(spark):
+    cells = [(r, c, 10 if (r, c) != (3, 3) else 99, 200, 0, 255) for r in range(24) for c in range(24)]
+    px = spark.createDataFrame(cells, "prow int, pcol int, r int, g int, b int, alpha int").withColumn("valid", F.lit(True))
+
+    def load():
+        def predict(image):
+            if (image[0] == 99).any():
+                raise MemoryError("no room")
+            return image[1] / 255.0
+        return predict
+
+    def run(**kw):
+        return footprints.extract_project(px, 24, 24, load, place, (0.0, 0.0), threshold=0.5, min_area=0.0, size=8, stride=8, **kw)
+
+    whole = run()
+    assert [tuple(r) for r in whole.failed.collect()] == [(0, 0, "MemoryError: no room")]
+    assert whole.summary.first().asDict() == {
+        "raw_polygon_count": 1, "filtered_polygon_count": 1, "tile_count": 9, "failed_tiles": 1}
+    assert whole.features.first()["pixels"] == 24 * 24 - 64
+    edges = spark.createDataFrame([(10.0, 9.0, 20.0, 22.0)], "x1 double, y1 double, x2 double, y2 double")
+    part = run(area=edges, to_pixel=lambda x, y: F.struct(x.alias("col"), y.alias("row")))
+    assert part.features.first()["pixels"] == 130 and part.summary.first()["failed_tiles"] == 0
+    with pytest.raises(ValueError, match="does not intersect"):
+        run(area=edges.selectExpr("x1 + 90 as x1", "y1", "x2 + 90 as x2", "y2"), to_pixel=lambda x, y: F.struct(x.alias("col"), y.alias("row")))
+
+
+def test_predictor_input_scales(spark):
+    px = spark.createDataFrame([(0, 0, 51, 102, 255)], "prow int, pcol int, r int, g int, b int")
+    tiles = T.pixels_to_tiles(px, 1, 1, 2, 2)
+    seen = {}
+    for scale in ("byte", "unit", "imagenet"):
+        rows = inference.predict_tiles(tiles, lambda: lambda t: t[0].astype(float), 2, name=scale, scale=scale)
+        seen[scale] = rows.first()["p"]
+    assert seen["byte"] == 51 and seen["unit"] == pytest.approx(0.2)
+    assert seen["imagenet"] == pytest.approx((0.2 - 0.485) / 0.229, abs=1e-6)
+    with pytest.raises(ValueError):
+        inference.predict_tiles(tiles, lambda: None, 2, scale="half")
