@@ -38,16 +38,17 @@ select concat('A-', cast(ord as string)) as feature_id, ord,
   x1 + (ord*41) % 700 - 350 as x1, y1 + (ord*43) % 200 - 100 as y1,
   area_sqm, 'building' as feature_type, 'ai_building_model' as source,
   cast((ord*7919) % 1000 as double)/1000.0 as confidence, 'unverified' as review_status
-from ({BUILDINGS}) b where ord % 3 <> 0"""
+from ({BUILDINGS}) b"""
 
 PARCELS = """
 select concat('P-', cast(p_partkey as string)) as feature_id, p_partkey as ord,
   (p_partkey % 50)*3000 as x0, cast(floor(p_partkey/50) as bigint)*3000 as y0,
-  (p_partkey % 50)*3000 + 2800 as x1, cast(floor(p_partkey/50) as bigint)*3000 + 2800 as y1,
-  784.0e0 as area_sqm, 'parcel' as feature_type,
+  (p_partkey % 50)*3000 + case when p_partkey % 10 = 9 then 30 else 2800 end as x1,
+  cast(floor(p_partkey/50) as bigint)*3000 + case when p_partkey % 10 = 9 then 30 else 2800 end as y1,
+  case when p_partkey % 10 = 9 then 0.09e0 else 784.0e0 end as area_sqm, 'parcel' as feature_type,
   case when p_partkey % 2 = 0 then 'synthetic_test' else 'official_reference' end as source,
   cast(null as double) as confidence, 'unverified' as review_status
-from {part} where p_partkey % 10 <> 9"""
+from {part}"""
 
 FAR_PARCELS = f"""
 select feature_id, ord, x0 + 10000000 as x0, y0 + 3000000 as y0, x1 + 10000000 as x1, y1 + 3000000 as y1,

@@ -49,8 +49,8 @@ _GAP = """sqrt(pow(greatest(0, q.x0 - l.x1, l.x0 - q.x1), 2)
 _SQUARE = """cast(pow(greatest(0, q.x0 - l.x1, l.x0 - q.x1), 2)
   + pow(greatest(0, q.y0 - l.y1, l.y0 - q.y1), 2) as bigint)"""
 _OUTSIDE = f"""
-select concat('W-OUTSIDE-PARCEL-', id_a) as warning_id, id_a, id_b, v, source, oa, 0e0 as ob from (
-  select l.feature_id as id_a, q.feature_id as id_b, l.source, l.rank*1e9 + l.ord as oa, {_GAP} as v,
+select concat('W-OUTSIDE-PARCEL-', id_a) as warning_id, id_a, id_b, v, source, oa, 0e0 as ob, cx, cy from (
+  select (l.x0 + l.x1)/2.0 as cx, (l.y0 + l.y1)/2.0 as cy, l.feature_id as id_a, q.feature_id as id_b, l.source, l.rank*1e9 + l.ord as oa, {_GAP} as v,
     row_number() over (partition by l.feature_id order by {_GAP}, q.ord) as rn
   from (select * from ba l where not exists (select 1 from p q where {_HIT})) l cross join p q) t
 where rn = 1 and v > 0.5"""
@@ -63,25 +63,26 @@ _ALL = f"""{_CTE},
 ov as ({_OVERLAP}), rd as ({_ROAD}), cr as ({_CROSS}), ou as ({_OUTSIDE}), lo as ({_LOW}),
 w as (
   select 4 as rk, oa, ob, warning_id, 'low_confidence_detection' as warning_type, id_a,
-    cast(null as varchar) as id_b, source, v, 0.7/greatest(v, 1e-9) as ratio,
+    cast(null as varchar) as id_b, source, cast(null as double) as cx, cast(null as double) as cy, v,
+    0.7/greatest(v, 1e-9) as ratio,
     greatest(0.0, 0.7 - v) as exceed,
     concat('AI detection confidence is ', printf('%.2f', v),
       ', below the 0.70 review threshold.') as explanation from lo
   union all
-  select 5, oa, ob, warning_id, 'overlapping_polygons', id_a, id_b, 'project_vaayu_sample', v, v,
+  select 5, oa, ob, warning_id, 'overlapping_polygons', id_a, id_b, 'project_vaayu_sample', cx, cy, v, v,
     v - 1.0, concat('Spatial overlap detected between polygon ', id_a, ' and polygon ', id_b,
       ' (approx ', printf('%.1f', v), ' m²). Review boundaries visually.') from ov
   union all
   select 7, oa, ob, warning_id, 'building_road_spatial_overlap', id_a, id_b, 'project_vaayu_sample',
-    v, 1.0, v, concat('Spatial overlap detected between building ', id_a, ' and road corridor ', id_b,
+    cx, cy, v, 1.0, v, concat('Spatial overlap detected between building ', id_a, ' and road corridor ', id_b,
       ' (approx ', printf('%.1f', v), ' m²)—review visually. Road corridors and centerlines are ',
       'spatial references, not legal rights-of-way.') from rd
   union all
-  select 10, oa, ob, warning_id, 'building_crosses_parcel', id_a, id_b, source, v, v/0.5, v - 0.5,
+  select 10, oa, ob, warning_id, 'building_crosses_parcel', id_a, id_b, source, cx, cy, v, v/0.5, v - 0.5,
     concat('Building footprint ', id_a, ' crosses parcel boundary ', id_b,
       '. Review boundaries visually against imagery.') from cr
   union all
-  select 11, oa, ob, warning_id, 'building_outside_parcel', id_a, id_b, source, v, v/0.5, v - 0.5,
+  select 11, oa, ob, warning_id, 'building_outside_parcel', id_a, id_b, source, cx, cy, v, v/0.5, v - 0.5,
     concat('Building footprint ', id_a, ' is ', printf('%.2f', v),
       ' m from the nearest loaded parcel boundary ', id_b, '.') from ou)"""
 
@@ -95,11 +96,11 @@ def _stacked(spark, sf_dir) -> DataFrame:
     return validation.stack_layers(_buildings(spark, sf_dir), L.boxes(spark, sf_dir, L.PREDICTIONS))
 
 
-def _warnings(spark, sf_dir) -> DataFrame:
-    """All warnings without their centres, which overlap_pairs and parcel_crossings compare."""
+def _warnings(spark, sf_dir, centre: bool = False) -> DataFrame:
+    """All warnings; counts, scores and texts read no centres."""
     return validation.all_warnings(
         _stacked(spark, sf_dir), L.boxes(spark, sf_dir, L.ROADS), L.boxes(spark, sf_dir, L.PARCELS),
-        centre=False, **ALL)
+        centre=centre, **ALL)
 
 
 def _scores(spark, sf_dir) -> DataFrame:
@@ -164,12 +165,13 @@ def nearest_far_clusters(spark, sf_dir) -> DataFrame:
 
 
 def warnings_all(spark, sf_dir) -> DataFrame:
-    return _warnings(spark, sf_dir).select(
+    return _warnings(spark, sf_dir, centre=True).select(
         "warning_id", "warning_type", "severity", "source", "explanation",
         F.array_join("feature_ids", ",").alias("feature_ids"),
         F.round("measured_value", 6).alias("measured_value"),
         F.round("exceed_value", 6).alias("exceed_value"),
-        F.round("exceed_ratio", 6).alias("exceed_ratio"))
+        F.round("exceed_ratio", 6).alias("exceed_ratio"),
+        F.round("affected.x", 3).alias("cx"), F.round("affected.y", 3).alias("cy"))
 
 
 def warning_counts(spark, sf_dir) -> DataFrame:
@@ -210,8 +212,7 @@ def score_rules(spark, sf_dir) -> DataFrame:
 
 
 def score_evidence(spark, sf_dir) -> DataFrame:
-    return scoring.score_evidence(_warnings(spark, sf_dir).filter(
-        F.col("warning_type") == "overlapping_polygons")).select("feature_id", "measured")
+    return scoring.score_evidence(_warnings(spark, sf_dir)).select("feature_id", "measured")
 
 
 def parcel_rag(spark, sf_dir) -> DataFrame:
@@ -280,8 +281,9 @@ def polygon_pair_area(spark, sf_dir) -> DataFrame:
         return cut_lineage(shape_table(df.withColumn("box", geometry.bounds(F.col("edges")))))
 
     a, b = diamond(L.PREDICTIONS), diamond(L.BUILDINGS)
-    m = pair_measures(grid_pairs(a, b), a, b, large=False).filter(F.col("area") > 1.0)
-    return m.select("a_ord", "b_ord", F.round(F.col("area") / 10000.0, 6).alias("area_m2"))
+    pairs = cut_lineage(grid_pairs(a, b))
+    m = pairs.join(pair_measures(pairs, a, b, large=False), ["a_ord", "b_ord"], "left")
+    return m.select("a_ord", "b_ord", F.round(F.greatest(F.coalesce("area", F.lit(0.0)), F.lit(0.0)) / 10000.0, 6).alias("area_m2"))
 
 
 def footprint_area(spark, sf_dir) -> DataFrame:
@@ -459,7 +461,7 @@ v as (select a_ord, b_ord, sum(s*((r-l)*(least(el, gl) + least(er, gr))/2
   + case when (el-gl)*(er-gr) < 0
     then (r-l)*abs(el-gl)*abs(er-gr)/(2*(abs(el-gl)+abs(er-gr))) else 0 end)) as area
   from u group by a_ord, b_ord)
-select a_ord, b_ord, round(area/10000.0, 6) as area_m2 from v where area > 1.0"""
+select h.a_ord, h.b_ord, round(greatest(coalesce(area, 0), 0)/10000.0, 6) as area_m2 from h left join v using (a_ord, b_ord)"""
 
 QUERIES = {
     "overlap_pairs": (overlap_pairs, f"""{_CTE}, o as ({_OVB})
@@ -486,7 +488,8 @@ select feature_id, m.id as parcel_id, round(sqrt(m.d)/100.0, 4) as distance_m fr
     "warnings_all": (warnings_all, f"""{_ALL}
 select warning_id, warning_type, {_SEV.format("ratio")} as severity, source, explanation,
   concat_ws(',', id_a, id_b) as feature_ids, round(v, 6) as measured_value,
-  round(exceed, 6) as exceed_value, round(ratio, 6) as exceed_ratio from w"""),
+  round(exceed, 6) as exceed_value, round(ratio, 6) as exceed_ratio,
+  round(cx, 3) as cx, round(cy, 3) as cy from w"""),
     "warning_counts": (warning_counts, f"""{_ALL}
 select count(*) as total_warnings,
   count(*) filter (source like '%synthetic%') as synthetic_warning_count,
@@ -509,9 +512,12 @@ where warning_type = 'low_confidence_detection'"""),
     "narration": (narration, _NARRATION_SQL),
     "review_scores": (review_scores, _SCORE_SQL),
     "score_rules": (score_rules, _RULES_SQL),
-    "score_evidence": (score_evidence, f"""{_CTE}, o as ({_OVERLAP})
-select feature_id, concat(warning_id, ': overlap_area_m2=', v, ', intersection_area_m2=', v)
-  as measured from (select id_a as feature_id, * from o union all select id_b, * from o) t"""),
+    "score_evidence": (score_evidence, f"""{_ALL}, e as (select *, concat(warning_id, ': ',
+  case warning_type when 'building_crosses_parcel' then concat('outside_area_m2=', v)
+    when 'building_outside_parcel' then concat('distance_to_parcel_m=', v)
+    when 'low_confidence_detection' then concat('confidence=', v, ', confidence_threshold=0.7')
+    else concat('overlap_area_m2=', v, ', intersection_area_m2=', v) end) as measured from w)
+select id_a as feature_id, measured from e union all select id_b, measured from e where id_b is not null"""),
     "parcel_rag": (parcel_rag, _RAG_SQL),
     "parcel_rag_all_pairs": (parcel_rag_all_pairs, f"""{_CTE}, o as ({_CRB}),
 nw as (select id_b as feature_id, count(*) as n from o group by 1),

@@ -235,7 +235,7 @@ def test_project_run_counts_failed_tiles_and_keeps_to_its_area(spark):
     assert whole.summary.first().asDict() == {
         "raw_polygon_count": 1, "filtered_polygon_count": 1, "tile_count": 9, "failed_tiles": 1}
     assert whole.features.first()["pixels"] == 24 * 24 - 64
-    edges = spark.createDataFrame([(10.0, 9.0, 20.0, 22.0)], "x1 double, y1 double, x2 double, y2 double")
+    edges = spark.createDataFrame([(10.0, 9.0, 20.0, 22.0), (20.0, 22.0, 10.0, 9.0)], "x1 double, y1 double, x2 double, y2 double")
     part = run(area=edges, to_pixel=lambda x, y: F.struct(x.alias("col"), y.alias("row")))
     assert part.features.first()["pixels"] == 130 and part.summary.first()["failed_tiles"] == 0
     with pytest.raises(ValueError, match="does not intersect"):
