@@ -14,7 +14,7 @@ from groundcheck.operators import topology
 from groundcheck.operators.polygons import shape_table
 from groundcheck.plans import review
 from groundcheck.sources import catalog, geojson, imagery, normalize as N
-from groundcheck.streaming import revalidate, review_log
+from groundcheck.streaming import review_log
 
 # ---- raw features from customers ---------------------------------------------------------------
 _RAW = """select c_custkey as ord, case when c_custkey % 7 <> 0 then concat('C-', cast(c_custkey as string)) end as id,
@@ -262,22 +262,6 @@ def changed_features(spark, sf_dir) -> DataFrame:
     return review.changed_features(f).groupBy("layer").agg(F.count(F.lit(1)).alias("n"))
 
 
-def incremental_revalidation(spark, sf_dir) -> DataFrame:
-    """Overlap warnings after every 50th building moved by 2 m, refreshed around the moved ones."""
-    before = L.boxes(spark, sf_dir, L.BUILDINGS)
-    after = L.boxes(spark, sf_dir, _MOVED)
-    kw = {"unit_area": L.UNIT_AREA, "large": False}
-    old = cut_lineage(topology.overlap_warnings(before, 5, **kw))
-    changed = after.filter("ord % 50 = 0").select("feature_id")
-    return revalidate.refresh_overlaps(old, after, changed, **kw).select(
-        "warning_id", F.round("measured_value", 6).alias("area_m2"))
-
-
-_MOVED = f"""select feature_id, ord, x0 + case when ord % 50 = 0 then 200 else 0 end as x0, y0,
-  x1 + case when ord % 50 = 0 then 200 else 0 end as x1, y1, area_sqm, feature_type, source, confidence,
-  review_status from ({L.BUILDINGS}) m"""
-
-
 # ---- catalogs ----------------------------------------------------------------------------------
 def run_latest(spark, sf_dir) -> DataFrame:
     o = L.table(spark, sf_dir, "orders").select(
@@ -553,12 +537,6 @@ from b left join s using (feature_id)"""),
     "changed_features": (changed_features, f"""with f as ({_LAYERED})
 select layer, count(*) as n from f where layer <> 'ai_predictions'
   and (review_status <> 'unverified' or ord % 13 = 0 or ord % 17 = 0) group by layer"""),
-    "incremental_revalidation": (incremental_revalidation, f"""with b as ({L.duck(_MOVED)}),
-o as (select concat('W-OVERLAP-', l.feature_id, '-', q.feature_id) as warning_id,
-  cast(least(l.x1, q.x1) - greatest(l.x0, q.x0) as double)
-    *(least(l.y1, q.y1) - greatest(l.y0, q.y0))/10000.0 as v
-  from b l join b q on l.ord < q.ord and l.x0 <= q.x1 and q.x0 <= l.x1 and l.y0 <= q.y1 and q.y0 <= l.y1)
-select warning_id, round(v, 6) as area_m2 from o where v >= 1.0"""),
     "run_latest": (run_latest, """with o as (select concat('p', o_custkey % 20) as provider_id,
   case when o_orderkey % 9 = 0 then 'run-x' else concat('run-', o_orderkey) end as run_id,
   case when o_orderkey % 9 = 0 then -1 else o_orderkey end as no, o_orderkey % 5 as tile_count,

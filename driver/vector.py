@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from driver import layers as L
@@ -14,6 +16,7 @@ from groundcheck.operators.nearest import nearest
 from groundcheck.operators.polygons import pair_measures, shape_table
 from groundcheck.plans import discrepancy as D, validation
 from groundcheck.plans.parcels import parcel_report
+from groundcheck.streaming import revalidate
 
 KW = {"unit_area": L.UNIT_AREA, "large": False}
 ALL = {**KW, "unit_length": L.UNIT_LENGTH, "stored": True}
@@ -174,6 +177,52 @@ def warnings_all(spark, sf_dir) -> DataFrame:
         F.round("affected.x", 3).alias("cx"), F.round("affected.y", 3).alias("cy"))
 
 
+def _edited(sql: str, where: str = "true", **columns: str) -> str:
+    """A layer text after an edit: rows that stay, and columns that differ."""
+    names = ("feature_id", "ord", "x0", "y0", "x1", "y1", "area_sqm", "feature_type", "source", "confidence", "review_status")
+    return f"""
+select {", ".join(f"{columns[c]} as {c}" if c in columns else c for c in names)} from ({sql}) e where {where}"""
+
+
+#: Per layer its text before and after the edit, and which features the edit touched.
+EDITS = {
+    "buildings": (_edited(L.BUILDINGS), _edited(
+        L.BUILDINGS, x0="x0 + case when ord % 50 = 0 then 200 else 0 end", x1="x1 + case when ord % 50 = 0 then 200 else 0 end"),
+        "ord % 50 = 0"),
+    "predictions": (_edited(L.PREDICTIONS), _edited(
+        L.PREDICTIONS, confidence="case when ord % 60 = 7 then 1.0 - confidence else confidence end"), "ord % 60 = 7"),
+    "roads": (_edited(L.ROADS), _edited(
+        L.ROADS, y0="y0 + case when ord % 3 = 0 then 150 else 0 end", y1="y1 + case when ord % 3 = 0 then 150 else 0 end"),
+        "ord % 3 = 0"),
+    # some parcels move, some appear and some go
+    "parcels": (_edited(L.PARCELS, "ord % 200 <> 14"), _edited(
+        L.PARCELS, "ord % 200 <> 13", x0="x0 + case when ord % 40 = 9 then 400 when ord % 40 = 7 then 900 else 0 end",
+        x1="x1 + case when ord % 40 = 9 then 400 when ord % 40 = 7 then 900 else 0 end"),
+        "ord % 40 in (7, 9) or ord % 200 in (13, 14)"),
+}
+
+
+def incremental_revalidation(spark, sf_dir) -> DataFrame:
+    """All warnings after an edit of every layer, from those before it and what lies around the edit."""
+    box = {n: [L.boxes(spark, sf_dir, text) for text in texts[:2]] for n, texts in EDITS.items()}
+
+    def layers(i: int) -> dict[str, DataFrame]:
+        return {"buildings": cut_lineage(validation.stack_layers(box["buildings"][i], box["predictions"][i])),
+                "roads": box["roads"][i], "parcels": box["parcels"][i]}
+
+    def touched(*names: str) -> DataFrame:
+        ids = [side.filter(EDITS[n][2]).select("feature_id") for n in names for side in box[n]]
+        return reduce(DataFrame.unionByName, ids).distinct()
+
+    before, after = layers(0), layers(1)
+    old = cut_lineage(validation.all_warnings(*before.values(), centre=False, **ALL))
+    changed = {"buildings": touched("buildings", "predictions"), "roads": touched("roads"), "parcels": touched("parcels")}
+    delta = revalidate.revalidate(old, before, after, changed, unit_length=L.UNIT_LENGTH, centre=False, **KW)
+    return delta.apply(old).select(
+        "warning_id", "warning_type", "explanation", F.array_join("feature_ids", ",").alias("feature_ids"),
+        F.round("measured_value", 6).alias("measured_value"), F.round("exceed_value", 6).alias("exceed_value"))
+
+
 def warning_counts(spark, sf_dir) -> DataFrame:
     return validation.warning_counts(_warnings(spark, sf_dir))
 
@@ -463,6 +512,11 @@ v as (select a_ord, b_ord, sum(s*((r-l)*(least(el, gl) + least(er, gr))/2
   from u group by a_ord, b_ord)
 select h.a_ord, h.b_ord, round(greatest(coalesce(area, 0), 0)/10000.0, 6) as area_m2 from h left join v using (a_ord, b_ord)"""
 
+_EDITED_CTE = "with " + ", ".join(
+    f"{name} as ({L.duck(EDITS[layer][1])})" for name, layer in zip("bapr", ("buildings", "predictions", "parcels", "roads"))
+) + """,
+ba as (select *, 0 as rank from b union all select *, 1 as rank from a)"""
+
 QUERIES = {
     "overlap_pairs": (overlap_pairs, f"""{_CTE}, o as ({_OVB})
 select warning_id, round(v, 6) as overlap_area_m2, {_SEV.format("v")} as severity,
@@ -490,6 +544,9 @@ select warning_id, warning_type, {_SEV.format("ratio")} as severity, source, exp
   concat_ws(',', id_a, id_b) as feature_ids, round(v, 6) as measured_value,
   round(exceed, 6) as exceed_value, round(ratio, 6) as exceed_ratio,
   round(cx, 3) as cx, round(cy, 3) as cy from w"""),
+    "incremental_revalidation": (incremental_revalidation, f"""{_ALL.replace(_CTE, _EDITED_CTE)}
+select warning_id, warning_type, explanation, concat_ws(',', id_a, id_b) as feature_ids, round(v, 6) as measured_value,
+  round(exceed, 6) as exceed_value from w"""),
     "warning_counts": (warning_counts, f"""{_ALL}
 select count(*) as total_warnings,
   count(*) filter (source like '%synthetic%') as synthetic_warning_count,

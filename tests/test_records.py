@@ -1,4 +1,5 @@
 import json
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 from groundcheck.functions import geometry as G
 from groundcheck.lineage import cut_lineage
 from groundcheck.operators import polygons, topology
-from groundcheck.plans import review
+from groundcheck.plans import review, validation
 from groundcheck.sources import catalog, fixtures, geojson, imagery, normalize
 from groundcheck.streaming import revalidate, review_log
 
@@ -133,6 +134,77 @@ def test_incremental_equals_full(spark):
         map(tuple, topology.overlap_warnings(after, 5).select(*cols).collect()))
 
 
+def _project(spark, rows):
+    """Validated layers by name from ``(layer, feature_id, feature_type, source, confidence, coordinates)``."""
+    out = {}
+    for name in ("buildings", "roads", "parcels", "synthetic"):
+        mine = [(i, *r[1:5], "Polygon", r[5]) for i, r in enumerate(rows) if r[0] == name]
+        df = spark.createDataFrame(mine, "ord long, feature_id string, feature_type string, source string, "
+                                         "confidence double, geom_type string, coords_json string")
+        out[name] = cut_lineage(topology.with_validity(polygons.shape_table(G.add_shape(df))))
+    return out
+
+
+def _box(x, y, w, h):
+    return json.dumps([[[x, y], [x + w, y], [x + w, y + h], [x, y + h], [x, y]]])
+
+
+def test_delta_of_an_edit_equals_a_full_run_for_every_rule(spark):
+    r = random.Random(6)
+
+    def rows(edit):
+        out = []
+        for i in range(30):
+            x, y = r0.randint(0, 120), r0.randint(0, 60)
+            moved = edit and i % 6 == 0
+            shape = _box(x + 15 * moved, y, 9, 7)
+            if i in (3, 12):
+                shape = json.dumps([[[x, y], [x + 9, y + 7], [x + 9, y], [x, y + 7], [x, y]]]) if not edit or i == 3 else shape
+            if i == 4:
+                shape = "[]" if edit else shape
+            if i == 5:
+                shape = "[[1" if edit else shape
+            if i == 7 and edit:
+                continue
+            out.append(("buildings", f"B{i}", "building", "ai_model" if i % 2 else "survey", 0.5 + 0.3 * (edit and i % 10 == 1), shape))
+        for i in range(4):
+            out.append(("roads", f"R{i}", "village_road_polygon", "survey", None, _box(0, 14 * i + 5 * (edit and i == 2), 130, 3)))
+        for i in range(12):
+            if i == 9 and not edit or i == 10 and edit:
+                continue
+            out.append(("parcels", f"P{i}", "parcel", "survey", None, _box(40 * (i % 4) + 25 * (edit and i % 5 == 0), 25 * (i // 4), 20, 12)))
+        for i in range(12):
+            kind = ("synthetic_building", "synthetic_road_corridor", "synthetic_parcel")[i % 3]
+            out.append(("synthetic", f"S{i}", kind, "synthetic_test", None,
+                        _box(r0.randint(0, 30) + 4 * (edit and i in (0, 2)), r0.randint(0, 20), 12, 9)))
+        return out
+
+    seed = r.random()
+    r0 = random.Random(seed)
+    old_rows = rows(False)
+    r0 = random.Random(seed)
+    new_rows = rows(True)
+    before, after = _project(spark, old_rows), _project(spark, new_rows)
+    changed = {}
+    for name in before:
+        a, b = ({x[1]: x[2:] for x in side if x[0] == name} for side in (old_rows, new_rows))
+        ids = [k for k in a.keys() | b.keys() if a.get(k) != b.get(k)]
+        changed[name] = spark.createDataFrame([(k,) for k in ids], "feature_id string")
+    old = cut_lineage(validation.all_warnings(*before.values(), stored=True))
+    want = cut_lineage(validation.all_warnings(*after.values(), stored=True))
+    delta = revalidate.revalidate(old, before, after, changed)
+    cols = ("warning_id", "warning_type", "severity", "explanation", "rule_rank", "measured_value")
+
+    def seen(df):
+        return sorted((*[str(v) for v in row[:5]], None if row[5] is None else round(row[5], 6)) for row in map(tuple, df.select(*cols).collect()))
+
+    assert seen(delta.apply(old)) == seen(want)
+    assert {row.rule_rank for row in want.collect()} == set(range(1, 12)) - {2, 3}  # no broken road or synthetic shape
+    assert delta.insert.count() < want.count()
+    with pytest.raises(ValueError):
+        revalidate.revalidate(old, before, {"buildings": after["buildings"]}, changed)
+
+
 def test_drafts_and_lookup(spark):
     d = spark.createDataFrame([(0, "Polygon", "[]", ""), (1, "LineString", "[]", "n")],
                               "ord long, geom_type string, coords_json string, notes string")
