@@ -193,7 +193,7 @@ def cutting_patterns(demand: dict[int, int], capacity: int, gap: float = 1e-3) -
 
 
 def pack_notes(events: DataFrame, tokenizer: str, key: str = "event_id", text: str = "notes", length: int = 2048,
-               end_id: int = 1, unit: int = 8) -> DataFrame:
+               end_id: int = 1, unit: int = 8, keep: tuple[str, ...] = ()) -> DataFrame:
     """Pack every note into sequences of at most ``length`` tokens with little padding.
 
     A note's tokens are its ids by the vocabulary file ``tokenizer`` and ``end_id``.  They are cut into
@@ -202,18 +202,23 @@ def pack_notes(events: DataFrame, tokenizer: str, key: str = "event_id", text: s
     of a class are numbered by :func:`ranked` and take the places of the patterns in that order.
 
     Returns per piece ``key, start (the note's ids before it), length, ids_crc32 (of the ids as
-    little-endian unsigned 32-bit), doc_tokens, sequence_id, offset``.  Offsets are gapless from 0.
+    little-endian unsigned 32-bit), doc_tokens, sequence_id, offset``, and the columns of ``keep`` (a number of the copy,
+    where rows repeat a key).  Offsets are gapless from 0.
 
-    A null or empty note is the end id alone; rows that repeat a key are packed each; extra columns are
+    A null or empty note is the end id alone; rows that repeat a key are packed each; further columns are
     not read; an empty table gives no rows.  A note of any length is cut, never shortened.
     """
     if length % unit:
         raise ValueError("length must be a multiple of unit")
-    pieces = map_text(events.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")), "text",
+    made = ("text", "start", "length", "ids_crc32", "doc_tokens", "class", "rank", "size", "first", "last", "each", "sequence",
+            "sequence_id", "offset", "key", key)
+    if taken := {*keep} & {*made}:
+        raise ValueError(f"{sorted(taken)} can't be kept")
+    pieces = map_text(events.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), *keep), "text",
                       _cutter(tokenizer, end_id, length),
                       "start long, length long, ids_crc32 long, doc_tokens long")
     pieces = pieces.withColumn("class", F.ceil(F.col("length") / unit).cast("int"))
-    pieces, counts = ranked(pieces, ["class"], ["key", "start", "ids_crc32"])
+    pieces, counts = ranked(pieces, ["class"], ["key", *keep, "start", "ids_crc32"])
     places, at, sequence = [], {}, 0
     for pattern, times in cutting_patterns({c: n for (c,), n in counts.items()}, length // unit):
         for size, n in pattern.items():
@@ -225,9 +230,9 @@ def pack_notes(events: DataFrame, tokenizer: str, key: str = "event_id", text: s
     # at most a row per pattern and class
     placed = pieces.join(F.broadcast(plan), (F.col("class") == F.col("size")) & (F.col("rank") >= F.col("first"))
                          & (F.col("rank") < F.col("last"))).select(
-        "key", "start", "length", "ids_crc32", "doc_tokens",
+        "key", *keep, "start", "length", "ids_crc32", "doc_tokens",
         (F.col("sequence") + F.floor((F.col("rank") - F.col("first")) / F.col("each"))).alias("sequence_id"))
-    before = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "key", "start").rowsBetween(
+    before = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "key", *keep, "start").rowsBetween(
         Window.unboundedPreceding, -1)
     return placed.select(F.col("key").alias(key), "start", "length", "ids_crc32", "doc_tokens", "sequence_id",
-                         F.coalesce(F.sum("length").over(before), F.lit(0)).alias("offset"))
+                         F.coalesce(F.sum("length").over(before), F.lit(0)).alias("offset"), *keep)

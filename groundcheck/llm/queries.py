@@ -122,8 +122,9 @@ def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
 
 
-def packed(docs: DataFrame) -> DataFrame:
-    return packing.pack_notes(notes(docs), tokenizer_path()).withColumnRenamed("event_id", "doc_id")
+def packed(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    rows = docs.select(F.col("doc_id").alias("event_id"), F.col("text").alias("notes"), *keep)
+    return packing.pack_notes(rows, tokenizer_path(), keep=keep).withColumnRenamed("event_id", "doc_id")
 
 
 #: Shares of the tokens by source, language and topic.

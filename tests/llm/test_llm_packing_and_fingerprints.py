@@ -1,8 +1,10 @@
 import hashlib
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import Row
 
 import corpus_pipeline
 from groundcheck.llm import fingerprints, packing, queries
@@ -152,5 +154,11 @@ def test_pipeline_stages_keep_the_columns_and_take_effect(spark, tmp_path):
             docs = after
     texts = [r["text"] for r in spark.read.parquet(f"{tmp_path}/1").collect()]
     assert len(set(texts)) == len(texts) and seen[0] > seen[1] > seen[2] == seen[3] > seen[4] > 0
-    last = spark.read.parquet(f"{tmp_path}/4").withColumnRenamed("doc_id", "event_id").collect()
-    check_packing([(r["doc_id"], r["text"]) for r in docs.collect()], last, 2048)
+    packed = spark.read.parquet(f"{tmp_path}/4").collect()
+    # every copy is there whole: its pieces are those of one row of its document
+    left = Counter((r["doc_id"], r["text"]) for r in docs.collect())
+    texts = {k: t for k, t in left}
+    assert Counter(k for k, _ in {(r["doc_id"], r["copy"]) for r in packed}) == Counter(
+        {k: n for (k, _), n in left.items()}) and max(left.values()) > 1
+    rows = [Row(**{**r.asDict(), "event_id": (r["doc_id"], r["copy"])}) for r in packed]
+    check_packing([((k, c), texts[k]) for k, c in {r["event_id"] for r in rows}], rows, 2048)
