@@ -39,8 +39,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document that is left, cut and packed into sequences."""
-    return queries.packed(docs)
+    """Every document that is left, cut and packed into sequences.
+
+    Mixing repeats documents, so every row gets a number, ``copy``, that its pieces carry.
+    """
+    return queries.packed(docs.withColumn("copy", F.monotonically_increasing_id()), keep=("copy",))
 
 
 STAGES = [
