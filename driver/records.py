@@ -213,11 +213,8 @@ def audit_history(spark, sf_dir) -> DataFrame:
         "feature_id", "position", "event_id", "action", "reviewer", "new_status", "notes", "edit_reason")
 
 
-def review_state_stream(spark, sf_dir) -> DataFrame:
-    """The same state, folded by a stream over the events file."""
-    schema = L.table(spark, sf_dir, "events").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    events = raw.select(
+def _as_review(raw: DataFrame) -> DataFrame:
+    return raw.select(
         "event_id", "ts", F.concat(F.lit("B-"), F.col("user_id").cast("string")).alias("feature_id"),
         F.when(F.col("event_type") == "click", "geometry_edit").when(
             F.col("event_type") == "signup", "revert_geometry").otherwise("status_update").alias("action"),
@@ -225,6 +222,42 @@ def review_state_stream(spark, sf_dir) -> DataFrame:
             F.col("event_type") == "purchase", "approved").when(
             F.col("event_type") == "error", "rejected").alias("new_status"),
         F.concat(F.lit("reviewer-"), (F.col("user_id") % 7).cast("string")).alias("reviewer"))
+
+
+def _delivered(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """State and late rows of a stream in four batches by time, with repeats and rows that come a long time after."""
+    rows = L.table(spark, sf_dir, "events")
+    ends = rows.agg(F.min("ts").alias("t0"), F.max("ts").alias("t1"))
+    seconds = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    part = F.least(F.lit(3), F.floor(4 * (seconds("ts") - seconds("t0")) / (seconds("t1") - seconds("t0")))).cast("int")
+    dealt = rows.join(F.broadcast(ends)).withColumn("part", F.when(F.col("event_id") % 97 == 0, 3).otherwise(part))
+    again = dealt.filter("event_id % 10 = 1").withColumn("part", F.least(F.lit(3), F.col("part") + 1))
+    dealt = cut_lineage(dealt.unionByName(again).drop("t0", "t1"))
+    base = f"{checkpoint_folder(spark).rstrip('/')}/fold-{uuid.uuid4().hex}"
+    for k in range(4):
+        dealt.filter(F.col("part") == k).drop("part").write.parquet(f"{base}/in/k={k}")
+        raw = spark.readStream.schema(rows.schema).parquet(f"{base}/in/k=*")
+        review_log.run_fold(_as_review(raw), f"{base}/state", f"{base}/progress", delay="5 days").awaitTermination()
+    return review_log.read_state(spark, f"{base}/state"), review_log.read_late(spark, f"{base}/state")
+
+
+def review_state_batches(spark, sf_dir) -> DataFrame:
+    """State after several batches with repeats and late events."""
+    state, _ = _delivered(spark, sf_dir)
+    return state.withColumn("edited_at", F.col("edited_at").cast("timestamp_ntz")).select(*_STATE)
+
+
+def review_late_rows(spark, sf_dir) -> DataFrame:
+    """The rows that the same job set aside as late."""
+    _, late = _delivered(spark, sf_dir)
+    return late.groupBy("event_id", F.col("b").cast("int").alias("batch")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def review_state_stream(spark, sf_dir) -> DataFrame:
+    """The same state, folded by a stream over the events file."""
+    schema = L.table(spark, sf_dir, "events").schema
+    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    events = _as_review(raw)
     base = f"{checkpoint_folder(spark).rstrip('/')}/fold-{uuid.uuid4().hex}"
     review_log.run_fold(
         events, f"{base}/state", f"{base}/progress", delay="60 days").awaitTermination()
@@ -417,6 +450,15 @@ _SRC = """case k5 when 0 then 'manual_visual_reference' when 1 then 'OSM extract
 _COORD = "concat('[[[', k, ',0],[', k+1, ',0],[', k+1, ',1],[', k, ',0]]]')"
 _FIXED_SRC = """case k5 when 1 then 'osm' when 2 then 'synthetic_test' else 'project_vaayu_sample' end"""
 _EV = L.duck(L.EVENTS)
+#: Every delivery of an event, its batch, whether it is the first, and whether it comes too late there.
+_DELIVERED = """select event_id, part, first, coalesce(ts < newest - interval 5 days, false) as late from (
+  select *, max(m) over (order by part range between unbounded preceding and 1 preceding) as newest from (
+    select *, max(ts) over (partition by part) as m from (
+      select event_id, ts, part, true as first from dealt
+      union all select event_id, ts, least(3, part + 1), false from dealt where event_id % 10 = 1) u) w) x"""
+_DELIVERED = _DELIVERED.replace("from dealt", """from (select event_id, ts, case when event_id % 97 = 0 then 3 else
+  cast(least(3, floor(4*(epoch_us(ts) - epoch_us(min(ts) over ()))/(epoch_us(max(ts) over ()) - epoch_us(min(ts) over ())))) as integer)
+  end as part from events) d""")
 _LAYERED = f"""select 'buildings' as layer, feature_id, ord, confidence, review_status, x0
   from ({L.duck(L.BUILDINGS)}) b
 union all select 'ai_predictions', feature_id, ord, confidence, review_status, x0 from ({L.duck(L.PREDICTIONS)}) a
@@ -520,6 +562,10 @@ select sha256(concat_ws(',', x0, y0, x1, y1)) as fingerprint from ({L.duck(_COPI
 intersect select sha256(concat_ws(',', x0, y0, x1, y1)) from ({L.duck(L.BUILDINGS)}) b"""),
     "review_state": (review_state, _STATE_SQL),
     "review_state_stream": (review_state_stream, _STATE_SQL),
+    "review_state_batches": (review_state_batches, _STATE_SQL.replace(_EV, f"""select v.* from ({_EV}) v
+  join (select distinct event_id from ({_DELIVERED}) t where not late) q using (event_id)""")),
+    "review_late_rows": (review_late_rows, f"""
+select event_id, cast(part as integer) as batch, count(*) as n from ({_DELIVERED}) t where late group by event_id, part"""),
     "audit_history": (audit_history, f"""with e as ({_EV})
 select feature_id, row_number() over (partition by feature_id order by ts, event_id) as position,
   event_id, action, case when action <> 'revert_geometry' then reviewer end as reviewer, new_status,

@@ -99,13 +99,38 @@ def test_stream_fold_equals_batch(spark, tmp_path):
     got = review_log.read_state(spark, str(tmp_path / "state"))
     want = review.review_state(all_events)
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
-    stream = spark.readStream.schema(all_events.schema).option("maxFilesPerTrigger", 1).parquet(f"{src}/f=*")
-    review_log.run_late(stream, str(tmp_path / "side"), str(tmp_path / "late-ck"), delay="2 hours").awaitTermination()
-    assert {r.event_id for r in spark.read.parquet(str(tmp_path / "side" / "late")).collect()} == {1, 2}
+    assert review_log.read_late(spark, str(tmp_path / "state")).count() == 0
     late = review_log.late_events(all_events, delay_days=0.15)
     assert {r.event_id for r in late.collect()} == {1, 2}
 
 
+def test_stream_splits_late_rows_and_rewrites_only_touched_buckets(spark, tmp_path):
+    """Kept, repeated and late rows are all rows; a batch that is run again changes nothing."""
+    folder, src = str(tmp_path / "state"), tmp_path / "in"
+    batches = [[(1, 10, "A", "status_update", "approved", "r", None), (2, 11, "B", "geometry_edit", None, "r", None)],
+               [(1, 10, "A", "status_update", "approved", "r", None), (3, 30, "A", "status_update", "rejected", "r", None),
+                (3, 30, "A", "status_update", "rejected", "r", None)],
+               [(4, 27, "C", "status_update", "approved", "r", None), (5, 31, "D", "geometry_edit", None, "r", None),
+                (1, 10, "A", "status_update", "approved", "r", None), (3, 30, "A", "status_update", "rejected", "r", None)]]
+    calls = []
+    for i, rows in enumerate(batches):
+        events(spark, rows).coalesce(1).write.parquet(f"{src}/f={i}")
+        stream = spark.readStream.schema(events(spark, rows).schema).parquet(f"{src}/f=*")
+        review_log.run_fold(stream, folder, str(tmp_path / "ck"), delay="2 hours", buckets=4,
+                            after=lambda s, ids, b: calls.append((b, {r[0] for r in ids.collect()}, s.count()))).awaitTermination()
+    assert calls == [(0, {"A", "B"}, 2), (1, {"A"}, 2), (2, {"D"}, 3)]
+    late = sorted((r["event_id"], r["b"]) for r in review_log.read_late(spark, folder).collect())
+    assert late == [(1, 2), (4, 2)]
+    kept = events(spark, [batches[0][0], batches[0][1], batches[1][1], batches[2][1]])
+    want = sorted(map(str, review.review_state(kept).collect()))
+    assert sorted(map(str, review_log.read_state(spark, folder).collect())) == want
+    record = review_log._record(spark, folder)
+    assert record["version"] == 2 and len(set(record["buckets"].values())) > 1 and set(record["recent"]) == {1, 2}
+    # the last batch once more, from the record before it
+    before = review_log._record(spark, folder, before=2)
+    assert before["version"] == 1 and set(before["recent"]) == {1}
+
+
 def test_apply_state_restores_shape(spark):
     f = spark.createDataFrame(
         [("A", "unverified", "edited", "orig"), ("B", "unverified", "orig", "orig"), ("C", "rejected", "x", "x")],
