@@ -61,7 +61,7 @@ def mask_components(spark, sf_dir) -> DataFrame:
 
 def zonal_mean(spark, sf_dir) -> DataFrame:
     green = _green(spark, sf_dir)
-    z = C.zonal(C.label_pixels(green), green, "exg")
+    z = C.zonal_runs(C.label_runs(green, value="exg"))
     return z.select(
         F.shiftright("component", 31).alias("first_row"),
         (F.col("component") % (1 << 31)).alias("first_col"), "pixels",

@@ -1,41 +1,87 @@
 """Connected regions of a mask, their outlines and per-region figures.
 
-Pixels become runs inside bounded column blocks; runs that touch (next row, or the same row across a
-block border) are linked; links are contracted round by round until every region has one label.
+Runs of pixels are found and joined inside square blocks, each block in one task's memory; only regions
+that touch a block's border are linked to their neighbours, and that small graph is contracted round by round.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from groundcheck.lineage import cut_lineage
 
-BLOCK = 4096
+BLOCK = 512
 
 
-def mask_runs(mask: DataFrame, by: tuple[str, ...] = (), block: int = BLOCK) -> DataFrame:
-    """Horizontal runs of foreground: ``prow, c0, c1`` and a sortable ``run`` id (row, then column)."""
-    keys = [*by, "prow", "blk"]
+def _joined(u: np.ndarray, v: np.ndarray, count: int) -> np.ndarray:
+    """The smallest node that each of ``count`` nodes reaches over the links ``u, v``."""
+    parent = np.arange(count)
+    while True:
+        a, b = parent[u], parent[v]
+        apart = a != b
+        if not apart.any():
+            return parent
+        np.minimum.at(parent, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+
+
+def block_runs(
+    mask: DataFrame, by: tuple[str, ...] = (), block: int = BLOCK, value: str | None = None,
+) -> DataFrame:
+    """Horizontal runs of foreground inside blocks: ``prow, c0, c1, local``, and with ``value`` its ``total`` and ``held``.
+
+    ``local`` names the run's region inside its block by the first run (top row, then leftmost) as a sortable
+    number.  A block of ``block`` x ``block`` pixels is one group, so no group grows with the raster.
+    """
+    types = {f.name: f.dataType.simpleString() for f in mask.schema}
+    names = [*by, "prow", "c0", "c1", "local", *(("total", "held") if value else ())]
+    schema = ", ".join([*[f"`{k}` {types[k]}" for k in by], "prow long", "c0 long", "c1 long", "local long",
+                        *(["total double", "held long"] if value else [])])
+
+    def one_block(pdf: pd.DataFrame) -> pd.DataFrame:
+        row, col = pdf["prow"].to_numpy(np.int64), pdf["pcol"].to_numpy(np.int64)
+        order = np.lexsort((col, row))
+        row, col = row[order], col[order]
+        first = np.flatnonzero(np.concatenate([[True], (np.diff(row) != 0) | (np.diff(col) != 1)]))
+        last = np.concatenate([first[1:], [len(row)]]) - 1
+        r, c0, c1 = row[first], col[first], col[last]
+        # runs of the next row that share a column
+        wide = int(col.max()) + 2
+        low = np.searchsorted(r * wide + c1, (r + 1) * wide + c0)
+        high = np.maximum(np.searchsorted(r * wide + c0, (r + 1) * wide + c1, "right"), low)
+        up = np.repeat(np.arange(len(r)), high - low)
+        down = np.arange(len(up)) - np.repeat(np.cumsum(high - low) - (high - low), high - low) + np.repeat(low, high - low)
+        top = _joined(up, down, len(r))
+        out = {**{k: pdf[k].iloc[0] for k in by}, "prow": r, "c0": c0, "c1": c1, "local": (r[top] << 31) + c0[top]}
+        if value:
+            v = pdf[value].to_numpy(np.float64, na_value=np.nan)[order]
+            known = ~np.isnan(v)
+            out["total"] = np.add.reduceat(np.where(known, v, 0.0), first)
+            out["held"] = np.add.reduceat(known.astype(np.int64), first)
+        return pd.DataFrame(out)[names]
+
     on = mask.filter(F.col("v") > 0).select(
-        *by, "prow", "pcol", F.floor(F.col("pcol") / block).alias("blk"))
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy("pcol"))
-    runs = on.withColumn("grp", F.col("pcol") - place).groupBy(*keys, "grp").agg(
-        F.min("pcol").alias("c0"), F.max("pcol").alias("c1")).drop("grp")
-    return runs.withColumn("run", F.shiftleft(F.col("prow").cast("bigint"), 31) + F.col("c0"))
-
-
-def _links(runs: DataFrame, by: tuple[str, ...]) -> DataFrame:
-    """Pairs of touching runs (4-connected)."""
-    up = runs.select(*by, "prow", "blk", F.col("c0").alias("a0"), F.col("c1").alias("a1"),
-                     F.col("run").alias("src"))
-    down = runs.select(*by, (F.col("prow") - 1).alias("prow"), "blk", F.col("c0").alias("b0"),
-                       F.col("c1").alias("b1"), F.col("run").alias("dst"))
-    vertical = up.join(down, [*by, "prow", "blk"]).filter(
-        (F.col("a0") <= F.col("b1")) & (F.col("b0") <= F.col("a1")))
-    ends = runs.select(*by, "prow", F.col("c1").alias("edge"), F.col("run").alias("src"))
-    starts = runs.select(*by, "prow", (F.col("c0") - 1).alias("edge"), F.col("run").alias("dst"))
-    sideways = ends.join(starts, [*by, "prow", "edge"])
-    return vertical.select(*by, "src", "dst").unionByName(sideways.select(*by, "src", "dst"))
+        *by, "prow", "pcol", *([value] if value else []), F.floor(F.col("prow") / block).alias("_br"),
+        F.floor(F.col("pcol") / block).alias("_bc"))
+    return on.groupBy(*by, "_br", "_bc").applyInPandas(one_block, schema)
+
+
+def _border_links(runs: DataFrame, by: tuple[str, ...], block: int) -> DataFrame:
+    """Pairs of block regions that touch across a border (4-connected)."""
+    bottom = runs.filter((F.col("prow") + 1) % block == 0).select(
+        *by, (F.col("prow") + 1).alias("prow"), F.floor(F.col("c0") / block).alias("bc"), F.col("c0").alias("a0"),
+        F.col("c1").alias("a1"), F.col("local").alias("src"))
+    top = runs.filter(F.col("prow") % block == 0).select(
+        *by, "prow", F.floor(F.col("c0") / block).alias("bc"), F.col("c0").alias("b0"), F.col("c1").alias("b1"),
+        F.col("local").alias("dst"))
+    vertical = bottom.join(top, [*by, "prow", "bc"]).filter((F.col("a0") <= F.col("b1")) & (F.col("b0") <= F.col("a1")))
+    right = runs.filter((F.col("c1") + 1) % block == 0).select(*by, "prow", (F.col("c1") + 1).alias("at"), F.col("local").alias("src"))
+    left = runs.filter(F.col("c0") % block == 0).select(*by, "prow", F.col("c0").alias("at"), F.col("local").alias("dst"))
+    sideways = right.join(left, [*by, "prow", "at"])
+    return vertical.select(*by, "src", "dst").unionByName(sideways.select(*by, "src", "dst")).distinct()
 
 
 def contract(links: DataFrame, by: tuple[str, ...] = ()) -> DataFrame | None:
@@ -74,17 +120,22 @@ def contract(links: DataFrame, by: tuple[str, ...] = ()) -> DataFrame | None:
     return labels
 
 
-def label_runs(mask: DataFrame, by: tuple[str, ...] = (), block: int = BLOCK) -> DataFrame:
-    """Runs with the region they belong to: ``prow, c0, c1, component``.
+def label_runs(
+    mask: DataFrame, by: tuple[str, ...] = (), block: int = BLOCK, value: str | None = None,
+) -> DataFrame:
+    """Runs with the region they belong to: ``prow, c0, c1, component``, and with ``value`` its ``total`` and ``held``.
 
-    ``component`` is the region's first run (top row, then leftmost), as a sortable number.
+    ``component`` is the region's first run (top row, then leftmost), as a sortable number.  Runs end at the
+    borders of blocks.  With ``value`` (a column of ``mask``) each run has its sum and the count of pixels that have one.
     """
-    runs = cut_lineage(mask_runs(mask, by, block))
-    labels = contract(_links(runs, by), by)
+    runs = cut_lineage(block_runs(mask, by, block, value))
+    labels = contract(_border_links(runs, by, block), by)
+    kept = [*by, "prow", "c0", "c1", *(("total", "held") if value else ())]
     if labels is None:
-        return runs.select(*by, "prow", "c0", "c1", F.col("run").alias("component"))
-    return runs.join(labels.withColumnRenamed("node", "run"), [*by, "run"], "left").select(
-        *by, "prow", "c0", "c1", F.coalesce("label", "run").alias("component"))
+        return runs.select(*kept, F.col("local").alias("component"))
+    # a region has a label per block it touches at most, so no key holds more runs than a block
+    return runs.join(labels.withColumnRenamed("node", "local"), [*by, "local"], "left").select(
+        *kept, F.coalesce("label", "local").alias("component"))
 
 
 def label_pixels(mask: DataFrame, by: tuple[str, ...] = (), block: int = BLOCK) -> DataFrame:
@@ -107,6 +158,19 @@ def zonal(
     return df
 
 
+def zonal_runs(
+    runs: DataFrame, by: tuple[str, ...] = (), places: int = 3, fallback: float | None = None,
+) -> DataFrame:
+    """As :func:`zonal`, from the sums that :func:`label_runs` keeps per run; they are combined before the shuffle."""
+    df = runs.groupBy(*by, "component").agg(
+        F.sum(F.col("c1") - F.col("c0") + 1).alias("pixels"),
+        F.when(F.sum("held") > 0, F.sum("total") / F.sum("held")).alias("mean"))
+    if fallback is not None:
+        ok = F.coalesce(F.when(~F.isnan("mean"), F.col("mean")), F.lit(fallback))
+        df = df.withColumn("mean", F.bround(F.greatest(F.lit(0.0), F.least(F.lit(1.0), ok)), places))
+    return df
+
+
 def outline(runs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Straight outline pieces of every region in pixel corners: ``component, x1, y1, x2, y2``.
 

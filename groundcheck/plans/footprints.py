@@ -75,14 +75,14 @@ def regions_to_features(
     ``place(x, y)`` maps pixel corners into a metric plane.  Regions below ``min_area`` square metres
     are left out and only counted in ``summary``.
     """
-    runs = cut_lineage(C.label_runs(mask))
+    if values is not None:  # each pixel's value goes into its run's sum
+        mask = mask.select("prow", "pcol", "v").join(values.select("prow", "pcol", value), ["prow", "pcol"], "left")
+    runs = cut_lineage(C.label_runs(mask, value=None if values is None else value))
     pieces = C.outline(runs)
     area = C.outline_area(pieces, place, origin)
     kept = cut_lineage(area.filter(F.col("area_sqm") >= min_area))
     if values is not None:
-        labels = runs.select("prow", F.explode(F.sequence("c0", "c1")).alias("pcol"), "component")
-        figures = C.zonal(labels, values, value, places=places, fallback=fallback)
-        kept = kept.join(figures, "component")
+        kept = kept.join(C.zonal_runs(runs, places=places, fallback=fallback), "component")
     features = C.numbered(kept, prefix, digits).withColumn(
         "area_sqm", F.bround("area_sqm", area_places))
     summary = area.agg(

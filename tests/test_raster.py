@@ -75,6 +75,28 @@ def test_components_equal_flood_fill(spark):
     assert order == [f"X-{i + 1:03d}" for i in range(len(order))]
 
 
+def test_one_region_over_most_of_a_wide_raster(spark):
+    """A comb over many blocks is one region; its runs carry the sums of their pixels."""
+    a = np.zeros((9, 600), int)
+    a[4, :] = 1
+    a[:, ::3] = 1
+    a[4, 300] = 0
+    a[:4, 300] = 0
+    a[8, 298:303] = 1
+    mask = table(spark, a).withColumn("p", F.when(F.col("pcol") % 2 == 0, F.col("pcol") / 600.0))
+    runs = C.label_runs(mask, block=4, value="p").cache()
+    want = flood(a)
+    seen = np.zeros_like(a)
+    for r in runs.collect():
+        seen[r.prow, r.c0:r.c1 + 1] = r.component + 1
+    assert len(set(map(tuple, zip(seen.ravel(), want.ravel())))) == len(set(want.ravel()))
+    big = C.zonal_runs(runs).orderBy(F.desc("pixels")).first()
+    inside = want == np.bincount(want[want > 0]).argmax()
+    even = [c / 600 for c in np.nonzero(inside)[1] if c % 2 == 0]
+    assert big.pixels == inside.sum() > 2000 and big["mean"] == pytest.approx(np.mean(even))
+    assert C.label_runs(mask.filter("v > 5"), block=4).count() == 0
+
+
 def test_outline_with_hole(spark):
     a = np.ones((6, 7), int)
     a[2:4, 2:5] = 0
