@@ -63,6 +63,17 @@ select concat('R-', cast(s_suppkey as string)) as feature_id, s_suppkey as ord,
   cast(null as double) as confidence, 'unverified' as review_status
 from {supplier}"""
 
+#: Parts of roads of every geometry type: points, lines along x, and boxes.
+ROAD_PARTS = """
+select k, j, kind, x0, y0,
+  case when kind in ('Point', 'MultiPoint') then x0 else x0 + 30000 end as x1,
+  case when kind in ('Polygon', 'MultiPolygon') then y0 + 100 else y0 end as y1
+from (select s_suppkey as k, j, (s_suppkey % 5)*10000 + j*45000 as x0, s_suppkey*1200 + 2700 + j*150 as y0,
+  case s_suppkey % 6 when 0 then 'MultiLineString' when 1 then 'MultiPoint' when 2 then 'LineString' when 3 then 'Point'
+    when 4 then 'MultiPolygon' else 'Polygon' end as kind
+  from (select s_suppkey, 0 as j from {supplier} union all select s_suppkey, 1 from {supplier}) s) p
+where j = 0 or kind in ('MultiLineString', 'MultiPoint', 'MultiPolygon')"""
+
 PIXELS = """
 select event_id as id, cast(floor(event_id/100) as bigint) as prow, event_id % 100 as pcol,
   case when b = 0 or event_id % 97 = 0 then 20 else 100 + (event_id*31) % 30 end as r,

@@ -130,6 +130,26 @@ def road_overlaps(spark, sf_dir) -> DataFrame:
         F.round("exceed_ratio", 6).alias("exceed_ratio"))
 
 
+def road_types(spark, sf_dir) -> DataFrame:
+    """Buildings against roads given as points, lines, polygons and their multi types."""
+    at = lambda x, y: F.format_string("[%d,%d]", F.col(x), F.col(y))
+    join = lambda *c: F.concat(F.lit("["), F.concat_ws(",", *c), F.lit("]"))
+    corner = {c: at(*c) for c in (("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1"))}
+    box = join(join(*corner.values(), corner["x0", "y0"]))
+    kind = F.col("kind")
+    part = F.when(kind.endswith("Point"), corner["x0", "y0"]).when(
+        kind.endswith("LineString"), join(corner["x0", "y0"], corner["x1", "y0"])).otherwise(box)
+    roads = L.run(spark, sf_dir, L.ROAD_PARTS).withColumn("part", part).groupBy("k", "kind").agg(
+        F.array_sort(F.collect_list("part")).alias("parts"))
+    roads = roads.select(
+        F.col("k").alias("ord"), F.concat(F.lit("R-"), F.col("k").cast("string")).alias("feature_id"),
+        F.lit(V.REFERENCE_SOURCE).alias("source"), kind.alias("geom_type"),
+        F.when(kind.startswith("Multi"), join("parts")).otherwise(F.col("parts")[0]).alias("coords_json"))
+    roads = cut_lineage(shape_table(geometry.add_shape(roads)))
+    w = topology.road_warnings(_buildings(spark, sf_dir), topology.with_validity(roads, large=False), 7, centre=False, **KW)
+    return w.select("warning_id", F.round("measured_value", 6).alias("overlap_area_m2"))
+
+
 def parcel_crossings(spark, sf_dir) -> DataFrame:
     w = topology.crossing_warnings(
         _buildings(spark, sf_dir), L.boxes(spark, sf_dir, L.PARCELS), 10, **KW)
@@ -524,6 +544,9 @@ select warning_id, round(v, 6) as overlap_area_m2, {_SEV.format("v")} as severit
     "road_overlaps": (road_overlaps, f"""{_CTE}, o as ({_ROAD})
 select warning_id, round(v, 6) as overlap_area_m2, 'low' as severity,
   'project_vaayu_sample' as source, 1.0e0 as exceed_ratio from o"""),
+    "road_types": (road_types, f"""with b as ({_B}), q as ({L.duck(L.ROAD_PARTS)})
+select concat('W-RD-OVERLAP-', l.feature_id, '-R-', q.k) as warning_id, round(sum({_AREA}), 6) as overlap_area_m2
+from b l join q on {_HIT} group by l.feature_id, q.k"""),
     "parcel_crossings": (parcel_crossings, f"""{_CTE}, o as ({_CRB})
 select warning_id, round(v, 6) as outside_area_m2, {_SEV.format("v/0.5")} as severity,
   round(v - 0.5, 6) as exceed_m2, source, round(cx, 3) as cx, round(cy, 3) as cy

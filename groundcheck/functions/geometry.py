@@ -16,7 +16,9 @@ CASE {t}
  WHEN 'Polygon' THEN array(from_json({c}, 'array<array<array<double>>>'))
  WHEN 'MultiPolygon' THEN from_json({c}, 'array<array<array<array<double>>>>')
  WHEN 'LineString' THEN array(array(from_json({c}, 'array<array<double>>')))
+ WHEN 'MultiLineString' THEN transform(from_json({c}, 'array<array<array<double>>>'), line -> array(line))
  WHEN 'Point' THEN array(array(array(from_json({c}, 'array<double>'))))
+ WHEN 'MultiPoint' THEN transform(from_json({c}, 'array<array<double>>'), point -> array(array(point)))
 END
 """
 
@@ -156,10 +158,14 @@ def add_shape(
 
     ``convert`` maps a point array into the metric plane (for instance
     ``lambda ps: crs.utm_forward_points(ps, 43)``); without it coordinates are already metric.
+
+    Every GeoJSON type with coordinates can be read; each line or point of a multi type is a part.  A
+    GeometryCollection has no coordinates of its own and counts as empty; a type that GeoJSON does not have,
+    or text that is not of the declared type, as corrupt.
     """
     areal = F.coalesce(F.col(geom_type).isin("Polygon", "MultiPolygon"), F.lit(False))
     text = F.trim(F.coalesce(F.col(coords), F.lit("")))
-    empty = F.col(geom_type).isNull() | text.isin("", "[]", "null")
+    empty = F.col(geom_type).isNull() | (F.col(geom_type) == "GeometryCollection") | text.isin("", "[]", "null")
     staged = df.withColumn("_rings", F.when(~empty, parse_rings(geom_type, coords)))
     if convert is not None:
         staged = staged.withColumn("_rings", map_points(F.col("_rings"), convert))
@@ -185,7 +191,7 @@ def _sound_rings(rings: Column, geom_type: Column) -> Column:
         n = F.size(ring)
         polygon = (n >= 4) | ((n == 3) & ~_is_closed(ring))
         return F.when(geom_type.isin("Polygon", "MultiPolygon"), polygon).when(
-            geom_type == "LineString", n >= 2).otherwise(n == 1)
+            geom_type.isin("LineString", "MultiLineString"), n >= 2).otherwise(n == 1)
 
     def ring_ok(ring):
         points = F.forall(ring, lambda p: finite(p["x"]) & finite(p["y"]))

@@ -141,6 +141,22 @@ def test_grid_join_equals_brute_force(spark, monkeypatch, block):
     assert len(got) == len(set(got)) and set(got) == brute(a, a, True)
 
 
+def test_every_geometry_type_is_read(spark):
+    rows = [("MultiLineString", [[[0, 0], [4, 0]], [[0, 5], [4, 5]]]), ("MultiPoint", [[1, 1], [8, 8]]), ("Point", [2, 2]),
+            ("LineString", [[0, 3], [9, 3]]), ("MultiPolygon", [box(0, 0, 1, 1)[1], box(7, 7, 9, 9)[1]]), box(0, 0, 3, 3),
+            ("GeometryCollection", None), ("Circle", [1, 1]), ("MultiLineString", [[[0, 0]]]), ("MultiPoint", [[[1, 1]]]),
+            ("MultiPoint", [])]
+    s = shapes(spark, rows)
+    flags = {r.ord: (r.empty, r.corrupt, len(r.edges)) for r in s.collect()}
+    assert [flags[i] for i in range(6)] == [(False, False, n) for n in (2, 2, 1, 1, 8, 4)]
+    assert flags[6][:2] == (True, False) and flags[10][:2] == (True, False)
+    assert all(flags[i] == (False, True, 0) for i in (7, 8, 9))
+    pairs = [(5, i) for i in range(5)] + [(4, 1), (0, 3)]
+    got = measures(spark, rows, pairs)
+    assert all(got[p].meets for p in pairs[:-1]) and ((0, 3) not in got or not got[(0, 3)].meets)
+    assert got[(5, 4)].area == pytest.approx(1.0) and got[(5, 0)].area == 0 and got[(5, 1)].area == 0
+
+
 def test_nearest_equals_brute_force(spark):
     r = random.Random(5)
     left = [box(x := r.randint(0, 90), y := r.randint(0, 90), x + 2, y + 2) for _ in range(25)]
