@@ -278,8 +278,7 @@ def patch_flags(spark, sf_dir) -> DataFrame:
 
 
 def patch_sample(spark, sf_dir) -> DataFrame:
-    return P.sample_patches(_patches(spark, sf_dir)).groupBy("positive").agg(
-        F.count(F.lit(1)).alias("n"))
+    return P.sample_patches(_patches(spark, sf_dir)).select("y0", "x0", "positive")
 
 
 def class_balance(spark, sf_dir) -> DataFrame:
@@ -490,8 +489,10 @@ xs as (select unnest(range(0, 97, 4)) as x0),
 f as (select y0, x0, max(v) > 0 as positive from m0
 join ys on y0 <= prow and prow < y0+4 join xs on x0 <= pcol and pcol < x0+4
 group by y0, x0 having max(alpha) > 0),
-k as (select count(*) filter (positive) as np, count(*) filter (not positive) as nn from f)
-select true as positive, np as n from k union all select false, least(nn, greatest(12, np)) from k"""),
+k as (select *, row_number() over (partition by positive order by
+  cast('0x' || substr(md5(concat('26012:', y0, ':', x0)), 1, 15) as bigint), y0, x0) as rn,
+  count(*) filter (positive) over () as np from f)
+select cast(y0 as integer) as y0, cast(x0 as integer) as x0, positive from k where positive or rn <= greatest(12, np)"""),
     "class_balance": (class_balance, f"""with {_EXG},
 k as (select greatest(1, count(*) filter (alpha > 0 and v = 1)) as positive,
   count(*) filter (alpha > 0) as n from m0)

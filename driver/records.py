@@ -13,7 +13,7 @@ from groundcheck.lineage import checkpoint_folder, cut_lineage
 from groundcheck.operators import topology
 from groundcheck.operators.polygons import shape_table
 from groundcheck.plans import review
-from groundcheck.sources import catalog, geojson, imagery, normalize as N
+from groundcheck.sources import catalog, geojson, imagery, normalize as N, snapshots
 from groundcheck.streaming import review_log
 
 # ---- raw features from customers ---------------------------------------------------------------
@@ -295,6 +295,42 @@ def changed_features(spark, sf_dir) -> DataFrame:
     return review.changed_features(f).groupBy("layer").agg(F.count(F.lit(1)).alias("n"))
 
 
+def state_snapshot(spark, sf_dir) -> DataFrame:
+    """State saved twice (the second try of a commit adds nothing), restored over freshly loaded layers."""
+    loaded = _layered(spark, sf_dir).withColumns({
+        "notes": F.lit(""), "coords_json": F.col("x0").cast("string"), "original_coords_json": F.col("x0").cast("string")})
+    k = F.col("ord")
+    edited = loaded.withColumns({
+        "review_status": F.when(k % 13 == 0, "under_review").otherwise(F.col("review_status")),
+        "notes": F.when(k % 17 == 0, "checked").otherwise(""),
+        "coords_json": F.when(k % 19 == 0, "moved").otherwise(F.col("coords_json"))})
+    drafts = edited.filter("layer = 'buildings' and ord % 100 = 1").withColumns({
+        "layer": F.lit("drafts"), "feature_id": F.concat(F.lit("D"), k.cast("string"))})
+    folder = f"{checkpoint_folder(spark)}/state-{uuid.uuid4().hex}"
+    meta = {"source_mode": "model", "provider_id": "whu", "run_id": "run-1"}
+    snapshots.publish_state(edited, folder, "first", None)
+    for _ in range(2):
+        snapshots.publish_state(edited.unionByName(drafts), folder, "second", meta)
+    both = snapshots.restore_state(loaded, folder).withColumn("version", F.lit(2)).unionByName(
+        snapshots.restore_state(loaded, folder, 1).withColumn("version", F.lit(1)))
+    return both.groupBy("version", "layer").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("review_status") == "under_review").alias("n_review"),
+        F.count_if(F.col("notes") != "").alias("n_notes"), F.count_if(F.col("coords_json") == "moved").alias("n_moved"))
+
+
+def run_records(spark, sf_dir) -> DataFrame:
+    """Records of runs, one of them written again, read one by one."""
+    o = L.table(spark, sf_dir, "nation").select(
+        F.concat(F.lit("p"), (F.col("n_regionkey")).cast("string")).alias("project_id"),
+        F.concat(F.lit("run-"), F.col("n_nationkey").cast("string")).alias("run_id"), F.col("n_name").alias("name"))
+    folder = f"{checkpoint_folder(spark)}/records-{uuid.uuid4().hex}"
+    snapshots.write_run_record(o, folder)
+    snapshots.write_run_record(o.filter("run_id = 'run-3'").withColumn("name", F.lit("again")), folder)
+    wanted = o.filter("run_id in ('run-3', 'run-7')").select("project_id", "run_id").orderBy("run_id").collect()
+    read = [snapshots.read_run_record(spark, folder, *w) for w in wanted]
+    return read[0].unionByName(read[1])
+
+
 # ---- catalogs ----------------------------------------------------------------------------------
 def run_latest(spark, sf_dir) -> DataFrame:
     o = L.table(spark, sf_dir, "orders").select(
@@ -583,6 +619,19 @@ from b left join s using (feature_id)"""),
     "changed_features": (changed_features, f"""with f as ({_LAYERED})
 select layer, count(*) as n from f where layer <> 'ai_predictions'
   and (review_status <> 'unverified' or ord % 13 = 0 or ord % 17 = 0) group by layer"""),
+    "state_snapshot": (state_snapshot, f"""with f as ({_LAYERED}),
+e as (select layer, feature_id, ord, case when ord % 13 = 0 then 'under_review' else review_status end as s,
+  ord % 17 = 0 as noted, ord % 19 = 0 as moved, review_status as own from f),
+v as (select unnest([1, 2]) as version),
+r as (select version, layer, s, noted, moved from e, v where layer <> 'ai_predictions'
+  union all select version, layer, case when version = 2 then s else own end, version = 2 and noted, version = 2 and moved
+    from e, v where layer = 'ai_predictions'
+  union all select 2, 'ai_whu_predictions', s, noted, moved from e where layer = 'ai_predictions'
+  union all select 2, 'drafts', s, noted, moved from e where layer = 'buildings' and ord % 100 = 1)
+select cast(version as integer) as version, layer, count(*) as n, count(*) filter (s = 'under_review') as n_review,
+  count(*) filter (noted) as n_notes, count(*) filter (moved) as n_moved from r group by version, layer"""),
+    "run_records": (run_records, """select concat('p', n_regionkey) as project_id, concat('run-', n_nationkey) as run_id,
+  case when n_nationkey = 3 then 'again' else n_name end as name from nation where n_nationkey in (3, 7)"""),
     "run_latest": (run_latest, """with o as (select concat('p', o_custkey % 20) as provider_id,
   case when o_orderkey % 9 = 0 then 'run-x' else concat('run-', o_orderkey) end as run_id,
   case when o_orderkey % 9 = 0 then -1 else o_orderkey end as no, o_orderkey % 5 as tile_count,

@@ -3,18 +3,29 @@
 Greedy matching is a sequence: take the best pair left, drop its two members, repeat.  The same result
 comes from rounds in which every pair that is best for both its members is taken at once, because no
 later choice can affect such a pair.  A round is aggregations and joins, so a member with very many
-candidates is combined before the shuffle.
+candidates is combined before the shuffle.  A few rounds settle nearly all pairs; what is left is cut into
+components of the candidate graph, and each small one is solved whole in one task, so that a long chain of
+candidates costs no round per link.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from groundcheck.functions import geometry
 from groundcheck.lineage import cut_lineage
+from groundcheck.operators.components import contract
 from groundcheck.operators.gridjoin import grid_pairs
 from groundcheck.operators.polygons import pair_measures
 
+#: Rounds before components are looked for, and again after as many.
+ROUNDS = 3
+#: Candidates of a component that one task solves; larger ones go on in rounds.
+SMALL = 20_000
+
 
 def iou_candidates(
     predictions: DataFrame, references: DataFrame, threshold: float, large: bool | None = None,
@@ -35,35 +46,70 @@ def iou_candidates(
         "a_ord", "b_ord", "a_id", "b_id", "iou")
 
 
-def _rounds(candidates: DataFrame, a: str, b: str, rank_a: Column, rank_b: Column) -> DataFrame:
-    """Take mutual first choices until no candidate is left."""
-    schema = candidates.schema
+def _solved(small: DataFrame, a: str, b: str, order: list[tuple[str, bool]]) -> DataFrame:
+    """The greedy choice inside components of a bounded size; ``order`` is the sequence of candidates."""
+    names = [c for c in small.columns if c != "_label"]
+
+    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([c for c, _ in order], ascending=[up for _, up in order], kind="stable")
+        used_a, used_b, kept = set(), set(), []
+        for i, (x, y) in enumerate(zip(pdf[a], pdf[b])):
+            if x not in used_a and y not in used_b:
+                used_a.add(x)
+                used_b.add(y)
+                kept.append(i)
+        return pdf.iloc[kept][names]
+
+    return small.groupBy("_label").applyInPandas(greedy, small.drop("_label").schema)
+
+
+def _one_to_one(
+    candidates: DataFrame, a: str, b: str, rank_a: Column, rank_b: Column, order: list[tuple[str, bool]],
+) -> DataFrame:
+    """Mutual first choices in rounds; after ``ROUNDS`` of them small components are solved whole.
+
+    ``rank_a``/``rank_b`` order the candidates of one member, ``order`` all candidates; all three say the same.
+    """
+    names = candidates.columns
     left = cut_lineage(candidates)
-    taken: DataFrame | None = None
+    taken = [left.limit(0)]
+    turn = 0
     while not left.isEmpty():
+        if turn and turn % ROUNDS == 0:
+            ends = {side: F.concat(F.lit(side), F.col(c).cast("string")) for side, c in (("a", a), ("b", b))}
+            labels = contract(left.select(ends["a"].alias("src"), ends["b"].alias("dst")))
+            marked = left.withColumn("node", ends["a"]).join(
+                labels.withColumnRenamed("label", "_label"), "node").drop("node")
+            sizes = marked.groupBy("_label").agg(F.count(F.lit(1)).alias("_n"))
+            sized = cut_lineage(marked.join(sizes, "_label"))
+            taken.append(cut_lineage(_solved(sized.filter(F.col("_n") <= SMALL).drop("_n"), a, b, order).select(*names)))
+            left = cut_lineage(sized.filter(F.col("_n") > SMALL).select(*names))
+            if left.isEmpty():
+                break
         first_a = left.groupBy(a).agg(F.min_by(F.col(b), rank_a).alias("_choice"))
         first_b = left.groupBy(b).agg(F.min_by(F.col(a), rank_b).alias("_back"))
         agreed = first_a.join(first_b, F.col("_choice") == F.col(b)).filter(
             F.col("_back") == F.col(a)).select(a, b)
-        won = cut_lineage(left.join(agreed, [a, b]).select(*schema.names))
-        taken = won if taken is None else taken.unionByName(won)
+        won = cut_lineage(left.join(agreed, [a, b]).select(*names))
+        taken.append(won)
         left = cut_lineage(
-            left.join(won.select(a), a, "left_anti").join(won.select(b), b, "left_anti")
-            .select(*schema.names))
-    return left.limit(0) if taken is None else taken
+            left.join(won.select(a), a, "left_anti").join(won.select(b), b, "left_anti").select(*names))
+        turn += 1
+    return reduce(DataFrame.unionByName, taken)
 
 
 def match_best_first(candidates: DataFrame, a: str = "a_id", b: str = "b_id") -> DataFrame:
     """Greedy by descending overlap; equal overlaps go by prediction, then reference."""
     rank = F.struct(-F.col("iou"), F.col(a), F.col(b))
-    return _rounds(candidates, a, b, rank, rank)
+    return _one_to_one(candidates, a, b, rank, rank, [("iou", False), (a, True), (b, True)])
 
 
 def match_in_order(candidates: DataFrame) -> DataFrame:
     """Predictions in list order, each taking its best free reference (the first at ties)."""
-    return _rounds(
+    return _one_to_one(
         candidates.filter(F.col("iou") > 0), "a_ord", "b_ord",
-        F.struct(-F.col("iou"), F.col("b_ord")), F.struct(F.col("a_ord")))
+        F.struct(-F.col("iou"), F.col("b_ord")), F.struct(F.col("a_ord")),
+        [("a_ord", True), ("iou", False), ("b_ord", True)])
 
 
 def unmatched(layer: DataFrame, matched_ids: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from groundcheck import fixed_values as V
+from groundcheck.operators.selection import first_n, seeded_key
 from groundcheck.operators.tiles import pixels_to_tiles
 
 
@@ -150,8 +151,7 @@ def sample_patches(patches: DataFrame, seed: int = 26012, floor: int = 12) -> Da
     n = patches.filter("positive").count()
     if n == 0:
         raise ValueError("no label pixel falls on valid imagery")
-    chosen = patches.filter(~F.col("positive")).orderBy(
-        F.xxhash64(F.lit(seed), "y0", "x0"), "y0", "x0").limit(max(floor, n))
+    chosen = first_n(patches.filter(~F.col("positive")), max(floor, n), seeded_key(seed, "y0", "x0"), ("y0", "x0"))
     return patches.filter("positive").unionByName(chosen)
 
 

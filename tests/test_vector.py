@@ -204,6 +204,46 @@ def test_nearest_of_far_clusters_measures_few_pairs(spark):
     assert kept[8] <= 16 * 65 and kept[16] <= 8 * kept[8] and kept[16] < 257 * 257 / 8
 
 
+def test_a_long_chain_of_candidates_takes_few_rounds(spark, monkeypatch):
+    """Each pair of a chain waits for the one before it; components are solved whole instead."""
+    rows = [(i // 2, (i + 1) // 2, f"A{i // 2:03d}", f"B{(i + 1) // 2:03d}", 0.4 + i / 1000) for i in range(200)]
+    chain = spark.createDataFrame(rows, "a_ord long, b_ord long, a_id string, b_id string, iou double")
+    steps = []
+    plain = matching.cut_lineage
+    monkeypatch.setattr(matching, "cut_lineage", lambda df: (steps.append(1), plain(df))[1])
+
+    def greedy(order, a, b):
+        used, out = set(), set()
+        for r in sorted(rows, key=order):
+            if r[a] not in used and r[b] not in used:
+                used |= {r[a], r[b]}
+                out.add(r[2:4])
+        return out
+
+    got = {(r.a_id, r.b_id) for r in matching.match_best_first(chain).collect()}
+    assert got == greedy(lambda r: (-r[4], r[2], r[3]), 2, 3) and len(steps) <= 12
+    got = {(r.a_id, r.b_id) for r in matching.match_in_order(chain).collect()}
+    used, want = set(), set()
+    for r in sorted(rows, key=lambda r: (r[0], -r[4], r[1])):
+        if ("a", r[0]) not in used and ("b", r[1]) not in used:
+            used |= {("a", r[0]), ("b", r[1])}
+            want.add(r[2:4])
+    assert got == want
+
+
+def test_smallest_keys_by_histogram(spark):
+    from groundcheck.operators import selection
+
+    r = random.Random(3)
+    keys = [r.choice([r.randrange(2**60), r.randrange(50)]) for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(keys)), "i int, k long")
+    for n in (0, 1, 37, 399, 400, 500):
+        got = {x.i for x in selection.first_n(df, n, F.col("k"), ("i",)).collect()}
+        assert got == {i for i, _ in sorted(enumerate(keys), key=lambda p: (p[1], p[0]))[:n]}
+    key = df.select(selection.seeded_key(7, "i").alias("h")).collect()
+    assert len({x.h for x in key}) == 400 and all(0 <= x.h < 2**60 for x in key)
+
+
 def test_matching_rounds_equal_greedy(spark):
     for seed in (1, 2):
         r = random.Random(seed)
