@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from groundcheck.lineage import cut_lineage, discard
 from groundcheck.llm.common import components, map_text, ranked, slices
+from groundcheck.llm.words import byte_slices
 
 #: One text in so many is read to rank words and n-grams by how common they are.
 SAMPLE = 16
@@ -17,6 +20,12 @@ COMMON = 1 << 17
 PART = 256
 #: Notes that one block of a component is meant to have when links are counted.
 BLOCK = 256
+#: Members of an open list up to which its pairs are compared one by one.
+SHORT = 32
+#: Rounds in which long open lists are compared with one of their members.
+CENTRES = 2
+#: Bytes of text, on one side, of the pairs that are compared at once.
+VERIFIED = 2 << 20
 
 
 def word_hashes(text: str | None) -> np.ndarray:
@@ -129,22 +138,124 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
         return np.unique(shingle_hashes(word_hashes(t), width))
 
     def probe(batches):
-        for batch in slices(batches):
-            keep = []
-            for i, (x, y) in enumerate(zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())):
-                a, b = sorted((grams(x), grams(y)), key=len)
-                shared = 0
-                if len(a):
-                    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
-                    shared = int((b[at] == a).sum())
-                if (100 + percent) * shared >= percent * (len(a) + len(b)):
-                    keep.append(i)
-            at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at)], names=["a", "b"])
+        for whole in batches:
+            for batch in byte_slices([whole], whole.schema.get_field_index("x"), VERIFIED):
+                keep = []
+                x, y = batch.column("x"), batch.column("y")
+                for i in range(batch.num_rows):  # two texts at a time
+                    a, b = sorted((grams(x[i].as_py()), grams(y[i].as_py())), key=len)
+                    shared = 0
+                    if len(a):
+                        at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+                        shared = int((b[at] == a).sum())
+                    if (100 + percent) * shared >= percent * (len(a) + len(b)):
+                        keep.append(i)
+                at = pa.array(keep, pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at)], names=["a", "b"])
 
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("x")), "a").join(
         texts.select(F.col("id").alias("b"), F.col("t").alias("y")), "b")
-    return cut_lineage(both.select("a", "b", "x", "y").mapInArrow(probe, "a long, b long").distinct())
+    with small_batches(pairs.sparkSession):
+        return cut_lineage(both.select("a", "b", "x", "y").mapInArrow(probe, "a long, b long").distinct())
+
+
+@contextmanager
+def small_batches(spark):
+    """Rows with two texts each go to Python a few hundred at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "256")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def t_occurrence(query: np.ndarray, least: int, lists: dict[int, np.ndarray], count: int) -> np.ndarray:
+    """How many n-grams of ``query`` each of ``count`` members has, where that may reach ``least``; else 0.
+
+    ``lists`` are inverted lists (sorted member numbers) by n-gram.  Up to ``least - 1`` of the longest lists are
+    set aside; the short ones are merged by counting, and a member that is in none of them can't reach
+    ``least``.  The long lists are then probed by bisection for the members that are left.
+    """
+    held = sorted((lists[g] for g in query.tolist() if g in lists), key=len)
+    aside = min(least - 1, len(held))
+    counts = np.zeros(count, np.int64)
+    short = held[:len(held) - aside]
+    if short:
+        counts = np.bincount(np.concatenate(short), minlength=count)
+    found = np.flatnonzero(counts)
+    for k, members in enumerate(held[len(held) - aside:]):
+        found = found[counts[found] >= least - (aside - k)]  # what the lists still to come can add
+        if not len(found):
+            break
+        at = np.minimum(np.searchsorted(members, found), len(members) - 1)
+        counts[found] += members[at] == found
+    out = np.zeros(count, np.int64)
+    out[found] = counts[found]
+    return out
+
+
+def _searched(width: int, percent: int):
+    """Links between the open members of two blocks of a group, as few as join the same components."""
+    def search(group):
+        grams = [np.unique(shingle_hashes(word_hashes(t), width)) for t in group["t"]]
+        sizes, ids = np.array([len(g) for g in grams]), np.array(group["id"], np.int64)
+        parts = {c: i for i, c in enumerate(dict.fromkeys(group["c"]))}
+        top = np.array([parts[c] for c in group["c"]])  # the component of each, as far as it is known here
+        block = np.array(group["block"])
+        left = np.flatnonzero(block == group["i"][0])
+        right = np.flatnonzero(block == group["j"][0])
+        place = np.concatenate([np.full(len(grams[r]), n) for n, r in enumerate(right)]) if len(right) else np.zeros(0, np.int64)
+        values = np.concatenate([grams[r] for r in right]) if len(right) else np.zeros(0, np.uint64)
+        order = np.lexsort((place, values))
+        values, place = values[order], place[order]
+        heads = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
+        lists = dict(zip(values[heads].tolist(), np.split(place, heads[1:])))
+        links = []
+        for x in left:
+            shared = t_occurrence(grams[x], least_overlap(int(sizes[x]), percent), lists, len(right))
+            near = (100 + percent) * shared >= percent * (sizes[x] + sizes[right])
+            for y in right[near & (top[right] != top[x])]:
+                if top[y] != top[x]:
+                    links.append((int(min(ids[x], ids[y])), int(max(ids[x], ids[y]))))
+                    top[top == top[y]] = top[x]
+        a, b = zip(*links) if links else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    def run(batches):
+        held, now = None, None
+        for batch in slices(batches, 64):
+            for row in batch.to_pylist():
+                key = (row["group"], row["i"], row["j"])
+                if key != now:
+                    if held:
+                        yield search(held)
+                    held, now = {c: [] for c in row}, key
+                for c, v in row.items():
+                    held[c].append(v)
+        if held:
+            yield search(held)
+    return run
+
+
+def _hot_links(rest: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links among the members of long open lists: lists that share members form a group, searched block by block."""
+    edges = rest.select(F.concat(F.lit("g"), F.col("gram").cast("string")).alias("src"),
+                        F.concat(F.lit("n"), F.col("id").cast("string")).alias("dst"))
+    groups = components(edges).filter("node like 'n%'").select(
+        F.expr("cast(substr(node, 2) as bigint)").alias("id"), F.col("component").alias("group"))
+    members = cut_lineage(rest.select("id", "c").distinct().join(groups, "id"))
+    sizes = members.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = members.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(texts, "id").select(
+        "group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "c", "t")
+    keys = ["group", "i", "j"]
+    with small_batches(rest.sparkSession):
+        found = cut_lineage(dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(
+            _searched(width, percent), "a long, b long").distinct())
+    discard(members)
+    return found
 
 
 def _block_links(width: int, percent: int):
@@ -212,9 +323,11 @@ def link_notes(events: DataFrame, key: str = "event_id", text: str = "notes", wi
     count as short by a sample's counts, which decide speed alone.
 
     * Equal sets are one node.  Lists too long for one task are dealt in parts.
-    * First every list's members are compared with its smallest and largest note.  Where that has put a
-      list's members in one component, its other pairs can add nothing and are skipped; of the rest all
-      pairs in different components are compared.
+    * First every list's members are compared with its smallest and largest note, then those of long lists with
+      the note of the most copies and one drawn by chance.  Where that has put a list's members in one
+      component, its other pairs can add nothing and are skipped.
+    * Of what is left, short lists are compared pair by pair.  Long lists that share members are searched in
+      blocks by T-occurrence (:func:`t_occurrence`): short inverted lists are merged, long ones probed.
 
     Returns ``key, n_shingles, component``, the smallest key reachable over links, and with ``count_links``
     also ``links``: how many other rows are linked to the row, equal ones included.  As a link never
@@ -269,17 +382,39 @@ def link_notes(events: DataFrame, key: str = "event_id", text: str = "notes", wi
     links = _verified(stars, texts, width, percent)
     found = components(links, "a", "b")
 
-    # lists whose members are not yet in one component
-    placed = lists.select("gram", F.explode("m").alias("e")).select("gram", "e.id", "e.n").join(
-        found.withColumnRenamed("node", "id"), "id", "left").select(
-        "gram", "id", "n", F.coalesce("component", "id").alias("c"))
-    open_ = placed.groupBy("gram").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("gram")
-    rest = cut_lineage(placed.join(open_, "gram"))
-    x = rest.select("gram", F.struct("id", "n").alias("x"), F.col("c").alias("cx"))
-    y = rest.select("gram", F.struct("id", "n").alias("y"), F.col("c").alias("cy"))
+    def open_lists(found: DataFrame) -> DataFrame:
+        """``gram, id, n, c, copies`` of the lists whose members are not yet in one component."""
+        placed = lists.select("gram", F.explode("m").alias("e")).select("gram", "e.id", "e.n").join(
+            found.withColumnRenamed("node", "id"), "id", "left").select(
+            "gram", "id", "n", F.coalesce("component", "id").alias("c"))
+        ends = placed.groupBy("gram").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("members"))
+        return cut_lineage(placed.join(ends.filter("lo <> hi").select("gram", "members"), "gram"))
+
+    # long open lists: compare all members with the one that most copies share, then with ones drawn by chance
+    rest = open_lists(found)
+    copies = nodes.select("id", "copies")
+    for turn in range(CENTRES):
+        long = rest.filter(F.col("members") > SHORT)
+        if not long.limit(1).count():
+            break
+        rank = F.struct(-F.col("copies"), F.col("id")) if turn == 0 else F.struct(
+            F.xxhash64("gram", "id", F.lit(turn)).alias("h"), F.col("id"))
+        centre = long.join(copies, "id").groupBy("gram").agg(F.min_by(F.struct("id", "n", "c"), rank).alias("x"))
+        pairs = long.join(centre, "gram").filter("c <> x.c").select(
+            F.struct("id", "n").alias("x"), F.struct("x.id", "x.n").alias("y"))
+        pairs = pairs_of(pairs).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        links = links.unionByName(_verified(pairs, texts, width, percent))
+        found = components(links, "a", "b")
+        discard(rest)
+        rest = open_lists(found)
+    # the other pairs: of short lists one by one, of long ones by search in blocks
+    x, y = (rest.filter(F.col("members") <= SHORT).select("gram", F.struct("id", "n").alias(s), F.col("c").alias(f"c{s}")) for s in "xy")
     more = pairs_of(x.join(y, "gram").filter("x.id < y.id and cx <> cy")).distinct().join(stars, ["a", "b"], "left_anti")
     more = cut_lineage(more)
     links = links.unionByName(_verified(more, texts, width, percent))
+    hot = rest.filter(F.col("members") > SHORT)
+    if hot.limit(1).count():
+        links = links.unionByName(_hot_links(hot, texts, width, percent))
     discard(more, rest, stars, lists)
     found = components(links, "a", "b")
 

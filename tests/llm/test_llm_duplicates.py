@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import duckdb
+import numpy as np
 import pytest
 
 from groundcheck.llm import common, ngram_join, passages, queries, repeats
@@ -64,6 +65,29 @@ def test_links_when_every_list_is_dealt_in_parts(spark, monkeypatch):
     assert ngram_join.link_notes(events(spark, [])).collect() == []
 
 
+def test_long_open_lists_are_searched_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "SHORT", 2)
+    monkeypatch.setattr(ngram_join, "BLOCK", 5)
+    monkeypatch.setattr(ngram_join, "VERIFIED", 300)
+    for centres in (0, 2):
+        monkeypatch.setattr(ngram_join, "CENTRES", centres)
+        rows = list(enumerate(varied(11 + centres, 50, [f"word{i}" for i in range(40)])))
+        got = ngram_join.link_notes(events(spark, rows), width=3, percent=70).collect()
+        assert sorted(((r["event_id"], r["n_shingles"], r["component"]) for r in got), key=str) == brute_components(rows, 3, 70)
+
+
+def test_t_occurrence_counts_all_that_reach_the_overlap():
+    rng = np.random.default_rng(5)
+    for _ in range(50):
+        sets = [np.unique(rng.integers(0, 30, rng.integers(1, 20))) for _ in range(25)]
+        lists = {g: np.array([i for i, s in enumerate(sets) if g in s]) for g in {int(v) for s in sets for v in s}}
+        query = np.unique(rng.integers(0, 40, 12))
+        for least in (1, 2, 5, 9, 30):
+            want = np.array([len(np.intersect1d(query, s)) for s in sets])
+            got = ngram_join.t_occurrence(query, least, lists, len(sets))
+            assert (got[want >= least] == want[want >= least]).all() and (got <= want).all()
+
+
 def test_join_query_equals_sql(spark):
     con = duckdb.connect()
     con.execute("create view documents as select * from '/root/testdata/sf0.001/documents.parquet'")
