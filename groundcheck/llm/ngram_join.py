@@ -21,7 +21,9 @@ PART = 256
 #: Notes that one block of a component is meant to have when links are counted.
 BLOCK = 256
 #: Members of an open list up to which its pairs are compared one by one.
-SHORT = 32
+SHORT = 256
+#: Members that one block of a group of long open lists is meant to have.
+SEARCHED = 1024
 #: Rounds in which long open lists are compared with one of their members.
 CENTRES = 2
 #: Bytes of text, on one side, of the pairs that are compared at once.
@@ -246,7 +248,7 @@ def _hot_links(rest: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     groups = components(edges).filter("node like 'n%'").select(
         F.expr("cast(substr(node, 2) as bigint)").alias("id"), F.col("component").alias("group"))
     members = cut_lineage(rest.select("id", "c").distinct().join(groups, "id"))
-    sizes = members.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    sizes = members.groupBy("group").agg(F.ceil(F.count("*") / SEARCHED).cast("int").alias("blocks"))
     dealt = members.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(texts, "id").select(
         "group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "c", "t")

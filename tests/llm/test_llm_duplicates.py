@@ -67,7 +67,7 @@ def test_links_when_every_list_is_dealt_in_parts(spark, monkeypatch):
 
 def test_long_open_lists_are_searched_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "SHORT", 2)
-    monkeypatch.setattr(ngram_join, "BLOCK", 5)
+    monkeypatch.setattr(ngram_join, "SEARCHED", 5)
     monkeypatch.setattr(ngram_join, "VERIFIED", 300)
     for centres in (0, 2):
         monkeypatch.setattr(ngram_join, "CENTRES", centres)
