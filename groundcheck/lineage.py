@@ -45,3 +45,8 @@ def discard(*tables: DataFrame) -> None:
             folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
             if "/groundcheck/" in folder.toString():
                 folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Have the shuffle files of finished jobs removed: Spark deletes them when the driver collects their plans as garbage."""
+    spark._jvm.java.lang.System.gc()
