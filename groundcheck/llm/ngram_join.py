@@ -8,7 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from groundcheck.lineage import cut_lineage, discard
+from groundcheck.lineage import cut_lineage, discard, release
+from groundcheck.llm.bitmaps import bitmap, plausible
 from groundcheck.llm.common import components, map_text, ranked, slices
 from groundcheck.llm.words import byte_slices
 
@@ -110,32 +111,36 @@ def _sampled(rows: DataFrame, width: int) -> Ranks:
 
 
 def _profiles(rows: DataFrame, ranks, width: int, percent: int) -> DataFrame:
-    """Per row: set size, a hash of the whole set, and its short lists (the rarest n-grams) with their parts."""
+    """Per row: set size, a hash of the whole set, its bitmap, and its short lists (the rarest n-grams) with their parts."""
     def profiler():
         from xxhash import xxh3_128_digest
 
         held = ranks.value
 
         def run(texts):
-            sizes, nodes, short, parts = [], [], [], []
+            sizes, nodes, bits, short, parts = [], [], [], [], []
             for t in texts:
                 words = word_hashes(t)
                 ordered, counts = held.order(words, shingle_hashes(words, width), width)
                 n = len(ordered)
                 sizes.append(n)
                 nodes.append(xxh3_128_digest(np.sort(ordered).tobytes()))
+                bits.append(bitmap(ordered))
                 keep = n - least_overlap(n, percent) + 1 if n else 0
                 short.append(ordered[:keep].view(np.int64))
                 parts.append((1 + counts[:keep] * SAMPLE // PART).astype(np.int32))
-            return [sizes, nodes, short, parts], None
+            return [sizes, nodes, bits, short, parts], None
 
         return run
 
-    return map_text(rows, "t", profiler, "n int, node binary, short array<bigint>, parts array<int>")
+    return map_text(rows, "t", profiler, "n int, node binary, bits binary, short array<bigint>, parts array<int>")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs whose sets share enough: one set's n-grams are probed in the other's sorted ones."""
+def verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs whose sets share enough: one set's n-grams are probed in the other's sorted ones.
+
+    Pairs that their bitmaps rule out (:func:`plausible`) never meet a text, and only the texts of the others are dealt.
+    """
     def grams(t: str) -> np.ndarray:
         return np.unique(shingle_hashes(word_hashes(t), width))
 
@@ -155,10 +160,16 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
                 at = pa.array(keep, pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at)], names=["a", "b"])
 
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("x")), "a").join(
-        texts.select(F.col("id").alias("b"), F.col("t").alias("y")), "b")
+    pairs = plausible(pairs, sketches, percent)
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    held = cut_lineage(texts.join(asked, "id", "left_semi"))
+    both = pairs.join(held.select(F.col("id").alias("a"), F.col("t").alias("x")), "a").join(
+        held.select(F.col("id").alias("b"), F.col("t").alias("y")), "b")
     with small_batches(pairs.sparkSession):
-        return cut_lineage(both.select("a", "b", "x", "y").mapInArrow(probe, "a long, b long").distinct())
+        links = cut_lineage(both.select("a", "b", "x", "y").mapInArrow(probe, "a long, b long"))
+    discard(pairs, held)
+    release(pairs.sparkSession)
+    return links
 
 
 @contextmanager
@@ -241,7 +252,7 @@ def _searched(width: int, percent: int):
     return run
 
 
-def _hot_links(rest: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+def hot_links(rest: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Links among the members of long open lists: lists that share members form a group, searched block by block."""
     edges = rest.select(F.concat(F.lit("g"), F.col("gram").cast("string")).alias("src"),
                         F.concat(F.lit("n"), F.col("id").cast("string")).alias("dst"))
@@ -324,6 +335,7 @@ def link_notes(events: DataFrame, key: str = "event_id", text: str = "notes", wi
     candidate's sorted n-grams are searched by bisection, and pairs that reach ``T`` are kept.  Lists
     count as short by a sample's counts, which decide speed alone.
 
+    * Every candidate pair is first bounded by the bitmaps of both sets; only pairs that may reach ``T`` get their texts.
     * Equal sets are one node.  Lists too long for one task are dealt in parts.
     * First every list's members are compared with its smallest and largest note, then those of long lists with
       the note of the most copies and one drawn by chance.  Where that has put a list's members in one
@@ -344,8 +356,9 @@ def link_notes(events: DataFrame, key: str = "event_id", text: str = "notes", wi
     ranks = rows.sparkSession.sparkContext.broadcast(_sampled(rows, width))
     profiles = cut_lineage(_profiles(rows, ranks, width, percent))
     nodes, _ = ranked(profiles.filter("n > 0").groupBy("node").agg(
-        F.count("*").alias("copies"), F.min("n").alias("n"), F.min("k").alias("rep"), F.min(F.struct("k", "u")).alias("one")), [], ["n", "node"], "id")
+        F.count("*").alias("copies"), F.min("n").alias("n"), F.min("bits").alias("bits"), F.min("k").alias("rep"), F.min(F.struct("k", "u")).alias("one")), [], ["n", "node"], "id")
     nodes = cut_lineage(nodes)
+    release(rows.sparkSession)
 
     def of_node(df: DataFrame, which: DataFrame) -> DataFrame:
         """The row that stands for each node."""
@@ -381,7 +394,7 @@ def link_notes(events: DataFrame, key: str = "event_id", text: str = "notes", wi
     if profiles.groupBy("k", "u").agg(F.count("*").alias("c")).filter("c > 1").limit(1).count():
         texts = texts.dropDuplicates(["id"])
     texts = cut_lineage(texts)
-    links = _verified(stars, texts, width, percent)
+    links = verified(stars, nodes, texts, width, percent)
     found = components(links, "a", "b")
 
     def open_lists(found: DataFrame) -> DataFrame:
@@ -405,18 +418,19 @@ def link_notes(events: DataFrame, key: str = "event_id", text: str = "notes", wi
         pairs = long.join(centre, "gram").filter("c <> x.c").select(
             F.struct("id", "n").alias("x"), F.struct("x.id", "x.n").alias("y"))
         pairs = pairs_of(pairs).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        links = links.unionByName(_verified(pairs, texts, width, percent))
+        links = links.unionByName(verified(pairs, nodes, texts, width, percent))
         found = components(links, "a", "b")
         discard(rest)
         rest = open_lists(found)
+    release(rows.sparkSession)
     # the other pairs: of short lists one by one, of long ones by search in blocks
     x, y = (rest.filter(F.col("members") <= SHORT).select("gram", F.struct("id", "n").alias(s), F.col("c").alias(f"c{s}")) for s in "xy")
     more = pairs_of(x.join(y, "gram").filter("x.id < y.id and cx <> cy")).distinct().join(stars, ["a", "b"], "left_anti")
     more = cut_lineage(more)
-    links = links.unionByName(_verified(more, texts, width, percent))
+    links = links.unionByName(verified(more, nodes, texts, width, percent))
     hot = rest.filter(F.col("members") > SHORT)
     if hot.limit(1).count():
-        links = links.unionByName(_hot_links(hot, texts, width, percent))
+        links = links.unionByName(hot_links(hot, texts, width, percent))
     discard(more, rest, stars, lists)
     found = components(links, "a", "b")
 
