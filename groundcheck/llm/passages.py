@@ -9,9 +9,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from groundcheck.lineage import cut_lineage, discard
+from groundcheck.lineage import cut_lineage, discard, release
+from groundcheck.llm.bitmaps import bitmap
 from groundcheck.llm.common import components, map_text, slices
-from groundcheck.llm.ngram_join import shingle_hashes, word_hashes
+from groundcheck.llm.ngram_join import SHORT, hot_links, shingle_hashes, verified, word_hashes
 
 #: Kinds of units: a whole paragraph (line) and a piece of one, cut where its words say so.
 PARAGRAPH, PIECE = 0, 1
@@ -154,18 +155,14 @@ def _unit_rows(least_words: int, width: int, rows: int, bands: int, seed: int =
     return make
 
 
-def _similar(width: int, percent: int):
-    def run(batches):
-        for batch in slices(batches):
-            keep = []
-            for i, (x, y) in enumerate(zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())):
-                a, b = (np.unique(shingle_hashes(word_hashes(t), width)) for t in (x, y))
-                shared = len(np.intersect1d(a, b, assume_unique=True))
-                if 100 * shared >= percent * (len(a) + len(b) - shared):
-                    keep.append(i)
-            at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at)], names=["a", "b"])
-    return run
+def _line_sets(width: int):
+    """Size and bitmap of the set of a line's shingles."""
+    def make():
+        def run(lines):
+            sets = [np.unique(shingle_hashes(word_hashes(t), width)) for t in lines]
+            return [[len(x) for x in sets], [bitmap(x) for x in sets]], None
+        return run
+    return make
 
 
 def _line_texts():
@@ -255,12 +252,12 @@ def _stretched(notes: DataFrame, repeated: DataFrame) -> DataFrame:
     kind = notes.schema["k"].dataType.simpleString()
     runs = repeated.filter(F.col("kind") == PIECE).groupBy(F.col("k").alias("mk"), F.col("u").alias("mu")).agg(
         F.collect_set(F.struct("first", "size", "best")).alias("units"))
-    once = notes.dropDuplicates(["k", "u"])
-    asks = cut_lineage(once.join(runs, on("mk", "mu")).select("k", "u", "t", "units").mapInArrow(
+    # rows that repeat a key and text tell the same; what they add twice is one unit in the end
+    asks = cut_lineage(notes.join(runs, on("mk", "mu")).select("k", "u", "t", "units").mapInArrow(
         _asked(), f"k {kind}, u bigint, side int, at int, bk {kind}, bu bigint, bat int, words array<bigint>"))
     places = asks.groupBy("bk", "bu", "side", "bat").agg(F.max(F.size("words")).alias("n")).groupBy("bk", "bu").agg(
         F.collect_list(F.struct("side", "bat", "n")).alias("asks"))
-    told = once.join(places, on("bk", "bu")).select("k", "u", "t", "asks").mapInArrow(
+    told = notes.join(places, on("bk", "bu")).select("k", "u", "t", "asks").mapInArrow(
         _told, f"tk {kind}, tu bigint, side int, bat int, told array<bigint>")
     both = asks.join(told, F.col("bk").eqNullSafe(F.col("tk")) & (F.col("bu") == F.col("tu"))
                      & (asks["side"] == told["side"]) & (asks["bat"] == told["bat"]))
@@ -318,8 +315,9 @@ def drop_repeated_passages(events: DataFrame, key: str = "event_id", text: str =
     repeated in turn, less than one turn may stay at the beginning.
 
     Within a band's bucket every paragraph is first compared with the smallest and the largest; where
-    that leaves several components, the pairs across them are compared too, so a large bucket of near
-    copies needs no pair of all.  Paragraphs are told apart by 64-bit hashes of their words.
+    that leaves several components, the pairs across them are compared too, those of large buckets in blocks, so a
+    large bucket of near copies needs no pair of all.  Bitmaps of the shingles rule most pairs out before a text is
+    read.  Paragraphs are told apart by 64-bit hashes of their words.
 
     Returns all columns of ``events`` (the text cut) and ``words_removed``.  Words compare with A-Z
     lower-cased.  A null text stays null, an empty one empty; a note that is all repeated is left empty;
@@ -348,25 +346,30 @@ def drop_repeated_passages(events: DataFrame, key: str = "event_id", text: str =
     texts = notes.join(wanted.select("k", "u").distinct().withColumnRenamed("k", "wk").withColumnRenamed("u", "wu"),
                        F.col("k").eqNullSafe(F.col("wk")) & (F.col("u") == F.col("wu"))).select("t")
     texts = cut_lineage(map_text(texts, "t", _line_texts(), "h bigint, line string").groupBy("h").agg(
-        F.min("line").alias("line")).join(wanted.select("h"), "h", "left_semi"))
+        F.min("line").alias("t")).join(wanted.select("h"), "h", "left_semi").withColumnRenamed("h", "id"))
+    sets = cut_lineage(map_text(texts.withColumnRenamed("t", "line"), "line", _line_sets(width), "n int, bits binary"))
+    release(events.sparkSession)
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("x")), "a").join(
-            texts.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
-        return cut_lineage(both.select("a", "b", "x", "y").mapInArrow(_similar(width, percent), "a long, b long"))
-
-    links = verified(stars)
+    links = verified(stars, sets, texts, width, percent)
     found = components(links, "a", "b").withColumnRenamed("node", "h")
     placed = met.select("bucket", "h").join(found, "h", "left").select(
         "bucket", "h", F.coalesce("component", "h").alias("c"))
-    open_ = placed.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi")
-    left = cut_lineage(placed.join(open_.select("bucket"), "bucket"))
-    more = left.select("bucket", F.col("h").alias("a"), F.col("c").alias("ca")).join(
-        left.select("bucket", F.col("h").alias("b"), F.col("c").alias("cb")), "bucket").filter(
+    open_ = placed.groupBy("bucket").agg(
+        F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("members")).filter("lo <> hi")
+    left = cut_lineage(placed.join(open_.select("bucket", "members"), "bucket"))
+    # small buckets pair by pair, large ones in blocks
+    few = left.filter(F.col("members") <= SHORT)
+    more = few.select("bucket", F.col("h").alias("a"), F.col("c").alias("ca")).join(
+        few.select("bucket", F.col("h").alias("b"), F.col("c").alias("cb")), "bucket").filter(
         "a < b and ca <> cb").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
     more = cut_lineage(more)
-    found = components(links.unionByName(verified(more)), "a", "b").withColumnRenamed("node", "h")
-    discard(met, stars, texts, left, more)
+    links = links.unionByName(verified(more, sets, texts, width, percent))
+    many = left.filter(F.col("members") > SHORT).select(F.col("bucket").alias("gram"), F.col("h").alias("id"), "c")
+    if many.limit(1).count():
+        links = links.unionByName(hot_links(many, texts, width, percent))
+    found = components(links, "a", "b").withColumnRenamed("node", "h")
+    discard(met, stars, texts, sets, left, more)
+    release(events.sparkSession)
 
     # the first place of every class, over all near-equal paragraphs
     grouped = lines.join(found, "h", "left").select("h", "one", "c", F.coalesce("component", "h").alias("group"))
@@ -383,6 +386,7 @@ def drop_repeated_passages(events: DataFrame, key: str = "event_id", text: str =
     repeated = cut_lineage(parts.join(twice, "h").filter(place != F.col("best")).select(
         "k", "u", "kind", "first", "size", "best").unionByName(whole))
     discard(units, parts, whole, lines)
+    release(events.sparkSession)
     beside = _stretched(notes, repeated).withColumn("kind", F.lit(PIECE))
     marks = repeated.drop("best").unionByName(beside).groupBy(F.col("k").alias("mk"), F.col("u").alias("mu")).agg(
         F.collect_set(F.struct("kind", "first", "size")).alias("units"))

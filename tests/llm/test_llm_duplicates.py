@@ -238,3 +238,43 @@ def test_link_counts_equal_brute_force(spark, monkeypatch):
             for x, ((i, _), a) in enumerate(zip(rows, sets))}
     got = ngram_join.link_notes(events(spark, rows), width=3, percent=80, count_links=True).collect()
     assert {r["event_id"]: r["links"] for r in got} == want
+
+
+def test_bitmaps_never_claim_more_differences_than_there_are(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    from groundcheck.llm.bitmaps import bitmap, least_differences, plausible
+
+    rng = np.random.default_rng(3)
+    sets = [np.zeros(0, np.uint64), np.array([7], np.uint64)]
+    for n in (5, 63, 64, 65, 120, 130, 700, 5000):
+        base = rng.integers(0, 2**63, n, dtype=np.uint64)
+        sets += [base, base[:n - n // 10], np.concatenate([base, rng.integers(0, 2**63, n // 8, dtype=np.uint64)])]
+    sets = [np.unique(s) for s in sets]
+    pairs = [(i, j) for i in range(len(sets)) for j in range(len(sets)) if i != j]
+    maps = [bitmap(s) for s in sets]
+    least = least_differences(pa.array([maps[i] for i, _ in pairs], pa.binary()), pa.array([maps[j] for _, j in pairs], pa.binary()))
+    real = [len(np.setxor1d(sets[i], sets[j])) for i, j in pairs]
+    assert all(l <= r for l, r in zip(least.tolist(), real))
+    alike = [(l, r) for (i, j), l, r in zip(pairs, least.tolist(), real) if 0.8 <= len(sets[i]) / max(1, len(sets[j])) <= 1.25]
+    assert sum(l for l, _ in alike) > 0.2 * sum(r for _, r in alike)
+    part = least_differences(pa.array([maps[0], maps[3], maps[4]], pa.binary())[1:], pa.array([maps[1], maps[4], maps[3]], pa.binary())[1:])
+    assert part[0] == part[1] <= len(np.setxor1d(sets[3], sets[4]))
+
+    for percent in (80, 90):
+        asked = spark.createDataFrame([*pairs, *pairs[:9]], "a long, b long")
+        sketches = spark.createDataFrame([(i, len(s), m) for i, (s, m) in enumerate(zip(sets, maps))], "id long, n int, bits binary")
+        got = [(r["a"], r["b"]) for r in plausible(asked, sketches, percent).collect()]
+        shared = {p: len(np.intersect1d(sets[p[0]], sets[p[1]])) for p in pairs}
+        true = {(i, j) for i, j in pairs if shared[i, j]
+                and 100 * shared[i, j] >= percent * (len(sets[i]) + len(sets[j]) - shared[i, j])}
+        assert true and true <= set(got) and len(got) == len(set(got)) < len(pairs) / 2
+        assert plausible(asked.limit(0), sketches, percent).count() == 0
+
+
+def test_paragraphs_of_large_buckets_equal_brute_force(spark, monkeypatch):
+    from groundcheck.llm import passages
+
+    monkeypatch.setattr(passages, "SHORT", 1)
+    test_near_equal_paragraphs_equal_brute_force(spark)
