@@ -161,6 +161,8 @@ def verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, width: int
                 yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at)], names=["a", "b"])
 
     pairs = plausible(pairs, sketches, percent)
+    if not pairs.limit(1).count():
+        return pairs
     asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     held = cut_lineage(texts.join(asked, "id", "left_semi"))
     both = pairs.join(held.select(F.col("id").alias("a"), F.col("t").alias("x")), "a").join(
