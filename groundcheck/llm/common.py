@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StructType
 
@@ -10,6 +12,8 @@ from groundcheck.lineage import cut_lineage, discard
 
 #: ASCII white space: blank, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
+#: Edges that a task of :func:`components` contracts at once; bounds its memory, not the graph.
+CHUNK_EDGES = 1 << 18
 
 
 def ranked(df: DataFrame, groups: list[str], order: list[str], rank: str = "rank") -> tuple[DataFrame, dict]:
@@ -55,40 +59,75 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def _contracted(edges: DataFrame) -> DataFrame:
+    """``u, v``: the same reachability with fewer edges; every task joins up what it reads, ``CHUNK_EDGES`` at a time."""
+    def forest(table: pa.Table) -> pa.RecordBatch:
+        u, v = (table.column(c).combine_chunks() for c in ("u", "v"))
+        coded = pa.concat_arrays([u, v]).dictionary_encode()
+        order = pc.sort_indices(coded.dictionary)
+        rank = np.empty(len(order), np.int64)
+        rank[order.to_numpy()] = np.arange(len(order))
+        x, y = np.split(rank[coded.indices.to_numpy()], 2)
+        root = np.arange(len(order))
+        while True:  # the larger root of every edge hangs itself on the smallest one that it meets
+            x, y = root[x], root[y]
+            apart = x != y
+            if not apart.any():
+                break
+            x, y = x[apart], y[apart]
+            np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+            while True:
+                up = root[root]
+                if (up == root).all():
+                    break
+                root = up
+        names = coded.dictionary.take(order)
+        below = np.flatnonzero(root != np.arange(len(root)))
+        return pa.RecordBatch.from_arrays([names.take(pa.array(below)), names.take(pa.array(root[below]))], names=["u", "v"])
+
+    def run(batches):
+        held, count = [], 0
+        for batch in slices(batches, CHUNK_EDGES):
+            if count + batch.num_rows > CHUNK_EDGES:
+                yield forest(pa.Table.from_batches(held))
+                held, count = [], 0
+            held.append(batch)
+            count += batch.num_rows
+        if count:
+            yield forest(pa.Table.from_batches(held))
+
+    return edges.mapInArrow(run, edges.schema)
+
+
 def components(links: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """``node, component`` (smallest reachable node) for every node of the undirected links.
 
     Alternates star contractions: every node hands the smallest of its neighbourhood to its larger
-    neighbours, then to its smaller ones.  A hub's neighbours are only summed up (a minimum per node
-    before the shuffle), never gathered; each round is a table, so a lost executor re-reads it.
+    neighbours, then to its smaller ones.  Before each round every task contracts the edges that it reads,
+    which needs no shuffle.  A hub's neighbours are only summed up (a minimum per node before the shuffle),
+    never gathered; each round is a table, so a lost executor re-reads it.
     """
-    edges = cut_lineage(links.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v"))
-                        .filter("u <> v").distinct())
+    edges = links.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).filter("u <> v")
     while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        edges = cut_lineage(_contracted(edges))
+        none = F.lit(None).cast(edges.schema["v"].dataType)
+        nodes = cut_lineage(edges.select(F.col("u").alias("node"), "v", F.lit(False).alias("above")).unionByName(
+            edges.select(F.col("v").alias("node"), none.alias("v"), F.lit(True).alias("above"))).groupBy("node").agg(
+            F.min("v").alias("low"), F.max("v").alias("high"), F.max("above").alias("above")))
+        best = nodes.select("node", F.coalesce("low", "node").alias("component"))
+        # every node hangs on exactly one smaller node that itself has no smaller one: done
+        if not nodes.filter("low is not null and (low <> high or above)").limit(1).count():
+            discard(edges)
+            return best
         # larger neighbours get the smallest of the neighbourhood
-        large = (both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                 .filter("u <> v").distinct())
-        large = cut_lineage(large)
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = cut_lineage(edges.join(best, F.col("v") == F.col("node")).select("u", F.col("component").alias("v")))
+        discard(edges, nodes)
         # smaller neighbours and the node itself get it too
-        small = large.join(low, "u").select(
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        edges = large.join(low, "u").select(
             F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")),
                               F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e")
-        ).select("e.*").filter("u <> v").distinct()
-        after = cut_lineage(small)
-        discard(edges, large)
-        # every node hangs on exactly one smaller node that itself has no smaller one: done
-        open_ = (after.groupBy("u").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
-                 or after.alias("a").join(after.alias("b"), F.col("a.v") == F.col("b.u"), "left_semi")
-                 .limit(1).count())
-        if not open_:
-            return after.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
-                after.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        edges = after
-
-
+        ).select("e.*").filter("u <> v")
 
 
 def slices(batches, rows: int = 500):

@@ -396,8 +396,11 @@ def link_notes(events: DataFrame, key: str = "event_id", text: str = "notes", wi
     if profiles.groupBy("k", "u").agg(F.count("*").alias("c")).filter("c > 1").limit(1).count():
         texts = texts.dropDuplicates(["id"])
     texts = cut_lineage(texts)
-    links = verified(stars, nodes, texts, width, percent)
-    found = components(links, "a", "b")
+    found = components(verified(stars, nodes, texts, width, percent), "a", "b")
+
+    def joined(found: DataFrame, links: DataFrame) -> DataFrame:
+        """The components of what was found and new links: a component enters as a star, not by all its links."""
+        return components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links), "a", "b")
 
     def open_lists(found: DataFrame) -> DataFrame:
         """``gram, id, n, c, copies`` of the lists whose members are not yet in one component."""
@@ -420,8 +423,7 @@ def link_notes(events: DataFrame, key: str = "event_id", text: str = "notes", wi
         pairs = long.join(centre, "gram").filter("c <> x.c").select(
             F.struct("id", "n").alias("x"), F.struct("x.id", "x.n").alias("y"))
         pairs = pairs_of(pairs).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        links = links.unionByName(verified(pairs, nodes, texts, width, percent))
-        found = components(links, "a", "b")
+        found = joined(found, verified(pairs, nodes, texts, width, percent))
         discard(rest)
         rest = open_lists(found)
     release(rows.sparkSession)
@@ -429,12 +431,12 @@ def link_notes(events: DataFrame, key: str = "event_id", text: str = "notes", wi
     x, y = (rest.filter(F.col("members") <= SHORT).select("gram", F.struct("id", "n").alias(s), F.col("c").alias(f"c{s}")) for s in "xy")
     more = pairs_of(x.join(y, "gram").filter("x.id < y.id and cx <> cy")).distinct().join(stars, ["a", "b"], "left_anti")
     more = cut_lineage(more)
-    links = links.unionByName(verified(more, nodes, texts, width, percent))
+    links = verified(more, nodes, texts, width, percent)
     hot = rest.filter(F.col("members") > SHORT)
     if hot.limit(1).count():
         links = links.unionByName(hot_links(hot, texts, width, percent))
     discard(more, rest, stars, lists)
-    found = components(links, "a", "b")
+    found = joined(found, links)
 
     named = nodes.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id"))
     if count_links:

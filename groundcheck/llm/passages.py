@@ -350,8 +350,7 @@ def drop_repeated_passages(events: DataFrame, key: str = "event_id", text: str =
     sets = cut_lineage(map_text(texts.withColumnRenamed("t", "line"), "line", _line_sets(width), "n int, bits binary"))
     release(events.sparkSession)
 
-    links = verified(stars, sets, texts, width, percent)
-    found = components(links, "a", "b").withColumnRenamed("node", "h")
+    found = components(verified(stars, sets, texts, width, percent), "a", "b").withColumnRenamed("node", "h")
     placed = met.select("bucket", "h").join(found, "h", "left").select(
         "bucket", "h", F.coalesce("component", "h").alias("c"))
     open_ = placed.groupBy("bucket").agg(
@@ -363,11 +362,12 @@ def drop_repeated_passages(events: DataFrame, key: str = "event_id", text: str =
         few.select("bucket", F.col("h").alias("b"), F.col("c").alias("cb")), "bucket").filter(
         "a < b and ca <> cb").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
     more = cut_lineage(more)
-    links = links.unionByName(verified(more, sets, texts, width, percent))
+    links = verified(more, sets, texts, width, percent)
     many = left.filter(F.col("members") > SHORT).select(F.col("bucket").alias("gram"), F.col("h").alias("id"), "c")
     if many.limit(1).count():
         links = links.unionByName(hot_links(many, texts, width, percent))
-    found = components(links, "a", "b").withColumnRenamed("node", "h")
+    found = components(found.select(F.col("h").alias("a"), F.col("component").alias("b")).unionByName(links), "a", "b"
+                       ).withColumnRenamed("node", "h")
     discard(met, stars, texts, sets, left, more)
     release(events.sparkSession)
 

@@ -96,6 +96,24 @@ def test_join_query_equals_sql(spark):
     assert sorted(map(tuple, got.collect())) == want
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_components_in_small_chunks(spark, monkeypatch, kind):
+    """Chunks of a few edges leave the joining to the rounds; the result is that of a search."""
+    monkeypatch.setattr(common, "CHUNK_EDGES", 3)
+    rng = random.Random(4)
+    links = [(i, i + 1) for i in range(30)] + [(100, 100 + i) for i in range(1, 25)] + [
+        (rng.randrange(200, 280), rng.randrange(200, 280)) for _ in range(70)] + [(30, 100), (7, 7)]
+    links = [tuple(f"{x:03d}" if kind == "string" else x for x in link) for link in links]
+    rng.shuffle(links)
+    root = {x: x for link in links for x in link if link[0] != link[1]}
+    for _ in root:
+        for a, b in links:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    got = common.components(spark.createDataFrame(links, f"src {kind}, dst {kind}").repartition(7)).collect()
+    assert len(got) == len(root) and {r["node"]: r["component"] for r in got} == root
+
+
 def test_components_of_a_chain_and_a_hub(spark):
     links = [(i, i + 1) for i in range(20)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7)]
     got = common.components(spark.createDataFrame(links, "src long, dst long")).collect()
