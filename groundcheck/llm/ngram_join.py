@@ -402,19 +402,22 @@ def link_notes(events: DataFrame, key: str = "event_id", text: str = "notes", wi
         """The components of what was found and new links: a component enters as a star, not by all its links."""
         return components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links), "a", "b")
 
-    def open_lists(found: DataFrame) -> DataFrame:
-        """``gram, id, n, c, copies`` of the lists whose members are not yet in one component."""
-        placed = lists.select("gram", F.explode("m").alias("e")).select("gram", "e.id", "e.n").join(
-            found.withColumnRenamed("node", "id"), "id", "left").select(
-            "gram", "id", "n", F.coalesce("component", "id").alias("c"))
-        ends = placed.groupBy("gram").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("members"))
-        return cut_lineage(placed.join(ends.filter("lo <> hi").select("gram", "members"), "gram"))
-
+    def placed(rows: DataFrame, found: DataFrame) -> DataFrame:
+        """``rows`` with ``c``, the component of each member."""
+        return rows.drop("c").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn(
+            "c", F.coalesce("component", "id")).drop("component")
+
+    def still_open(rows: DataFrame) -> DataFrame:
+        """``gram, members`` of the lists whose members are not yet in one component."""
+        return rows.groupBy("gram").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("members")).filter(
+            "lo <> hi").select("gram", "members")
+
+    held = placed(lists.select("gram", F.explode("m").alias("e")).select("gram", "e.id", "e.n"), found)
+    rest = cut_lineage(held.join(still_open(held), "gram"))
+    few, long = rest.filter(F.col("members") <= SHORT), rest.filter(F.col("members") > SHORT)
     # long open lists: compare all members with the one that most copies share, then with ones drawn by chance
-    rest = open_lists(found)
     copies = nodes.select("id", "copies")
     for turn in range(CENTRES):
-        long = rest.filter(F.col("members") > SHORT)
         if not long.limit(1).count():
             break
         rank = F.struct(-F.col("copies"), F.col("id")) if turn == 0 else F.struct(
@@ -424,17 +427,18 @@ def link_notes(events: DataFrame, key: str = "event_id", text: str = "notes", wi
             F.struct("id", "n").alias("x"), F.struct("x.id", "x.n").alias("y"))
         pairs = pairs_of(pairs).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         found = joined(found, verified(pairs, nodes, texts, width, percent))
-        discard(rest)
-        rest = open_lists(found)
+        # a list that is closed stays closed, so only these are looked at again
+        moved = cut_lineage(placed(long, found))
+        long = cut_lineage(moved.join(still_open(moved), "gram", "left_semi"))
+    few = placed(few, found)
     release(rows.sparkSession)
     # the other pairs: of short lists one by one, of long ones by search in blocks
-    x, y = (rest.filter(F.col("members") <= SHORT).select("gram", F.struct("id", "n").alias(s), F.col("c").alias(f"c{s}")) for s in "xy")
+    x, y = (few.select("gram", F.struct("id", "n").alias(s), F.col("c").alias(f"c{s}")) for s in "xy")
     more = pairs_of(x.join(y, "gram").filter("x.id < y.id and cx <> cy")).distinct().join(stars, ["a", "b"], "left_anti")
     more = cut_lineage(more)
     links = verified(more, nodes, texts, width, percent)
-    hot = rest.filter(F.col("members") > SHORT)
-    if hot.limit(1).count():
-        links = links.unionByName(hot_links(hot, texts, width, percent))
+    if long.limit(1).count():
+        links = links.unionByName(hot_links(long, texts, width, percent))
     discard(more, rest, stars, lists)
     found = joined(found, links)
 
