@@ -89,17 +89,18 @@ def collection_errors(spark, sf_dir) -> DataFrame:
     return geojson.collection_errors(df.select("ord", text.alias("text"))).select("ord", "error")
 
 
+def _ring(*points) -> F.Column:
+    """Coordinate text of a ring, moved east by the row's number."""
+    parts = []
+    for i, (x, y) in enumerate(points):
+        parts += [F.lit("," if i else ""), F.lit("["), (F.col("k") + x).cast("string"), F.lit(f",{y}]")]
+    return F.concat(F.lit("["), *parts, F.lit("]"))
+
+
 def geometry_checks(spark, sf_dir) -> DataFrame:
     """Good, crossing, short, empty and hole-outside polygons read from coordinate text."""
     df = L.run(spark, sf_dir, _RAW)
-    k = F.col("k")
-
-    def ring(*points) -> F.Column:
-        parts = []
-        for i, (x, y) in enumerate(points):
-            parts += [F.lit("," if i else ""), F.lit("["), (k + x).cast("string"), F.lit(f",{y}]")]
-        return F.concat(F.lit("["), *parts, F.lit("]"))
-
+    k, ring = F.col("k"), _ring
     box = ring((0, 0), (10, 0), (10, 10), (0, 10), (0, 0))
     one = lambda r: F.concat(F.lit("["), r, F.lit("]"))
     coords = (
@@ -120,6 +121,25 @@ def geometry_checks(spark, sf_dir) -> DataFrame:
                           F.lit(0))["text"].alias("reason"))
 
 
+def interior_checks(spark, sf_dir) -> DataFrame:
+    """Polygons whose holes touch: at one point, at two, in a circle, one in another, and all in one point."""
+    df = L.run(spark, sf_dir, _RAW)
+    shell = _ring((0, 0), (20, 0), (20, 20), (0, 20), (0, 0))
+    west = _ring((4, 4), (8, 2), (12, 4), (4, 4))
+    holes = (
+        (_ring((0, 10), (10, 5), (19, 10), (10, 15), (0, 10)),),
+        (_ring((0, 10), (10, 5), (20, 10), (10, 15), (0, 10)),),
+        (west, _ring((12, 4), (14, 10), (8, 10), (12, 4)), _ring((8, 10), (2, 10), (4, 4), (8, 10))),
+        (_ring((2, 2), (18, 2), (18, 18), (2, 18), (2, 2)), _ring((5, 5), (8, 5), (8, 8), (5, 8), (5, 5))),
+        (_ring((8, 8), (7, 4), (9, 4), (8, 8)), _ring((8, 8), (12, 7), (12, 9), (8, 8)),
+         _ring((8, 8), (4, 9), (4, 7), (8, 8))))
+    coords = F.coalesce(*[F.when(F.col("k5") == i, F.concat(
+        F.lit("["), F.concat_ws(",", shell, *h), F.lit("]"))) for i, h in enumerate(holes)])
+    layer = df.select("ord", F.lit("Polygon").alias("geom_type"), coords.alias("coords_json"))
+    shapes = cut_lineage(shape_table(geometry.add_shape(layer)))
+    return topology.with_validity(shapes).select("ord", F.col("invalid_reason").alias("reason"))
+
+
 # ---- bundles and layers ------------------------------------------------------------------------
 def _features(spark, sf_dir) -> DataFrame:
     return N.normalize(_raw(spark, sf_dir), "building")
@@ -567,6 +587,9 @@ select concat(case k5 when 2 then 'W-CORRUPT-' when 3 then 'W-EMPTY-' else 'W-IN
     as severity, case when k3 = 0 then 'synthetic_test' else 'project_vaayu_sample' end as source,
   case k5 when 1 then 'Self-intersection' when 4 then 'Hole lies outside shell' end as reason
 from c where k5 > 0"""),
+    "interior_checks": (interior_checks, f"""with c as ({_C})
+select ord, case k5 when 1 then 'Interior is disconnected' when 2 then 'Interior is disconnected'
+  when 3 then 'Holes are nested' end as reason from c"""),
     "export_import_roundtrip": (export_import_roundtrip, f"""with c as ({_C})
 select case when ord % 2 = 0 then 'buildings' else 'drafts' end as layer, ord,
   coalesce(id, case when k % 2 = 0 then concat('BLD-', k) end, concat('BUILDING-AUTO-', ord))

@@ -8,8 +8,7 @@ Shapes with many edges are cut into x-strips.  A pair then joins only the strips
 so a country outline against a shed reads a few hundred edges, not all of them.
 """
 
-from __future__ import annotations
-
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 STRIP_EDGES = 256
@@ -30,8 +29,11 @@ def _strip_of(x: Column, minx: Column, width: Column, strips: Column) -> Column:
     return F.greatest(F.lit(0), F.least(strips - 1, raw)).cast("int")
 
 
+_STRIPS = ("minx", "strip_width", "strips")
+
+
 def edge_strips(shapes: DataFrame, large: bool | None = None) -> DataFrame:
-    """``ord, strip, edges``: one row for an ordinary shape, one row per strip for a large one.
+    """``ord, strip, edges`` and the strips' layout: one row for an ordinary shape, one per strip for a large one.
 
     ``large=False`` skips the branch for shapes above ``STRIP_EDGES`` edges when the caller knows
     there are none; by default one small job finds out.
@@ -39,17 +41,18 @@ def edge_strips(shapes: DataFrame, large: bool | None = None) -> DataFrame:
     if large is None:
         large = not shapes.filter(F.col("strips") > 1).isEmpty()
     small = shapes.filter(F.col("strips") == 1) if large else shapes
-    rows = small.select("ord", F.lit(0).alias("strip"), "edges")
+    rows = small.select("ord", F.lit(0).alias("strip"), "edges", *_STRIPS[:2], F.lit(1).alias("strips"))
     if not large:
         return rows
     e = F.col("e")
     lo, hi = F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"])
-    layout = (F.col("minx"), F.col("strip_width"), F.col("strips"))
+    layout = [F.col(c) for c in _STRIPS]
     cut = (
         shapes.filter(F.col("strips") > 1)
-        .select("ord", "minx", "strip_width", "strips", F.explode("edges").alias("e"))
+        .select("ord", *_STRIPS, F.explode("edges").alias("e"))
         .withColumn("strip", F.explode(F.sequence(_strip_of(lo, *layout), _strip_of(hi, *layout))))
-        .groupBy("ord", "strip").agg(F.collect_list("e").alias("edges")))
+        .groupBy("ord", "strip", *_STRIPS).agg(F.collect_list("e").alias("edges"))
+        .select("ord", "strip", "edges", *_STRIPS))
     return rows.unionByName(cut)
 
 
@@ -268,33 +271,84 @@ def pair_distances(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataF
         "if(abs(sum(in_b)) > 0.5 or abs(sum(in_a)) > 0.5, 0D, min(gap)) as distance"))
 
 
-def validity(shapes: DataFrame, large: bool | None = None) -> DataFrame:
-    """``ord, reason`` for areal shapes whose rings break the polygon rules (valid ones are absent).
+def _own_pairs(strips: DataFrame) -> DataFrame:
+    """One row per ordered pair of edges of the same shape and an x-strip that both reach.
 
-    Rings may not cross, run along each other or touch themselves; holes must lie in their outer ring
-    and parts may not lie in one another.  Edges are compared inside one x-strip only.
+    ``home`` marks the strip that holds the first vertex of the first edge; every edge below it is in there.
     """
-    areal = shapes.filter(F.exists("edges", lambda e: e["areal"]))
-    pairs = (
-        edge_strips(areal, large)
-        .selectExpr("ord", "strip", "edges", "explode(edges) as e")
-        .selectExpr("ord", "strip", "e", "explode(edges) as g")
+    home = _strip_of(F.col("e")["x1"], *(F.col(c) for c in _STRIPS)) == F.col("strip")
+    return (
+        strips.selectExpr("ord", "strip", *_STRIPS, "edges", "explode(edges) as e")
+        .select("ord", "edges", "e", home.alias("home"))
+        .selectExpr("ord", "home", "e", "explode(edges) as g")
         .selectExpr(
-            "ord", "strip", "e.part as ep", "e.ring as er", "e.seq as ei", "e.n as n",
+            "ord", "home", "e.part as ep", "e.ring as er", "e.seq as ei", "e.n as n",
             "g.part as gp", "g.ring as gr", "g.seq as gi",
             *[f"{_solid(f'{s}.{c}{i}')} as {n}{c}"
               for s, i, n in (("e", 1, "p"), ("e", 2, "q"), ("g", 1, "u"), ("g", 2, "v"))
               for c in "xy"])
-        .selectExpr("*", *_GEOMETRY)
+        .selectExpr("*", *_GEOMETRY))
+
+
+def _cut_apart(touches: pd.DataFrame) -> pd.DataFrame:
+    """The shape's number, for the touches of a part, if rings and the points where they touch, as a graph, hold a cycle."""
+    up: dict = {}
+
+    def top(node):
+        while up.setdefault(node, node) != node:
+            up[node] = up[up[node]]
+            node = up[node]
+        return node
+
+    for ring, x, y in zip(touches["ring"], touches["tx"], touches["ty"]):
+        a, b = top(ring), top((x, y))
+        if a == b:
+            return touches[["ord"]].head(1)
+        up[a] = b
+    return touches[["ord"]].head(0)
+
+
+def disconnected(shapes: DataFrame, large: bool | None = None) -> DataFrame:
+    """``ord`` of areal shapes whose interior is cut apart by rings that touch each other.
+
+    Rings that only touch leave the interior in one piece as long as rings and touching points, taken as
+    a graph, have no cycle: a hole may hang on its shell or on another hole at one point, and many rings
+    may meet in one point.  Only shapes with holes are looked at, and a task holds the touching points
+    of one part of one shape at a time.  Rings are taken to be sound otherwise (see :func:`validity`).
+    """
+    holed = shapes.filter(F.exists("edges", lambda e: e["areal"] & (e["ring"] > 0)))
+    # the end of one edge that lies on the other; edges that go on in one line meet where their boxes do
+    at = "case when d1 = 0 and d2 = 0 then {c}0 when d1 = 0 then u{c} when d2 = 0 then v{c} when d3 = 0 then p{c} when d4 = 0 then q{c} end"
+    touches = _own_pairs(edge_strips(holed, large)).filter(f"ep = gp and er < gr and {_MEET}").selectExpr(
+        "ord", "ep as part", "explode(array(er, gr)) as ring", *[f"{at.format(c=c)} as t{c}" for c in "xy"]
+    ).filter("tx is not null").distinct()
+    kind = shapes.schema["ord"].dataType.simpleString()
+    return touches.groupBy("ord", "part").applyInPandas(_cut_apart, f"ord {kind}").distinct()
+
+
+def validity(shapes: DataFrame, large: bool | None = None) -> DataFrame:
+    """``ord, reason`` for areal shapes whose rings break the polygon rules (valid ones are absent).
+
+    Rings may not cross, run along each other or touch themselves; holes must lie in their outer ring
+    and not in one another, parts may not lie in one another, and touching rings may not cut the interior
+    apart (:func:`disconnected`).  Edges are compared inside one x-strip only.
+    """
+    areal = shapes.filter(F.exists("edges", lambda e: e["areal"]))
+    if large is None:
+        large = not areal.filter(F.col("strips") > 1).isEmpty()
+    pairs = (
+        _own_pairs(edge_strips(areal, large))
         .selectExpr(
-            "ord", "strip", "n", "ep", "er", "gp", f"({_MEET}) as meet",
+            "ord", "home", "n", "ep", "er", "gp", f"({_MEET}) as meet",
             "struct(ep, er, ei) < struct(gp, gr, gi) as ahead", "ep = gp and er = gr as same_ring",
             "gi - ei = 1 or gi - ei = n - 1 as next",
             "d1 * d2 < 0 and d3 * d4 < 0 as proper",
             "d1 = 0 and d2 = 0 and x0 <= x1 and y0 <= y1 and (x0 < x1 or y0 < y1) as along",
-            # first vertex of a ring against the outer ring of its part, or against another part
-            "ei = 0 and ep = gp and er > 0 and gr = 0 as hole_test",
-            "ei = 0 and ep <> gp and er = 0 as part_test",
+            # first vertex of a hole against its outer ring or another hole, of a part against another part
+            """case when ei <> 0 then null when ep <> gp and er = 0 then 'part'
+              when ep = gp and er > 0 and gr = 0 then 'hole'
+              when ep = gp and er > 0 and gr > 0 and er <> gr then 'inner' end as test""",
+            "if(ep = gp, gr, -1) as gr",
             """if(least(ux, vx) <= px and px < greatest(ux, vx) and uy + gm * (px - ux) < py, if(vx < ux, -1D, 1D), 0D)
               as below""",
             """if(ei = 0, x0 <= x1 and y0 <= y1 and d3 = 0 and px between least(ux, vx) and
@@ -302,16 +356,16 @@ def validity(shapes: DataFrame, large: bool | None = None) -> DataFrame:
     crossings = pairs.groupBy("ord").agg(*[F.expr(e) for e in (
         "max(n < 3) as short", "max(ahead and (proper or along)) as crossing",
         "max(ahead and same_ring and not next and meet) as self_touch")])
-    rings = pairs.filter("hole_test or part_test").groupBy(
-        "ord", "strip", "ep", "er", "gp", "hole_test").agg(
-        F.expr("abs(sum(below)) as wind"), F.expr("max(on_edge) as on_edge"))
-    # in one strip the count below a vertex is complete; other strips can only add zeros
-    rings = rings.groupBy("ord", "ep", "er", "gp", "hole_test").agg(
-        F.expr("max(wind) as wind"), F.expr("max(on_edge) as on_edge")).groupBy("ord").agg(
-        F.expr("max(hole_test and wind < 0.5 and not on_edge) as hole_out"),
-        F.expr("max(not hole_test and wind > 0.5 and not on_edge) as nested"))
+    # the count below a vertex is complete in its own strip, and only there
+    rings = pairs.filter("test is not null and home").groupBy("ord", "ep", "er", "gp", "gr", "test").agg(
+        F.expr("abs(sum(below)) as wind"), F.expr("max(on_edge) as on_edge")).groupBy("ord").agg(
+        F.expr("max(test = 'hole' and wind < 0.5 and not on_edge) as hole_out"),
+        F.expr("max(test = 'inner' and wind > 0.5 and not on_edge) as hole_in"),
+        F.expr("max(test = 'part' and wind > 0.5 and not on_edge) as nested"))
     reason = F.expr("""case when short then 'Too few points in geometry component'
       when crossing then 'Self-intersection' when self_touch then 'Ring Self-intersection'
-      when hole_out then 'Hole lies outside shell' when nested then 'Nested shells' end""")
-    return crossings.join(rings, "ord", "left").select("ord", reason.alias("reason")).filter(
-        F.col("reason").isNotNull())
+      when hole_out then 'Hole lies outside shell' when hole_in then 'Holes are nested'
+      when nested then 'Nested shells' when apart then 'Interior is disconnected' end""")
+    apart = disconnected(areal, large).withColumn("apart", F.lit(True))
+    return crossings.join(rings, "ord", "left").join(apart, "ord", "left").select(
+        "ord", reason.alias("reason")).filter(F.col("reason").isNotNull())

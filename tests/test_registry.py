@@ -6,8 +6,8 @@ import check
 from driver.layers import TABLES
 
 SF = "/root/testdata/sf0.001"
-SAMPLE = ("overlap_pairs", "match_greedy", "geometry_checks", "vegetation_candidates", "review_state",
-          "normalize_features", "tile_blend", "export_import_roundtrip")
+SAMPLE = ("overlap_pairs", "match_greedy", "geometry_checks", "interior_checks", "vegetation_candidates",
+          "review_state", "normalize_features", "tile_blend", "export_import_roundtrip")
 
 
 def test_every_query_has_a_callable_and_most_have_sql():

@@ -98,6 +98,32 @@ def test_validity_reasons(spark):
     assert flags[2] == (False, True) and flags[3] == (True, False) and flags[0] == (False, False)
 
 
+SHELL = box(0, 0, 20, 20)[1][0]
+CIRCLE = [[[4, 4], [8, 2], [12, 4], [4, 4]], [[12, 4], [14, 10], [8, 10], [12, 4]], [[8, 10], [2, 10], [4, 4], [8, 10]]]
+
+
+@pytest.mark.parametrize("edges", [256, 2])
+def test_touching_rings_cut_the_interior_apart_where_they_close_a_circle(spark, monkeypatch, edges):
+    monkeypatch.setattr(polygons, "STRIP_EDGES", edges)
+    twice = [[0, 10], [10, 5], [20, 10], [10, 15], [0, 10]]
+    spokes = [[[8, 8], [7, 4], [9, 4], [8, 8]], [[8, 8], [12, 7], [12, 9], [8, 8]], [[8, 8], [4, 9], [4, 7], [8, 8]]]
+    rows = [
+        ("Polygon", [SHELL, twice]),
+        ("Polygon", [SHELL, [[0, 10], [10, 5], [19, 10], [10, 15], [0, 10]]]),
+        ("Polygon", [SHELL, *CIRCLE]),
+        ("Polygon", [SHELL, *CIRCLE[:2], [[8, 10], [2, 10], [4, 5], [8, 10]]]),
+        ("Polygon", [SHELL, *spokes]),
+        ("Polygon", [SHELL, box(2, 2, 18, 18)[1][0], box(5, 5, 8, 8)[1][0]]),
+        ("MultiPolygon", [[box(0, 0, 4, 4)[1][0]], [[[4, 1], [6, 0], [6, 4], [4, 3], [5, 2], [4, 1]]]]),
+        ("MultiPolygon", [[box(50, 0, 54, 4)[1][0]], [SHELL, twice]]),
+    ]
+    s = shapes(spark, rows)
+    got = {r.ord: r.reason for r in polygons.validity(s).collect()}
+    assert got == {0: "Interior is disconnected", 2: "Interior is disconnected", 5: "Holes are nested",
+                   7: "Interior is disconnected"}
+    assert polygons.validity(s.limit(0)).count() == 0
+
+
 def test_metric_golden_values(spark):
     ring = [[72.75728365790725, 23.04002668761225], [72.75731772292114, 23.04002919486646],
             [72.75732057507217, 23.039996387280304], [72.75728651005828, 23.039993879198835],
